@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, host_rules
+from . import block_dedup, decontaminate, host_rules
 from ._common import table
 
 
@@ -14,5 +14,9 @@ def op6_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_host_rules, op6_decontaminate)}
+def op7_block_dedup(spark, sf_dir):
+    return block_dedup.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_host_rules, op6_decontaminate, op7_block_dedup)}
 ORACLE_SQL = {"op4_host_rules": host_rules.ORACLE, "op6_decontaminate": decontaminate.ORACLE}

@@ -130,3 +130,55 @@ def lists(values: np.ndarray, off: np.ndarray, kind=None) -> pa.Array:
 
 def blob(array: np.ndarray) -> bytes:
     return np.ascontiguousarray(array).tobytes()
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned integers as byte planes without the empty high ones."""
+    planes = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8).T
+    used = max([1, *(k + 1 for k in range(8) if planes[k].any())])
+    return bytes([used]) + planes[:used].tobytes()
+
+
+def unpack(held: bytes) -> np.ndarray:
+    used = held[0]
+    planes = np.frombuffer(held, np.uint8, offset=1).reshape(used, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :used] = planes.T
+    return out.view("<u8").ravel()
+
+
+def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
+    """Which of n equal ranges of the 64-bit keys each one falls in."""
+    return ((keys >> U64(32)) * U64(n)) >> U64(32)
+
+
+def by_bucket(keys: np.ndarray, n: int):
+    """(order, pairs of bucket and slice): rows in the order of their buckets, stable within one."""
+    b = bucket_of(keys, n)
+    order = np.argsort(b, kind="stable")
+    bounds = run_bounds(b[order])
+    return order, [(int(b[order[lo]]), slice(lo, hi)) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if hi > lo]
+
+
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Which rows have a key that another row has too. keys: one column, or rows of several."""
+    if keys.ndim == 1:
+        order = np.argsort(keys, kind="stable")
+        same = keys[order][1:] == keys[order][:-1]
+    else:
+        order = np.lexsort(keys.T)
+        k = keys[order]
+        same = (k[1:] == k[:-1]).all(1)
+    out = np.zeros(len(keys), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def grouped_rows(ids: np.ndarray, *values: np.ndarray):
+    """Values gathered by id (rows of t1, t2): (ids, offsets, values in that order)."""
+    order = np.lexsort((ids[:, 1], ids[:, 0]))
+    k = ids[order]
+    new = np.r_[True, (k[1:] != k[:-1]).any(1)] if len(k) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    return k[first], np.r_[first, len(k)], [v[order] for v in values]
