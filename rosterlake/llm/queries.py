@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import block_dedup, decontaminate, host_rules
+from . import block_dedup, decontaminate, host_rules, suffix_dedup
 from ._common import table
 
 
@@ -18,5 +18,9 @@ def op7_block_dedup(spark, sf_dir):
     return block_dedup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_host_rules, op6_decontaminate, op7_block_dedup)}
+def op9_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_host_rules, op6_decontaminate, op7_block_dedup, op9_suffix_dedup)}
 ORACLE_SQL = {"op4_host_rules": host_rules.ORACLE, "op6_decontaminate": decontaminate.ORACLE}
