@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import block_dedup, decontaminate, host_rules, suffix_dedup
+from . import block_dedup, decontaminate, host_rules, ngram_join, suffix_dedup
 from ._common import table
 
 
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op4_host_rules(spark, sf_dir):
     return host_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -22,5 +26,5 @@ def op9_suffix_dedup(spark, sf_dir):
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_host_rules, op6_decontaminate, op7_block_dedup, op9_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_host_rules, op6_decontaminate, op7_block_dedup, op9_suffix_dedup)}
 ORACLE_SQL = {"op4_host_rules": host_rules.ORACLE, "op6_decontaminate": decontaminate.ORACLE}
