@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import block_dedup, decontaminate, host_rules, ngram_join, suffix_dedup
+from . import block_dedup, decontaminate, host_rules, license_digest, ngram_join, pii_surrogate, suffix_dedup
 from ._common import table
 
 
@@ -14,6 +14,14 @@ def op4_host_rules(spark, sf_dir):
     return host_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_surrogate(spark, sf_dir):
+    return pii_surrogate.report(table(spark, sf_dir, "documents"))
+
+
+def op10_license_digest(spark, sf_dir):
+    return license_digest.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -26,5 +34,5 @@ def op9_suffix_dedup(spark, sf_dir):
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_host_rules, op6_decontaminate, op7_block_dedup, op9_suffix_dedup)}
-ORACLE_SQL = {"op4_host_rules": host_rules.ORACLE, "op6_decontaminate": decontaminate.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_host_rules, op5_pii_surrogate, op6_decontaminate, op7_block_dedup, op9_suffix_dedup, op10_license_digest)}
+ORACLE_SQL = {"op4_host_rules": host_rules.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op10_license_digest": license_digest.ORACLE}
