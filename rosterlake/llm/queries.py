@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import block_dedup, decontaminate, host_rules, license_digest, ngram_join, pii_surrogate, suffix_dedup
+from . import block_dedup, decontaminate, host_rules, lang_ppm, license_digest, mixing, ngram_join, pii_surrogate, quality_rank, suffix_dedup
 from ._common import table
 
 
@@ -10,6 +10,18 @@ def op1_ngram_join(spark, sf_dir):
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rank(spark, sf_dir):
+    return quality_rank.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_lang_ppm(spark, sf_dir):
+    return lang_ppm.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op4_host_rules(spark, sf_dir):
     return host_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -34,5 +46,5 @@ def op9_suffix_dedup(spark, sf_dir):
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_host_rules, op5_pii_surrogate, op6_decontaminate, op7_block_dedup, op9_suffix_dedup, op10_license_digest)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_rank, op3_lang_ppm, op4_host_rules, op5_pii_surrogate, op6_decontaminate, op7_block_dedup, op8_mixing, op9_suffix_dedup, op10_license_digest)}
 ORACLE_SQL = {"op4_host_rules": host_rules.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op10_license_digest": license_digest.ORACLE}
