@@ -319,3 +319,9 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     linked_docs = tagged.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
     rest = every.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
     return linked_docs.union(rest)
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The documents' own columns without those linked, directly or not, to one with a lesser id."""
+    gone = join(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
