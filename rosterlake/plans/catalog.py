@@ -276,11 +276,11 @@ def sort_bucket(spark, sf_dir):
 
 @query("""
 WITH v AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t FROM events WHERE event_type = 'view'), p AS (SELECT user_id, epoch_us(ts) // 1000 AS t FROM events WHERE event_type = 'purchase')
-SELECT v.user_id, v.event_id, v.t, min(p.t) AS next_at, CASE WHEN min(p.t) IS NULL THEN 'none' WHEN (min(p.t) - v.t) / 86400000.0 > 3 THEN 'late' ELSE 'in time' END AS came FROM v LEFT JOIN p ON p.user_id = v.user_id AND p.t > v.t GROUP BY v.user_id, v.event_id, v.t""")
+SELECT v.user_id, v.event_id, v.t, CAST(min(p.t) AS VARCHAR) AS next_at, CASE WHEN min(p.t) IS NULL THEN 'none' WHEN (min(p.t) - v.t) / 86400000.0 > 3 THEN 'late' ELSE 'in time' END AS came FROM v LEFT JOIN p ON p.user_id = v.user_id AND p.t > v.t GROUP BY v.user_id, v.event_id, v.t""")
 def asof_next_event(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", millis().alias("t"))
     out = jn.next_after(e.where("event_type = 'view'").drop("event_type"), e.where("event_type = 'purchase'").select("user_id", "t"), "user_id", "t", "t")
-    return out.withColumn("came", F.when(F.col("next_at").isNull(), "none").when((F.col("next_at") - F.col("t")) / 86_400_000 > 3, "late").otherwise("in time"))
+    return out.withColumn("came", F.when(F.col("next_at").isNull(), "none").when((F.col("next_at") - F.col("t")) / 86_400_000 > 3, "late").otherwise("in time")).withColumn("next_at", F.col("next_at").cast("string"))
 
 
 @query("""
