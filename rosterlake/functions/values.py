@@ -78,9 +78,12 @@ def blood_pressure(text: Column) -> Column:
 TESTS = ("hiv", "syphilis", "hbs", "hcv", "toxo", "rubella")
 
 
-def category(measure: Column, text: Column) -> Column:
-    """neg, pos, traces, immune, non_immune, yes, no, or null. Punctuation is gone from folded text, so signs are read on the raw one."""
-    t, raw = fold(text), F.trim(text)
+def category(measure: Column, text: Column, folded: Column | None = None) -> Column:
+    """neg, pos, traces, immune, non_immune, yes, no, or null. Punctuation is gone from folded text, so signs are read on the raw one.
+
+    folded: the folded text, where a column holds it already.
+    """
+    t, raw = fold(text) if folded is None else folded, F.trim(text)
     test = measure.isin(*TESTS)
     return (
         F.when(test & t.rlike("non immun"), "non_immune").when(test & t.rlike("immun"), "immune")
@@ -90,9 +93,9 @@ def category(measure: Column, text: Column) -> Column:
     )
 
 
-def age_days(text: Column) -> Column:
-    """Days from days, weeks or months."""
-    n, t = plain_number(text), fold(text)
+def age_days(text: Column, n: Column | None = None, folded: Column | None = None) -> Column:
+    """Days from days, weeks or months. n, folded: the number and the folded text, where columns hold them already."""
+    n, t = plain_number(text) if n is None else n, fold(text) if folded is None else folded
     return F.when(t.rlike(r"\bsem|\bsemaines?\b|\bweeks?\b"), n * 7).when(t.rlike(r"\bmois\b|\bmonths?\b"), n * 30).otherwise(n).cast("int")
 
 
