@@ -68,6 +68,8 @@ class Model:
 
     def __init__(self, texts: dict[str, list[bytes]], least: int = LEAST):
         self.langs = list(texts)
+        if not texts:
+            return
         seen = np.zeros(256, bool)
         for t in texts.values():
             for x in t:
