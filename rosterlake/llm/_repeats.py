@@ -31,6 +31,7 @@ def keyed(batch: pa.RecordBatch) -> np.ndarray:
 
 
 HITS = "t1 long, t2 long, at array<int>"
+HOME = "bucket int, ids binary, at binary"
 PACKED = "bucket int, ids binary, first binary, second binary, at binary, extra binary"
 
 
@@ -61,24 +62,54 @@ def unpacked(batches):
     return tuple(map(np.concatenate, zip(*got, strict=True))) if got else None
 
 
-def hit_batch(ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """Positions gathered by text."""
-    k, off, (values,) = tx.grouped_rows(ids, at)
-    return pa.RecordBatch.from_pydict({"t1": pa.array(k[:, 0], pa.int64()), "t2": pa.array(k[:, 1], pa.int64()), "at": tx.lists(values.astype(np.int32), off)})
+def home_rows(n: int, ids: np.ndarray, at: np.ndarray, **more) -> pa.RecordBatch:
+    """Positions packed by the home bucket of their text: few rows, however many texts there are."""
+    order = np.lexsort((ids[:, 1], ids[:, 0], homes := tx.bucket_of(tx.mix(ids[:, 0].astype(np.uint64)), n)))
+    ids, at, homes = ids[order], at[order], homes[order]
+    bounds = tx.run_bounds(homes)
+    out = {"bucket": [], "ids": [], "at": []}
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        k, off, (values,) = tx.grouped_rows(ids[lo:hi], at[lo:hi])
+        out["bucket"].append(int(homes[lo]))
+        out["ids"].append(tx.blob(np.c_[k, np.diff(off)].astype("<i8")))
+        out["at"].append(tx.pack(values))
+    rows = len(out["bucket"])
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int32()), "ids": pa.array(out["ids"], pa.binary()), "at": pa.array(out["at"], pa.binary())} | {k: pa.array([v] * rows) for k, v in more.items()})
 
 
-def windows_that_repeat(batches):
+def at_home(batches):
+    """One row for each text, with all its positions."""
+    got = []
+    for batch in batches:
+        for ids, at in zip(batch.column("ids").to_pylist(), batch.column("at").to_pylist(), strict=True):
+            runs = np.frombuffer(ids, "<i8").reshape(-1, 3)
+            got.append((np.repeat(runs[:, :2], runs[:, 2], 0), tx.unpack(at).astype(np.int64)))
+    if got:
+        ids, at = map(np.concatenate, zip(*got, strict=True))
+        k, off, (values,) = tx.grouped_rows(ids, at)
+        step = 10_000
+        for lo in range(0, len(k), step):
+            o = off[lo : lo + step + 1]
+            yield pa.RecordBatch.from_pydict({"t1": pa.array(k[lo : lo + step, 0], pa.int64()), "t2": pa.array(k[lo : lo + step, 1], pa.int64()), "at": tx.lists(values[o[0] : o[-1]].astype(np.int32), o - o[0])})
+
+
+def windows_that_repeat(n: int):
     """The reducing side of packed windows: those whose 128-bit hash came twice or more."""
-    got = unpacked(batches)
-    if got is not None:
-        ids, first, second, at, _ = got
-        again = tx.repeated(np.stack([first, second], 1))
-        if again.any():
-            yield hit_batch(ids[again], at[again])
+
+    def run(batches):
+        got = unpacked(batches)
+        if got is not None:
+            ids, first, second, at, _ = got
+            again = tx.repeated(np.stack([first, second], 1))
+            if again.any():
+                yield home_rows(n, ids[again], at[again])
+
+    return run
 
 
 def gathered(hits: DataFrame, name: str) -> DataFrame:
-    return hits.groupBy("t1", "t2").agg(F.flatten(F.collect_list("at")).alias(name))
+    """t1, t2 and all positions of each text. hits: rows made by home_rows."""
+    return hits.select("bucket", "ids", "at").repartition("bucket").mapInArrow(at_home, HITS).withColumnRenamed("at", name)
 
 
 def with_hits(docs: DataFrame, hits: DataFrame, name: str) -> DataFrame:

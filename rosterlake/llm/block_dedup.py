@@ -108,7 +108,7 @@ def blocks_hit(n: int):
         if len(often):
             hit = often[np.minimum(np.searchsorted(often, keys), len(often) - 1)] == keys
             if hit.any():
-                yield rp.hit_batch(ids[hit], at[hit])
+                yield rp.home_rows(n, ids[hit], at[hit])
 
     return run
 
@@ -193,9 +193,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark, block = docs.sparkSession, (window + 1) // 2
     n = buckets(spark)
     texts = docs.select(*rp.text_keys(), "text")
-    hits = settled(texts.mapInArrow(index_and_probes(n, block), rp.PACKED).repartition("bucket").mapInArrow(blocks_hit(n), rp.HITS))
+    hits = settled(texts.mapInArrow(index_and_probes(n, block), rp.PACKED).repartition("bucket").mapInArrow(blocks_hit(n), rp.HOME))
     held = rp.with_hits(docs, hits, "blocks")
-    starts = held.select("t1", "t2", "text", "blocks").mapInArrow(windows_at_hits(n // 2, window, block), rp.PACKED).repartition("bucket").mapInArrow(rp.windows_that_repeat, rp.HITS)
+    starts = held.select("t1", "t2", "text", "blocks").mapInArrow(windows_at_hits(n // 2, window, block), rp.PACKED).repartition("bucket").mapInArrow(rp.windows_that_repeat(n), rp.HOME)
     return held.select("t1", "t2", "text", "copies").join(rp.gathered(starts, "starts"), ["t1", "t2"], "left").mapInArrow(removed(window), REMOVED)
 
 

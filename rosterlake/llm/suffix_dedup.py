@@ -102,13 +102,16 @@ def sampled(n: int, window: int, gram: int):
     return run
 
 
-def names_that_repeat(batches):
-    got = rp.unpacked(batches)
-    if got is not None:
-        ids, keys, _, at, _ = got
-        again = tx.repeated(keys)
-        if again.any():
-            yield rp.hit_batch(ids[again], at[again])
+def names_that_repeat(n: int):
+    def run(batches):
+        got = rp.unpacked(batches)
+        if got is not None:
+            ids, keys, _, at, _ = got
+            again = tx.repeated(keys)
+            if again.any():
+                yield rp.home_rows(n, ids[again], at[again])
+
+    return run
 
 
 def runs(n: int, window: int, gram: int, run_size: int):
@@ -145,33 +148,36 @@ def runs(n: int, window: int, gram: int, run_size: int):
     return run
 
 
-RUNS = "t1 long, t2 long, at array<int>, whole boolean"
+RUNS = rp.HOME + ", whole boolean"
 
 
-def judged_runs(batches):
+def judged_runs(n: int):
     """Runs that are repeated as a whole, and those whose windows must be looked at."""
-    got = rp.unpacked(batches)
-    if got is None:
-        return
-    ids, core, hull, at, _ = got
-    some = tx.repeated(core)
-    ids, core, hull, at = ids[some], core[some], hull[some], at[some]
-    if not len(core):
-        return
-    known = hull != 0
-    again = tx.repeated(np.stack([core, hull], 1)) & known
-    order = np.lexsort((hull, core))
-    c, h, k = core[order], hull[order], known[order]
-    new_core = np.r_[True, c[1:] != c[:-1]]
-    new_class = new_core | np.r_[True, h[1:] != h[:-1]] | ~k
-    group = np.cumsum(new_core) - 1
-    classes = np.bincount(group, new_class)
-    look = np.zeros(len(core), bool)
-    look[order] = new_class & (classes[group] > 1)
-    for mine, whole in ((again, True), (look, False)):
-        if mine.any():
-            out = rp.hit_batch(ids[mine], at[mine])
-            yield out.append_column("whole", pa.array([whole] * len(out)))
+
+    def run(batches):
+        got = rp.unpacked(batches)
+        if got is None:
+            return
+        ids, core, hull, at, _ = got
+        some = tx.repeated(core)
+        ids, core, hull, at = ids[some], core[some], hull[some], at[some]
+        if not len(core):
+            return
+        known = hull != 0
+        again = tx.repeated(np.stack([core, hull], 1)) & known
+        order = np.lexsort((hull, core))
+        c, h, k = core[order], hull[order], known[order]
+        new_core = np.r_[True, c[1:] != c[:-1]]
+        new_class = new_core | np.r_[True, h[1:] != h[:-1]] | ~k
+        group = np.cumsum(new_core) - 1
+        classes = np.bincount(group, new_class)
+        look = np.zeros(len(core), bool)
+        look[order] = new_class & (classes[group] > 1)
+        for mine, whole in ((again, True), (look, False)):
+            if mine.any():
+                yield rp.home_rows(n, ids[mine], at[mine], whole=whole)
+
+    return run
 
 
 def windows_in_runs(n: int, window: int, run_size: int):
@@ -226,14 +232,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, run_size: i
         raise ValueError("window must be at least gram + run_size")
     n = buckets(docs.sparkSession)
     texts = docs.select(*rp.text_keys(), "text").where(F.octet_length("text") >= window)
-    hits = settled(texts.mapInArrow(sampled(n, window, gram), rp.PACKED).repartition("bucket").mapInArrow(names_that_repeat, rp.HITS))
+    hits = settled(texts.mapInArrow(sampled(n, window, gram), rp.PACKED).repartition("bucket").mapInArrow(names_that_repeat(n), rp.HOME))
     held = rp.with_hits(docs.where(F.octet_length("text") >= window), hits, "names")
-    judged = settled(held.select("t1", "t2", "text", "names").mapInArrow(runs(n // 2, window, gram, run_size), rp.PACKED).repartition("bucket").mapInArrow(judged_runs, RUNS))
+    judged = settled(held.select("t1", "t2", "text", "names").mapInArrow(runs(n // 2, window, gram, run_size), rp.PACKED).repartition("bucket").mapInArrow(judged_runs(n), RUNS))
     looked = held.select("t1", "t2", "text").join(rp.gathered(judged.where("not whole"), "look"), ["t1", "t2"])
-    single = looked.mapInArrow(windows_in_runs(n // 2, window, run_size), rp.PACKED).repartition("bucket").mapInArrow(rp.windows_that_repeat, rp.HITS)
-    found = judged.where("whole").select("t1", "t2", F.col("at").alias("whole"), F.lit(None).cast("array<int>").alias("single")).union(
-        single.select("t1", "t2", F.lit(None).cast("array<int>"), "at"))
-    found = found.groupBy("t1", "t2").agg(F.flatten(F.collect_list("whole")).alias("whole"), F.flatten(F.collect_list("single")).alias("single"))
+    single = looked.mapInArrow(windows_in_runs(n // 2, window, run_size), rp.PACKED).repartition("bucket").mapInArrow(rp.windows_that_repeat(n), rp.HOME)
+    found = rp.gathered(judged.where("whole"), "whole").join(rp.gathered(single, "single"), ["t1", "t2"], "full")
     return held.select("t1", "t2", "text", "copies").join(found, ["t1", "t2"], "left").mapInArrow(left_over(window, run_size), REMOVED)
 
 
