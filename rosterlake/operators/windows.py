@@ -79,7 +79,7 @@ def first_sightings(df: DataFrame, key: Sequence[str], at_seconds: Column, ttl:
     none = F.array().cast(rows.schema["a"].dataType)
     kept = F.aggregate("a", F.struct(F.lit(None).cast("bigint").alias("last"), none.alias("kept")), lambda s, x: F.when(
         s["last"].isNull() | (x["t"] - s["last"] > ttl), F.struct(x["t"].cast("bigint").alias("last"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s), lambda s: s["kept"])
-    return rows.select(*key, F.explode(kept).alias("k")).select(*key, F.col("k.t").alias("at_s"), F.col("k.o").alias(order))
+    return rows.select(*key, F.explode(kept).alias("__k")).select(*key, F.col("__k.t").alias("at_s"), F.col("__k.o").alias(order))
 
 
 def top_n(df: DataFrame, group: Sequence[str], order: Sequence, n: int) -> DataFrame:
