@@ -106,7 +106,6 @@ def visits_for(records: DataFrame, visits: DataFrame) -> DataFrame:
 def next_action(state: Column, online: Column) -> Column:
     """What a record waits for."""
     return (
-        F.when(state.isin("CAPTURED", "PENDING_AI", "SAVED", "SYNC_FAILED") & ~online, "WAIT_NETWORK")
-        .when(state.isin("CAPTURED", "PENDING_AI", "AI_PROCESSED"), "WAIT_READING").when(state.isin("NEEDS_REVIEW", "MANUAL_REVIEW_REQUIRED"), "REVIEW")
-        .when(state == "PROCESSING_FAILED", "RETRY").when(state.isin("VALIDATED", "SUSPECTED_DUPLICATE"), "LINK").when(state.isin("PATIENT_LINKED", "SAVED", "SYNC_FAILED"), "WAIT_SYNC").otherwise("NONE")
+        F.when(state.isin("CAPTURED", "PENDING_AI", "SAVED"), F.when(online, "NONE").otherwise("WAIT_NETWORK")).when(state.isin("NEEDS_REVIEW", "MANUAL_REVIEW_REQUIRED"), "REVIEW")
+        .when(state.isin("VALIDATED", "SUSPECTED_DUPLICATE"), "LINK").when(state.isin("PROCESSING_FAILED", "SYNC_FAILED"), "RETRY").otherwise("NONE")
     )
