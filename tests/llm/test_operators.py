@@ -241,6 +241,71 @@ def test_code_lengths_by_hand():
     assert abs(m.lengths(other, np.array([0, 1]))[0, 0] - (np.log2(10 / 2) + 8)) < 1e-5
 
 
+def by_hand(rows, entropy_share, max_repeat, block_docs, hashes):
+    """Weights by plain bisection and draws by plain loops; hashes has what Spark's hash gives for each row, block and source."""
+    import math
+
+    count = lambda t: len((t or "").split())
+    tokens = {}
+    for _, text, source in rows:
+        tokens[source or ""] = tokens.get(source or "", 0) + count(text)
+    total = sum(tokens.values())
+    share = {s: n / total for s, n in tokens.items() if n}
+
+    def weights(alpha):
+        z = sum(p**alpha for p in share.values())
+        return {s: p**alpha / z for s, p in share.items()}
+
+    even = lambda a: -sum(w * math.log(w) for w in weights(a).values()) / math.log(len(share)) >= entropy_share
+    fits = lambda a: max(w / share[s] for s, w in weights(a).items()) <= max_repeat
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if even(mid) else (low, mid)
+    alpha = 1.0 if even(1.0) else low
+    if not fits(alpha):
+        low, high = alpha, 1.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (low, mid) if fits(mid) else (mid, high)
+        alpha = high
+    out = []
+    for s, w in weights(alpha).items():
+        mine = [r for r in hashes if r["src"] == s]
+        epochs, rest = divmod(round(w * total), tokens[s])
+        blocks = {}
+        for r in mine:
+            out += [(r["doc_id"], s or None, e) for e in range(epochs)]
+            blocks.setdefault(r["block"], []).append(r)
+        for block in sorted(blocks.values(), key=lambda b: (b[0]["block_order"][epochs], b[0]["block"])):
+            if rest <= 0:
+                break
+            left = rest
+            for r in sorted((r for r in block if r["n"]), key=lambda r: r["order"][epochs]):
+                left -= r["n"]
+                if left < 0:
+                    break
+                out.append((r["doc_id"], s or None, epochs))
+            rest -= sum(r["n"] for r in block)
+    return out
+
+
+def test_mixing_by_hand(spark):
+    rows = [(i, " ".join(["w"] * (5 + i % 7)), "big" if i % 10 else f"s{i % 30}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = {}
+    for _, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + 1
+    held = spark.createDataFrame(list(sizes.items()), "source string, docs long")
+    key = mixing.row_key()
+    hashes = df.join(held, "source").withColumn("key", key).select(
+        "doc_id", F.col("source").alias("src"), F.size(host_rules.words(F.col("text"))).alias("n"), F.pmod(F.xxhash64(F.lit(0), "key"), F.ceil(F.col("docs") / 50)).alias("block"), "key").withColumn(
+        "order", F.array(*[F.xxhash64(F.lit(2), F.lit(e).cast("long"), "key") for e in range(9)])).withColumn("block_order", F.array(*[F.xxhash64(F.lit(1), F.lit(e).cast("long"), "src", "block") for e in range(9)])).collect()
+    for entropy, repeat in ((0.9, 4.0), (0.97, 1.5), (0.1, 4.0)):
+        got = mixing.mix(df, entropy_share=entropy, max_repeat=repeat, block_docs=50).select("doc_id", "source", "epoch").collect()
+        assert ordered(got) == ordered(by_hand(rows, entropy, repeat, 50, hashes))
+
+
 def test_mixing(spark):
     rows = [(i, " ".join(["w"] * (5 + i % 7)), "big" if i % 10 else f"s{i % 30}") for i in range(3000)] + [(None, "x y", None), (9000, None, "big"), (9001, "", ""), (9002, "z", "s10")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
