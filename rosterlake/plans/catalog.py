@@ -8,9 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import display as dp
+from ..functions import reading as rd
 from ..functions import text as tf
 from ..functions import values as vf
 from ..operators import aggregate as ag
+from ..operators import forms as fm
 from ..operators import joins as jn
 from ..operators import lifecycle as lc
 from ..operators import windows as wd
@@ -543,6 +546,81 @@ def nested_document(spark, sf_dir):
     return doc.select("o_orderkey", F.size("a").cast("bigint").alias("n_lines"), F.array_join(shown, ",").alias("lines"))
 
 
+@query("SELECT o_orderkey, CAST((o_orderkey - 1) // 8 AS INT) + 1 AS booklet, CAST((o_orderkey - 1) % 8 AS INT) + 1 AS position FROM orders WHERE o_orderkey >= 1")
+def booklet_position(spark, sf_dir):
+    patient, position = fm.booklet_position(F.col("o_orderkey"))
+    return read(spark, sf_dir, "orders").where("o_orderkey >= 1").select("o_orderkey", patient.alias("booklet"), position.alias("position"))
+
+
+@query("""
+SELECT c_custkey, c_name FROM customer WHERE contains(regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g'), 'MER123') OR levenshtein(translate(regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g'), 'OQDILSZBG', '000115286'), translate('CUSTOMER000000123', 'OQDILSZBG', '000115286')) <= 1
+ OR contains(regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g'), 'CUSTOMER000000123')""")
+def search_codes(spark, sf_dir):
+    """Customers found by a code or what looks like it."""
+    c = read(spark, sf_dir, "customer")
+    return c.where(rd.search_match(F.col("c_name"), F.lit("Customer#000000123")) | jn.normalized_code(F.col("c_name"), True).contains("MER123")).select("c_custkey", "c_name")
+
+
+@query("""
+WITH v AS (SELECT event_id, list_extract(['RAS', 'néant', 'Normal', 'asthme', '0', '-', 'diabète', 'aucune'], CAST(event_id % 8 AS INT) + 1) AS v FROM events) SELECT event_id, v FROM v WHERE lower(v) NOT IN ('ras', 'aucun', 'aucune', 'néant', 'neant', 'rien', 'normal', 'non', '-', '0')""")
+def noteworthy_filter(spark, sf_dir):
+    v = F.get(F.array(*map(F.lit, ["RAS", "néant", "Normal", "asthme", "0", "-", "diabète", "aucune"])), F.expr("cast(event_id % 8 as int)"))
+    return read(spark, sf_dir, "events").select("event_id", v.alias("v")).where(rd.noteworthy(F.col("v")))
+
+
+@query("""
+WITH w AS (SELECT event_id, list_extract(['integer', 'weight', 'weight', 'date', 'checkbox', 'text'], CAST(event_id % 6 AS INT) + 1) AS kind, CASE event_id % 6 WHEN 0 THEN (event_id % 50) || ' ans' WHEN 1 THEN (event_id % 90 + 10) || ',5 kg' WHEN 2 THEN '' || (event_id % 600) WHEN 3 THEN (event_id % 28 + 1) || '/' || (event_id % 12 + 1) || '/2024' WHEN 4 THEN 'oui' ELSE '-' END AS written FROM events)
+SELECT event_id, kind, written, CASE event_id % 6 WHEN 0 THEN '' || (event_id % 50) WHEN 1 THEN '' || ((event_id % 90 + 10) * 1000 + 500) WHEN 2 THEN '' || CASE WHEN event_id % 600 < 300 THEN (event_id % 600) * 1000 ELSE event_id % 600 END WHEN 3 THEN '2024-' || lpad('' || (event_id % 12 + 1), 2, '0') || '-' || lpad('' || (event_id % 28 + 1), 2, '0') WHEN 4 THEN 'true' END AS value,
+ CASE event_id % 6 WHEN 5 THEN 'NOT_PROVIDED' ELSE 'KNOWN' END AS status FROM w""")
+def typed_corrections(spark, sf_dir):
+    kind = F.get(F.array(*map(F.lit, ["integer", "weight", "weight", "date", "checkbox", "text"])), F.expr("cast(event_id % 6 as int)"))
+    written = F.expr("case event_id % 6 when 0 then (event_id % 50) || ' ans' when 1 then (event_id % 90 + 10) || ',5 kg' when 2 then '' || (event_id % 600) when 3 then (event_id % 28 + 1) || '/' || (event_id % 12 + 1) || '/2024' when 4 then 'oui' else '-' end")
+    rows = read(spark, sf_dir, "events").select("event_id", kind.alias("kind"), written.alias("written"))
+    return rows.withColumn("t", dp.typed(F.col("kind"), F.col("written"))).select("event_id", "kind", "written", "t.value", "t.status")
+
+
+@query("""
+WITH c AS (SELECT o_orderkey, list_extract(['CAPTURED', 'NEEDS_REVIEW', 'VALIDATED', 'SYNC_FAILED', 'SYNCED', 'PROCESSING_FAILED'], CAST(o_orderkey % 6 AS INT) + 1) AS state FROM orders)
+SELECT state, count(*) AS n, CASE state WHEN 'CAPTURED' THEN 0 WHEN 'PROCESSING_FAILED' THEN 1 WHEN 'NEEDS_REVIEW' THEN 2 WHEN 'VALIDATED' THEN 3 ELSE 4 END AS step,
+ CASE state WHEN 'CAPTURED' THEN 'WAIT_NETWORK' WHEN 'NEEDS_REVIEW' THEN 'REVIEW' WHEN 'VALIDATED' THEN 'LINK' WHEN 'SYNCED' THEN 'NONE' ELSE 'RETRY' END AS action FROM c GROUP BY ALL""")
+def step_progress(spark, sf_dir):
+    state = F.get(F.array(*map(F.lit, ["CAPTURED", "NEEDS_REVIEW", "VALIDATED", "SYNC_FAILED", "SYNCED", "PROCESSING_FAILED"])), F.expr("cast(o_orderkey % 6 as int)"))
+    n = read(spark, sf_dir, "orders").select(state.alias("state")).groupBy("state").agg(F.count("*").alias("n"))
+    return n.select("state", "n", rd.step_index(F.col("state")).alias("step"), lc.next_action(F.col("state"), F.lit(False)).alias("action"))
+
+
+@query("""
+WITH a AS (SELECT event_type, event_id, CASE event_id % 4 WHEN 0 THEN 'Casa' WHEN 1 THEN 'ILLEGIBLE' WHEN 2 THEN 'Rabat' ELSE 'EMPTY' END AS a, event_id % 3 AS v FROM events),
+j AS (SELECT event_type, CASE WHEN a = 'ILLEGIBLE' THEN 'abstention' WHEN v = 0 THEN CASE WHEN a = 'EMPTY' THEN 'juste' ELSE 'fausse' END WHEN (v = 1 AND a = 'Casa') OR (v = 2 AND a = 'Rabat') THEN 'juste' ELSE 'fausse' END AS j FROM a)
+SELECT event_type, count(*) AS n, CAST(count_if(j = 'juste') AS BIGINT) AS juste, CAST(count_if(j = 'fausse') AS BIGINT) AS fausse, CAST(count_if(j = 'abstention') AS BIGINT) AS abstention FROM j GROUP BY 1""")
+def verdict_shares(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("event_type", F.expr("case event_id % 4 when 0 then 'Casa' when 1 then 'ILLEGIBLE' when 2 then 'Rabat' else 'EMPTY' end").alias("a"), F.expr("case event_id % 3 when 0 then cast(array() as array<string>) when 1 then array('casa') else array('Rabat ') end").alias("v"))
+    return rd.verdict_shares(rows, "event_type", "a", "v")
+
+
+@query("""
+SELECT p_brand, median(p_size) AS median_size, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part GROUP BY 1""")
+def median_and_bounds(spark, sf_dir):
+    return read(spark, sf_dir, "part").groupBy("p_brand").agg(F.percentile("p_size", F.lit(0.5)).alias("median_size"), F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"))
+
+
+@query("""
+WITH c AS (SELECT c_nationkey, c_custkey, 's' || (c_custkey % 7) AS label, row_number() OVER (PARTITION BY c_nationkey, c_custkey % 7 ORDER BY c_custkey) AS n FROM customer) SELECT c_nationkey, c_custkey, CASE WHEN n = 1 THEN label ELSE label || '_' || n END AS id FROM c""")
+def unique_ids(spark, sf_dir):
+    """Ids from labels, numbered from the second of a name."""
+    rows = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("page_id"), F.col("c_custkey").alias("ordinal"), F.expr("'s' || (c_custkey % 7)").alias("label"), F.col("c_custkey").cast("string").alias("value"), F.lit("KNOWN").alias("status"))
+    return fm.deduplicated(rows).select(F.col("page_id").alias("c_nationkey"), F.col("ordinal").alias("c_custkey"), "id")
+
+
+@query("""
+WITH n AS (SELECT n_nationkey, s_suppkey, s_acctbal FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey) SELECT n_nationkey, count(s_suppkey) AS n_suppliers, coalesce(string_agg(s_suppkey, ',' ORDER BY s_acctbal, s_suppkey), '') AS suppliers FROM n GROUP BY 1""")
+def snapshot_nested(spark, sf_dir):
+    """Nations with their suppliers nested, grouped before the join."""
+    s = read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_acctbal", "s_suppkey"))).alias("a"))
+    n = read(spark, sf_dir, "nation").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    return n.select("n_nationkey", F.coalesce(F.size("a"), F.lit(0)).cast("bigint").alias("n_suppliers"), F.coalesce(F.array_join(F.transform("a", lambda x: x["s_suppkey"].cast("string")), ","), F.lit("")).alias("suppliers"))
+
+
 # ---------------------------------------------------------------- Spark's own, beyond the form language
 
 
