@@ -23,10 +23,10 @@ def blocks(docs, window):
 
 def suffixes(docs, window):
     texts = [(t or "").encode() for _, t in docs]
-    seen = Counter(b[i : i + window] for b in texts for i in range(len(b) - window + 1))
+    seen = Counter(hash(b[i : i + window]) for b in texts for i in range(len(b) - window + 1))
     out = []
     for (doc, _), b in zip(docs, texts, strict=True):
-        gone = {k for i in range(len(b) - window + 1) if seen[b[i : i + window]] > 1 for k in range(i, i + window)}
+        gone = {k for i in range(len(b) - window + 1) if seen[hash(b[i : i + window])] > 1 for k in range(i, i + window)}
         spans = sum(i in gone and i - 1 not in gone for i in range(len(b)))
         out.append((doc, len(b), len(gone), spans, hashlib.sha256(bytes(x for i, x in enumerate(b) if i not in gone)).hexdigest()))
     return out
