@@ -82,7 +82,8 @@ def judge(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
 def keep(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     """The documents that pass the base rules and whose host does, with their own columns."""
     failed = base_rules(docs.select("doc_id", "source", "text")).select("source", "base_failed")
-    bad = host_verdicts(failed, max_rate).where(~F.col("host_kept")).select(F.col("host").alias("__host"))
+    # written first: their size is known when the join is planned, and texts are shuffled only where they are too many to broadcast
+    bad = settled(host_verdicts(failed, max_rate).where(~F.col("host_kept")).select(F.col("host").alias("__host")))
     good = docs.where(~_failed(F.col("text")))
     return good.join(bad, F.col("source").eqNullSafe(F.col("__host")), "left_anti")
 
