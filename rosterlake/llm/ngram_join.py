@@ -41,6 +41,9 @@ SLAB = 4096
 #: Sizes of a class differ by this factor at most.
 CLASS_RATIO = 1.5
 KEY_BITS = 48
+#: Keys sorted and packed at once, and texts turned to sets at once: they bound a task's memory.
+PACKED_KEYS = 400_000
+SETS_AT_ONCE = 500
 
 
 class Shingles:
@@ -123,23 +126,28 @@ def filed(n: int, percent: int, n_buckets: int):
     """Keys of each bucket with a set each; sets that share a key here already go on as links (no keys)."""
     drop = tx.U64(64 - KEY_BITS)
 
+    def packed(keys, sets):
+        keys, sets, links = stars(np.concatenate(keys), np.concatenate(sets))
+        rows = [(-1 - int(links[0, 0]) % n_buckets, b"", tx.blob(links))] if len(links) else []
+        bounds = tx.run_bounds(b := tx.bucket_of(keys, n_buckets))
+        rows += [(int(b[lo]), tx.pack(np.diff(keys[lo:hi] >> drop, prepend=tx.U64(0))), tx.blob(sets[lo:hi])) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "sets": pa.array([r[2] for r in rows], pa.binary())})
+
     def run(batches):
         shingles = Shingles(n)
+        keys, sets, held = [], [], 0
         for batch in batches:
-            keys, sets = [], []
             for _, x in shingles.sets(batch.column("text")):
                 if len(x):
                     k = keys_of(x, percent)
                     keys.append(k)
                     sets.append(np.full(len(k), set_keys(x)[0]))
-            if not keys:
-                continue
-            keys, sets = np.concatenate(keys), np.concatenate(sets)
-            keys, sets, links = stars(keys, sets)
-            rows = [(-1 - int(links[0, 0]) % n_buckets, b"", tx.blob(links))] if len(links) else []
-            bounds = tx.run_bounds(b := tx.bucket_of(keys, n_buckets))
-            rows += [(int(b[lo]), tx.pack(np.diff(keys[lo:hi] >> drop, prepend=tx.U64(0))), tx.blob(sets[lo:hi])) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "sets": pa.array([r[2] for r in rows], pa.binary())})
+                    held += len(k)
+                    if held >= PACKED_KEYS:
+                        yield packed(keys, sets)
+                        keys, sets, held = [], [], 0
+        if keys:
+            yield packed(keys, sets)
 
     return run
 
@@ -175,9 +183,11 @@ def with_sets(n: int):
 
     def run(batches):
         shingles = Shingles(n)
-        for batch in batches:
-            held = pa.array([tx.blob(x) for _, x in shingles.sets(batch.column("text"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([held if k == "text" else batch.column(k) for k in batch.schema.names], [("held" if k == "text" else k) for k in batch.schema.names])
+        for whole in batches:
+            for lo in range(0, len(whole), SETS_AT_ONCE):
+                batch = whole.slice(lo, SETS_AT_ONCE)
+                held = pa.array([tx.blob(x) for _, x in shingles.sets(batch.column("text"))], pa.binary())
+                yield pa.RecordBatch.from_arrays([held if k == "text" else batch.column(k) for k in batch.schema.names], [("held" if k == "text" else k) for k in batch.schema.names])
 
     return run
 
@@ -283,7 +293,7 @@ def candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def dealt(groups: DataFrame, percent: int) -> DataFrame:
-    """A row for each meeting that a set takes part in: meeting, side. groups: grp, s1, n and others."""
+    """A row for each meeting that a set takes part in: meeting, side. groups: grp, s1, n and others (no texts: a set has a row for each)."""
     size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
     own = groups.withColumn("c", size_class)
     sizes = own.groupBy("grp", "c").agg(F.count("*").alias("size"))
@@ -306,10 +316,11 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     every = settled(docs.select("doc_id", *rp.text_keys(), "text").mapInArrow(described(n), META.format(kind=kind)))
     sets = every.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("t1").alias("t1"), F.min_by("t2", "t1").alias("t2"), F.max("n").alias("n"), F.count("*").alias("copies"))
     groups = components(candidates(known, n, percent))
-    members = sets.join(groups.select(F.col("node").alias("s1"), F.col("root").alias("grp")), "s1")
+    members = settled(sets.join(groups.select(F.col("node").alias("s1"), F.col("root").alias("grp")), "s1"))
     texts = rp.distinct_texts(known).drop("copies")
-    held = members.join(texts, ["t1", "t2"]).select("grp", "s1", "n", "copies", "text").mapInArrow(with_sets(n), "grp long, s1 long, n long, copies long, held binary")
-    met_rows = dealt(settled(held), percent).repartition("meeting").sortWithinPartitions("meeting").select("meeting", "s1", "copies", "side", "held")
+    held = dealt(members, percent).select("t1", "t2", "meeting", "s1", "copies", "side").join(texts, ["t1", "t2"]).select("meeting", "s1", "copies", "side", "text")
+    held = held.mapInArrow(with_sets(n), "meeting long, s1 long, copies long, side int, held binary")
+    met_rows = held.repartition("meeting").sortWithinPartitions("meeting")
     links = settled(met_rows.mapInArrow(meetings(percent), LINKS))
     roots = components(links.where("b is not null").select("a", "b")).select(F.col("node").alias("s1"), "root")
     counts = links.where("b is null").groupBy(F.col("a").alias("s1")).agg(F.sum("links").alias("links"))
@@ -323,5 +334,6 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents' own columns without those linked, directly or not, to one with a lesser id."""
-    gone = join(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    # written first, so that the join is planned by their size
+    gone = settled(join(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
