@@ -35,7 +35,7 @@ HOME = "bucket int, ids binary, at binary"
 PACKED = "bucket int, ids binary, first binary, second binary, at binary, extra binary"
 
 
-def packed_rows(n: int, ids: np.ndarray, row: np.ndarray, first: np.ndarray, second: np.ndarray, at: np.ndarray, extra: np.ndarray | None = None):
+def packed_rows(n: int, ids: np.ndarray, row: np.ndarray, first: np.ndarray, second: np.ndarray, at: np.ndarray):
     """One row for each bucket of ``first``: its keys, positions, and the texts they are of (by run)."""
     out = {k: [] for k in ("bucket", "ids", "first", "second", "at", "extra")}
     order, parts = tx.by_bucket(first, n)
@@ -48,18 +48,43 @@ def packed_rows(n: int, ids: np.ndarray, row: np.ndarray, first: np.ndarray, sec
         out["first"].append(tx.pack(first[mine]))
         out["second"].append(tx.pack(second[mine]))
         out["at"].append(tx.pack(at[mine]))
-        out["extra"].append(tx.pack(extra[mine]) if extra is not None else b"")
+        out["extra"].append(b"")
     return pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int32()), **{k: pa.array(out[k], pa.binary()) for k in ("ids", "first", "second", "at", "extra")}})
 
 
+def combined(n: int, homes: int, ids: np.ndarray, row: np.ndarray, first: np.ndarray, second: np.ndarray, at: np.ndarray, known: np.ndarray | None = None):
+    """packed_rows after a look within the batch: what repeats here is a repeat already, and one row of each stands for all elsewhere.
+
+    So a hash that every document has puts a row for each batch into its bucket,
+    not a row for each document. known: which rows may be told apart by their hash.
+    """
+    order = np.lexsort((second, first))
+    a, b = first[order], second[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    if known is not None:
+        new |= ~known[order]
+    group = np.cumsum(new) - 1
+    again, head = np.zeros(len(first), bool), np.zeros(len(first), bool)
+    again[order], head[order] = np.bincount(group)[group] > 1, new
+    if again.any():
+        mine = home_rows(homes, ids[row[again]], at[again])
+        none = pa.array([b""] * len(mine), pa.binary())
+        yield pa.RecordBatch.from_arrays([mine.column("bucket"), mine.column("ids"), none, none, mine.column("at"), none], ["bucket", "ids", "first", "second", "at", "extra"])
+    yield packed_rows(n, ids, row[head], first[head], second[head], at[head])
+
+
 def unpacked(batches):
-    """All rows of a partition: (ids, first, second, at, extra), or None."""
-    got = []
+    """(all packed rows of a partition as (ids, first, second, at), or None; batches of home rows that only pass)."""
+    got, passed = [], []
     for batch in batches:
-        for ids, first, second, at, extra in zip(*(batch.column(k).to_pylist() for k in ("ids", "first", "second", "at", "extra")), strict=True):
-            runs = np.frombuffer(ids, "<i8").reshape(-1, 3)
-            got.append((np.repeat(runs[:, :2], runs[:, 2], 0), tx.unpack(first), tx.unpack(second), tx.unpack(at).astype(np.int64), tx.unpack(extra) if extra else np.zeros(len(runs), np.uint64)))
-    return tuple(map(np.concatenate, zip(*got, strict=True))) if got else None
+        on = [i for i, f in enumerate(batch.column("first").to_pylist()) if not f]
+        if on:
+            passed.append(batch.select(["bucket", "ids", "at"]).take(pa.array(on)))
+        for ids, first, second, at in zip(*(batch.column(k).to_pylist() for k in ("ids", "first", "second", "at")), strict=True):
+            if first:
+                runs = np.frombuffer(ids, "<i8").reshape(-1, 3)
+                got.append((np.repeat(runs[:, :2], runs[:, 2], 0), tx.unpack(first), tx.unpack(second), tx.unpack(at).astype(np.int64)))
+    return tuple(map(np.concatenate, zip(*got, strict=True))) if got else None, passed
 
 
 def home_rows(n: int, ids: np.ndarray, at: np.ndarray, **more) -> pa.RecordBatch:
@@ -97,9 +122,10 @@ def windows_that_repeat(n: int):
     """The reducing side of packed windows: those whose 128-bit hash came twice or more."""
 
     def run(batches):
-        got = unpacked(batches)
+        got, passed = unpacked(batches)
+        yield from passed
         if got is not None:
-            ids, first, second, at, _ = got
+            ids, first, second, at = got
             again = tx.repeated(np.stack([first, second], 1))
             if again.any():
                 yield home_rows(n, ids[again], at[again])

@@ -78,12 +78,12 @@ def index_and_probes(n: int, block: int):
             few[2:] = p[2:] != p[:-2]  # twice is as good as often
             p = p[few]
             keys, doc, at = map(np.concatenate, zip(*held, strict=True))
-            packed = rp.packed_rows(n, ids, doc, keys, np.zeros(len(keys), np.uint64), at)
+            packed = list(rp.combined(n, n, ids, doc, keys, np.zeros(len(keys), np.uint64), at))
             bounds = tx.run_bounds(b := tx.bucket_of(p, n))
             rows = [(int(b[lo]), tx.pack(np.diff(p[lo:hi] >> drop, prepend=tx.U64(0)))) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             none = [b""] * len(rows)
-            yield packed
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "ids": none, "first": none, "second": none, "at": none, "extra": [r[1] for r in rows]}, schema=packed.schema)
+            yield from packed
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "ids": none, "first": none, "second": none, "at": none, "extra": [r[1] for r in rows]}, schema=packed[-1].schema)
 
     return run
 
@@ -92,14 +92,18 @@ def blocks_hit(n: int):
     drop = tx.U64(64 - key_bits(n))
 
     def run(batches):
-        probes, blocks = [], []
+        probes, blocks, passed = [], [], []
         for batch in batches:
-            for ids, first, at, extra in zip(*(batch.column(k).to_pylist() for k in ("ids", "first", "at", "extra")), strict=True):
-                if ids:
+            for bucket, ids, first, at, extra in zip(*(batch.column(k).to_pylist() for k in ("bucket", "ids", "first", "at", "extra")), strict=True):
+                if ids and not first:  # hits that were found on the other side already
+                    passed.append((bucket, ids, at))
+                elif ids:
                     runs = np.frombuffer(ids, "<i8").reshape(-1, 3)
                     blocks.append((np.repeat(runs[:, :2], runs[:, 2], 0), tx.unpack(first) >> drop, tx.unpack(at).astype(np.int64)))
                 else:
                     probes.append(np.cumsum(tx.unpack(extra), dtype=np.uint64))
+        if passed:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*passed, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "ids", "at"])
         if not blocks:
             return
         p = np.sort(np.concatenate(probes))
@@ -113,7 +117,7 @@ def blocks_hit(n: int):
     return run
 
 
-def windows_at_hits(n: int, window: int, block: int):
+def windows_at_hits(n: int, homes: int, window: int, block: int):
     """Packed 128-bit hashes of every window whose first whole block is hit."""
 
     def run(batches):
@@ -137,7 +141,7 @@ def windows_at_hits(n: int, window: int, block: int):
                 lo = at + woff[doc]
                 out.append((doc + row, words.a.span(words.a.prefix(h), lo, lo + window), words.b.span(words.b.prefix(h), lo, lo + window), at))
             if out:
-                yield rp.packed_rows(n, ids, *map(np.concatenate, zip(*out, strict=True)))
+                yield from rp.combined(n, homes, ids, *map(np.concatenate, zip(*out, strict=True)))
 
     return run
 
@@ -195,7 +199,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     texts = docs.select(*rp.text_keys(), "text")
     hits = settled(texts.mapInArrow(index_and_probes(n, block), rp.PACKED).repartition("bucket").mapInArrow(blocks_hit(n), rp.HOME))
     held = rp.with_hits(docs, hits, "blocks")
-    starts = held.select("t1", "t2", "text", "blocks").mapInArrow(windows_at_hits(n // 2, window, block), rp.PACKED).repartition("bucket").mapInArrow(rp.windows_that_repeat(n), rp.HOME)
+    starts = held.select("t1", "t2", "text", "blocks").mapInArrow(windows_at_hits(n // 2, n, window, block), rp.PACKED).repartition("bucket").mapInArrow(rp.windows_that_repeat(n), rp.HOME)
     return held.select("t1", "t2", "text", "copies").join(rp.gathered(starts, "starts"), ["t1", "t2"], "left").mapInArrow(removed(window), REMOVED)
 
 

@@ -97,16 +97,17 @@ def sampled(n: int, window: int, gram: int):
                 out.append((doc + row, keys, place - off[doc]))
             if out:
                 doc, keys, at = map(np.concatenate, zip(*out, strict=True))
-                yield rp.packed_rows(n, ids, doc, keys, np.zeros(len(keys), np.uint64), at)
+                yield from rp.combined(n, n, ids, doc, keys, np.zeros(len(keys), np.uint64), at)
 
     return run
 
 
 def names_that_repeat(n: int):
     def run(batches):
-        got = rp.unpacked(batches)
+        got, passed = rp.unpacked(batches)
+        yield from passed
         if got is not None:
-            ids, keys, _, at, _ = got
+            ids, keys, _, at = got
             again = tx.repeated(keys)
             if again.any():
                 yield rp.home_rows(n, ids[again], at[again])
@@ -114,7 +115,7 @@ def names_that_repeat(n: int):
     return run
 
 
-def runs(n: int, window: int, gram: int, run_size: int):
+def runs(n: int, homes: int, window: int, gram: int, run_size: int):
     """Packed rows of the runs of windows before each repeated sample suffix: core, hull, where the run begins."""
     core_size = window - run_size + 1
 
@@ -143,7 +144,8 @@ def runs(n: int, window: int, gram: int, run_size: int):
                 hull[whole] = look.b.span(pb, begin[whole], end[whole] + window) ^ tx.mix(look.a.span(pa_, begin[whole], end[whole] + window))
                 out.append((doc + row, core, hull, begin - off[doc] + run_size))
             if out:
-                yield rp.packed_rows(n, ids, *map(np.concatenate, zip(*out, strict=True)))
+                doc, core, hull, at = map(np.concatenate, zip(*out, strict=True))
+                yield from rp.combined(n, homes, ids, doc, core, hull, at, known=hull != 0)
 
     return run
 
@@ -155,10 +157,12 @@ def judged_runs(n: int):
     """Runs that are repeated as a whole, and those whose windows must be looked at."""
 
     def run(batches):
-        got = rp.unpacked(batches)
+        got, passed = rp.unpacked(batches)
+        for batch in passed:
+            yield batch.append_column("whole", pa.array([True] * len(batch)))
         if got is None:
             return
-        ids, core, hull, at, _ = got
+        ids, core, hull, at = got
         some = tx.repeated(core)
         ids, core, hull, at = ids[some], core[some], hull[some], at[some]
         if not len(core):
@@ -180,7 +184,7 @@ def judged_runs(n: int):
     return run
 
 
-def windows_in_runs(n: int, window: int, run_size: int):
+def windows_in_runs(n: int, homes: int, window: int, run_size: int):
     def run(batches):
         look = Bytes()
         for batch in batches:
@@ -199,7 +203,7 @@ def windows_in_runs(n: int, window: int, run_size: int):
                 lo = at + off[doc]
                 out.append((doc + row, look.a.span(pa_, lo, lo + window), look.b.span(pb, lo, lo + window), at))
             if out:
-                yield rp.packed_rows(n, ids, *map(np.concatenate, zip(*out, strict=True)))
+                yield from rp.combined(n, homes, ids, *map(np.concatenate, zip(*out, strict=True)))
 
     return run
 
@@ -234,9 +238,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, run_size: i
     texts = docs.select(*rp.text_keys(), "text").where(F.octet_length("text") >= window)
     hits = settled(texts.mapInArrow(sampled(n, window, gram), rp.PACKED).repartition("bucket").mapInArrow(names_that_repeat(n), rp.HOME))
     held = rp.with_hits(docs.where(F.octet_length("text") >= window), hits, "names")
-    judged = settled(held.select("t1", "t2", "text", "names").mapInArrow(runs(n // 2, window, gram, run_size), rp.PACKED).repartition("bucket").mapInArrow(judged_runs(n), RUNS))
+    judged = settled(held.select("t1", "t2", "text", "names").mapInArrow(runs(n // 2, n, window, gram, run_size), rp.PACKED).repartition("bucket").mapInArrow(judged_runs(n), RUNS))
     looked = held.select("t1", "t2", "text").join(rp.gathered(judged.where("not whole"), "look"), ["t1", "t2"])
-    single = looked.mapInArrow(windows_in_runs(n // 2, window, run_size), rp.PACKED).repartition("bucket").mapInArrow(rp.windows_that_repeat(n), rp.HOME)
+    single = looked.mapInArrow(windows_in_runs(n // 2, n, window, run_size), rp.PACKED).repartition("bucket").mapInArrow(rp.windows_that_repeat(n), rp.HOME)
     found = rp.gathered(judged.where("whole"), "whole").join(rp.gathered(single, "single"), ["t1", "t2"], "full")
     return held.select("t1", "t2", "text", "copies").join(found, ["t1", "t2"], "left").mapInArrow(left_over(window, run_size), REMOVED)
 
