@@ -36,8 +36,9 @@ MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа"]
 PERSON = r"(?<![\p{L}])(?:" + "|".join(MALE + FEMALE) + r")\.? \p{Lu}\p{Ll}[\p{L}'-]{0,30}(?: \p{Lu}\p{Ll}[\p{L}'-]{0,30})?"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, PHONE, IP, NUMBER, PERSON))
-#: What a text must hold for any entity to be there.
-CHEAP = r"@|\d{4}|\d\.\d|[0-9A-Fa-f]{32}|=|:|" + "|".join(MALE + FEMALE)
+#: What a text must hold for any entity to be there: an e-mail address has @, a secret = or : or 32 hexadecimal
+#: digits, a telephone, IP or long number a digit, a name its title. It follows from each pattern, whatever its format.
+CHEAP = r"[@=:\d]|[A-Fa-f]{32}|" + "|".join(MALE + FEMALE)
 # Given names by script and gender, and syllables of family names.
 GIVEN = {
     ("latin", "m"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Jonas", "Leon", "Marco", "Nico", "Oscar", "Paul", "Robin", "Simon", "Victor"],
