@@ -428,7 +428,7 @@ def pii_shape(spark, sf_dir):
 @query()
 def pii_rule(spark, sf_dir):
     """The whole cascade on labels and values, Arabic similarity included."""
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", tf.is_personal(F.col("role"), F.substring("text", 1, 200)).alias("personal"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", tf.is_personal(F.col("role"), F.col("text")).alias("personal"))
 
 
 @query("SELECT c_custkey, '***' || right(c_name, 4) AS masked, regexp_replace(trim(regexp_replace(lower(c_name || ' ' || c_mktsegment), '[^a-z0-9/?]+', ' ', 'g')), '[^a-z0-9]+', '_', 'g')[1:60] AS slug FROM customer")
