@@ -1,8 +1,9 @@
 """Personal data replaced by keyed surrogates, in DataFrame functions only.
 
-Entities are found by shape: e-mail addresses, secrets (quoted after a key word,
-or long hexadecimal strings), telephone numbers, IP addresses, long numbers
-(cards, accounts) and titled names. A surrogate is a function of a secret key,
+Entities are found by shape: e-mail addresses, secrets (quoted or bare after a
+key word, or long hexadecimal strings), telephone numbers (international, with a
+leading zero, or 3-3-4 digits), IP addresses, long numbers (cards, accounts,
+identity numbers in their usual groups, IBANs) and titled names. A surrogate is a function of a secret key,
 the type, the entity's canonical form and an attempt number, so an entity gets
 the same one in every document and spelling. It keeps the type and the format:
 letters stay letters of their case, digits digits, separators in place; numbers
@@ -14,6 +15,17 @@ meet, or hit a real entity, all but one take the next attempt, until none do.
 Only entities past attempt 0 are joined back; texts are not shuffled unless
 those are too many to broadcast.
 
+Not detected: secrets under eight characters, with spaces, or without a key word
+unless they are 32 hexadecimal digits or more; other key words than those of
+SECRET_HEAD; national telephone numbers without a leading zero in other groups
+than 3-3-4, local ones, and dotted or slashed ones that read as a date; identity
+numbers of letters with fewer than nine digits (but eight and a letter are) or
+in other groups than GROUPED; IPv6; addresses with non-ASCII letters; names
+without a title, third and further names; postal addresses and dates of birth.
+Shapes are all that is looked at, so a bare word of eight characters after
+"password:", and numbers grouped like a telephone's, are replaced too. One number
+in national and in international form counts as two entities.
+
 Edge cases: null texts stay null, empty ones empty; text around entities is
 untouched; ids may be null or repeat.
 """
@@ -27,15 +39,26 @@ from ._common import row_key, settled
 from .host_rules import let
 
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,4}"
-SECRET = r'(?i:token|secret|password|passwd|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}"[^"\s]{8,256}"|(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])'
-PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)"
+# Words that a secret follows.
+SECRET_HEAD = r"(?i:token|secret|password|passwd|api[_-]?key)[\"']?[ \t]*+[=:][ \t]*+"
+SECRET = SECRET_HEAD + r"""(?:"[^"\s]{8,}+"|'[^'\s]{8,}+'|[^\s"']\S{7,}(?<![.,;:!?)\]}>"']))|(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"""
 IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
-NUMBER = r"(?<![\d.,])\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?!\d)|(?<![\d.,])\d{9,19}(?![\d]|[.,]\d)"
+# What may stand between two digits of a telephone number, and a date, which is none; an IP address ends it.
+GAP = r"[ .()/\u00A0\u202F\u2010-\u2013-]"
+DATE = r"\(?\d{1,2}[./-]\d{1,2}[./-](?:\d{4}|\d{2})(?![./-]?\d)"
+PHONE = (
+    rf"\+\d(?:{GAP}{{0,3}}(?!{IP})\d){{6,22}}(?!\d)|(?<![\d.,+/-])(?=\(?0\d)(?!{DATE})\(?0\d(?:{GAP}{{0,3}}(?!{IP})\d){{7,10}}(?!\d|[.,/-]\d)"
+    r"|(?<![\d.,+/-])(?:1[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d|[.,/-]\d)"
+)
+# Groupings of card and identity numbers.
+GROUPED = [r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}", r"\d{4}[ -]\d{6}[ -]\d{5}", r"\d{3}[ -]\d{2}[ -]\d{4}", r"\d{3}-\d{3}-\d{3}", r"\d{3}\.\d{3}\.\d{3}-\d{2}", r"(?:\d{2})?\d{6}-\d{4}", r"[12] \d{2} \d{2} \d{2} \d{3} \d{3}(?: \d{2})?"]
+IBAN = r"(?<![A-Za-z\d])[A-Z]{2}\d{2}(?=(?:[ A-Z]{0,9}\d){8})(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?![A-Za-z\d])"
+NUMBER = rf"{IBAN}|(?<![\d.,-])(?:{'|'.join(GROUPED)})(?![\d]|-\d)|(?<![\d.,])\d{{8}}-?[A-HJ-NP-TV-Z](?![A-Za-z\d])|(?<![\d.,])\d{{9,}}+(?![.,]\d)"
 # Titles by gender.
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа"]
 PERSON = r"(?<![\p{L}])(?:" + "|".join(MALE + FEMALE) + r")\.? \p{Lu}\p{Ll}[\p{L}'-]{0,30}(?: \p{Lu}\p{Ll}[\p{L}'-]{0,30})?"
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, PHONE, IP, NUMBER, PERSON))
+ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IP, PHONE, NUMBER, PERSON))
 #: What a text must hold for any entity to be there: an e-mail address has @, a secret = or : or 32 hexadecimal
 #: digits, a telephone, IP or long number a digit, a name its title. It follows from each pattern, whatever its format.
 CHEAP = r"[@=:\d]|[A-Fa-f]{32}|" + "|".join(MALE + FEMALE)
@@ -52,11 +75,18 @@ TYPES = ["email", "secret", "phone", "ip", "number", "person"]
 
 def kind_of(e: Column) -> Column:
     return (
-        F.when(e.rlike(f"^(?:{SECRET})$"), "secret").when(e.contains("@"), "email").when(e.startswith("+"), "phone")
-        .when(e.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip").when(e.rlike(r"^\d"), "number").otherwise("person")
+        F.when(e.rlike(f"^(?:{SECRET})$"), "secret").when(e.contains("@"), "email").when(e.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
+        .when(e.rlike(f"^(?:{PHONE})$"), "phone").when(e.rlike(r"\d"), "number").otherwise("person")
     )
 
 
+def secret_parts(e: Column) -> tuple[Column, Column, Column]:
+    """What stands before a secret's value, the value, and the quote after it."""
+    head = F.regexp_extract(e, f"^{SECRET_HEAD}[\"']?", 0)
+    tail = F.regexp_extract(e, "[\"']$", 0)
+    return head, F.substring(e, F.length(head) + 1, F.length(e) - F.length(head) - F.length(tail)), tail
+
+
 def title_of(e: Column) -> Column:
     return F.regexp_extract(e, r"^\p{L}+\.? ", 0)
 
@@ -64,7 +94,7 @@ def title_of(e: Column) -> Column:
 def canonical(kind: Column, e: Column) -> Column:
     """What makes two spellings the same entity."""
     return (
-        F.when(kind == "email", F.lower(e)).when(kind == "secret", F.lower(F.coalesce(F.nullif(F.regexp_extract(e, r'"([^"]*)"', 1), F.lit("")), e)))
+        F.when(kind == "email", F.lower(e)).when(kind == "secret", F.lower(secret_parts(e)[1]))
         .when(kind.isin("phone", "number"), F.regexp_replace(e, r"\D", "")).when(kind == "ip", e).otherwise(F.concat(gender(e), F.lit(":"), F.regexp_replace(e, r"^\p{L}+\.? ", "")))
     )
 
@@ -142,11 +172,11 @@ def surrogate(key: str, kind: Column, canon: Column, e: Column, attempt: Column)
         local = F.substring_index(e, "@", 1)
         domain = F.substring_index(e, "@", -1)
         host = F.substring_index(domain, ".", 1)
-        inner = F.nullif(F.regexp_extract(e, r'"([^"]*)"', 1), F.lit(""))
+        head, inner, tail = secret_parts(e)
         octet = lambda k, n: (draw(h, F.lit(k), n) + 1).cast("string")
         return (
             F.when(kind == "email", F.concat(same_format(local, h, False), F.lit("@"), same_format(host, F.reverse(h), False), F.substring(domain, F.length(host) + 1, F.length(domain))))
-            .when(kind == "secret", F.when(inner.isNotNull(), F.concat(F.regexp_extract(e, r'^([^"]*")', 1), same_format(inner, h, True), F.lit('"'))).otherwise(same_format(e, h, True)))
+            .when(kind == "secret", F.concat(head, same_format(inner, h, True), tail))
             .when(kind == "phone", into_format(e, new_digits(canon, h, 1, False)))
             .when(kind == "ip", F.concat_ws(".", octet(0, 222), octet(3, 254), octet(6, 254), octet(9, 254)))
             .when(kind == "number", into_format(e, new_digits(canon, h, 1, True)))

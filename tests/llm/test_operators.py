@@ -217,6 +217,35 @@ def test_prefilter_misses_no_form(spark):
         assert e not in alone["text"] and longer["text"] == alone["text"] + " at 12:30 in 2020"
 
 
+# Of no table at hand: by type, with what must not be left of them.
+OTHERS = [
+    ("secret", 'token = "' + "eyJhbGciOi.J9x-" * 20 + '"', "eyJhbGciOi"), ("secret", "0123456789abcdef" * 9, "0123456789abcdef"), ("secret", "token = 's1ngle-qu0ted'", "s1ngle"), ("secret", "password: c0rrecth0rse!x", "c0rrecth0rse"),
+    ("secret", '"api_key": "q8w7e6r5t4"', "q8w7e6r5t4"), ("secret", "password=p@ssw0rd99.example", "p@ssw0rd99"), ("phone", "+33 6 12 34 56 78", "12 34 56 78"), ("phone", "+33 (0)6 12 34 56 78", "12 34 56 78"), ("phone", "06 12 34 56 78", "12 34 56 78"),
+    ("phone", "06.12.34.56.78", "12.34.56.78"), ("phone", "(555) 123-4567", "123-4567"), ("phone", "555-123-4567", "123-4567"), ("phone", "1-555-123-4567", "123-4567"), ("phone", "(030) 1234567", "1234567"), ("number", "123-45-6789", "45-6789"),
+    ("number", "123.456.789-09", "456.789"), ("number", "850709-9805", "0709-9805"), ("number", "12345678Z", "2345678"), ("number", "DE89 3704 0044 0532 0130 00", "3704 0044 0532"), ("number", "12345678901234567890123", "345678901234567890123"), ("number", "3782 822463 10005", "822463"),
+]
+PLAIN = "On 01.02.2020 12:30, 05/11/2021 10:00, 2020-01-02 and 1990 2000 2010 it cost 1,234,567,890.12 or 0.123456789; 3.14159265358979 in 1.2.3.4.5; the token: a 12-34 match, 100 200 300."
+
+
+def test_surrogates_of_other_formats(spark):
+    """Secrets without bounds and quotes, national telephone and identity numbers; dates and amounts stay."""
+    rows = [(k, f"see {e} there") for k, (_, e, _) in enumerate(OTHERS)] + [(900, PLAIN), (901, "+1 (826) 555-4081 190.137.223.204")]
+    got = {r["doc_id"]: r for r in pii_surrogate.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (kind, e, part) in enumerate(OTHERS):
+        assert (e, got[k]["n_entities"], got[k][f"n_{kind}"], part in got[k]["text"]) == (e, 1, 1, False)
+        assert got[k]["text"].startswith("see ") and got[k]["text"].endswith(" there") and len(got[k]["text"]) == len(rows[k][1])
+    assert got[900]["text"] == PLAIN
+    assert (got[901]["n_phone"], got[901]["n_ip"]) == (1, 1) and "137.223" not in got[901]["text"]
+
+
+def test_one_secret_in_any_quotes(spark):
+    value = "Q8w7e6r5t4y3"
+    rows = [(1, f'token="{value}"'), (2, f"token='{value}'"), (3, f"token={value}"), (4, f"token: {value}.")]
+    got = {r["doc_id"]: r["text"] for r in pii_surrogate.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    new = got[3].removeprefix("token=")
+    assert new != value and got == {1: f'token="{new}"', 2: f"token='{new}'", 3: f"token={new}", 4: f"token: {new}."}
+
+
 def test_quality(spark):
     r = random.Random(2)
     clean = lambda: " ".join(r.choice(["the", "house", "of", "river", "and", "old", "green"]) for _ in range(80)) + "."
