@@ -5,7 +5,13 @@ spellings made one, punctuation and spacing reduced to single spaces. The
 SHA-256 of the whole canonical text is hash-joined to the digests of known
 licences; lines that speak of a licence are looked up the same way, as notices.
 The known table is any DataFrame of (license_id, text); Spark broadcasts it
-only if its size allows.
+only if its size allows. By default it is KNOWN and licenses.jsonl beside this
+file: full texts of the licences listed in README with the usual titles, and
+notices ("Licensed under the ...", SPDX lines). Of a line that speaks of a
+licence, its sentences, and what stands before "see ...", are looked up too, so
+a notice behind a copyright or before a reference is found. Not found: other
+licences, texts with changed words, notices that run over several lines.
+ORACLE is the SQL of KNOWN and whole lines only.
 
 Edge cases: null and empty texts, and texts that are copyright lines only, have
 an empty canonical form, digest null and no licence; if two known texts share a
@@ -14,6 +20,9 @@ digest the first id counts; repeated rows and null ids are kept as they are.
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +64,15 @@ def digest(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license_id string, text string")
+    with open(Path(__file__).with_name("licenses.jsonl"), encoding="utf-8") as f:
+        more = [(r["license_id"], r["text"]) for r in map(json.loads, f)]
+    return spark.createDataFrame(KNOWN + more, "license_id string, text string")
+
+
+def pieces(line: Column) -> Column:
+    """The line, its sentences, and each without what it refers to."""
+    parts = F.concat(F.array(line), F.split(line, r"(?<=[.;!?])\s+"))
+    return F.array_distinct(F.concat(parts, F.transform(parts, lambda x: F.regexp_replace(x, r"(?i)[\s,;(.-]+see\b.*$", ""))))
 
 
 def digests_of(known: DataFrame) -> DataFrame:
@@ -69,7 +86,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     rows = docs.select("doc_id", row_key().alias("__key"), digest(F.coalesce("text", F.lit(""))).alias("digest"))
     whole = rows.join(table.select(F.col("known_digest").alias("digest"), "license_id"), "digest", "left")
     lines = docs.where(F.col("text").rlike(SPEAKS_OF)).select(row_key().alias("__key"), F.explode(F.array_distinct(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(SPEAKS_OF)))).alias("line"))
-    notices = lines.select("__key", digest(F.col("line")).alias("known_digest")).join(table, "known_digest").groupBy("__key").agg(F.array_sort(F.collect_set("license_id")).alias("ids"))
+    notices = lines.select("__key", F.explode(pieces(F.col("line"))).alias("piece")).select("__key", digest(F.col("piece")).alias("known_digest")).join(table, "known_digest").groupBy("__key").agg(F.array_sort(F.collect_set("license_id")).alias("ids"))
     return whole.join(notices, "__key", "left").select(
         "doc_id", "digest", "license_id", F.coalesce(F.array_join("ids", ","), F.lit("")).alias("notices"), F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_notices"))
 

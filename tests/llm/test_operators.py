@@ -162,6 +162,17 @@ def test_licenses(spark, docs):
     assert license_digest.scan(docs.limit(0)).count() == 0
 
 
+def test_every_license(spark):
+    """A document for each licence with a full text, and notices in other words."""
+    whole = {r["license_id"]: r["text"] for r in license_digest.known_licenses(spark).where("length(text) > 400").collect()}
+    assert {"MIT", "ISC", "0BSD", "Zlib", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0"} <= set(whole)
+    notices = {"Licensed under the MIT license, see LICENSE": "MIT", "Copyright (c) 2020 X. Licensed under the MIT License.": "MIT", "# SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "Distributed under the BSD 3-Clause License": "BSD-3-Clause", "no license": ""}
+    rows = [(f"Copyright (c) 2020 Someone\n\n{t}\n",) for t in whole.values()] + [(t,) for t in notices]
+    got = {r["doc_id"]: r for r in license_digest.scan(spark.createDataFrame([(k, *t) for k, t in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert [got[k]["license_id"] for k in range(len(whole))] == list(whole)
+    assert [got[len(whole) + k]["notices"] for k in range(len(notices))] == list(notices.values())
+
+
 PII = [
     (1, 'To Anna.Bell@Mail3.example.com, ANNA.BELL@MAIL3.EXAMPLE.COM: +1 (830) 555-5433 or +1-830-555-5433, 10.2.3.4, token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", 4539 1488 0343 6467'),
     (2, "Frau Müller met Mr. John Smith and Mrs. Smith; господин Иванов. Mr. John Smith, 4539148803436467"),
