@@ -1,10 +1,10 @@
 """Suffix deduplication: byte strings of ``window`` bytes that occur elsewhere are removed.
 
-External induced sorting, cut down to what the question needs. Sorting every
-suffix holds a tuple of five bytes or more for each byte of text, which is more
-disk than the texts themselves; here only a content-defined sample of suffixes
-is named, and what is learnt about a sample suffix is induced to the suffixes
-before it, with common-prefix values carried from level to level:
+Content-sampled anchors with hash-equal runs and windows, in place of external
+induced sorting, which was not built: no suffixes are ordered and no common-prefix
+lengths are kept. By an estimate, a tuple of five bytes or more for each byte of
+text is more disk than the texts themselves. A content-defined sample of suffixes
+is named, and windows round a sample suffix are compared in three levels:
 
 1. The sample: of each window, the suffix whose first ``GRAM`` bytes have the
    least hash. Equal windows choose the same one. Names that occur once have a
