@@ -50,10 +50,12 @@ def joined(docs, n, percent):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and docs[i][0] is not None and docs[j][0] is not None and 100 * len(a & b) >= percent * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 at[root(i)] = root(j)
                 links[i] += 1
                 links[j] += 1
+            if a and b and docs[i][0] is not None and docs[i][0] == docs[j][0]:
+                at[root(i)] = root(j)
     least = {}
     for i, (doc, _) in enumerate(docs):
         if doc is not None:

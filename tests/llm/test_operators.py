@@ -54,15 +54,57 @@ def test_suffix_dedup(docs):
 
 
 def test_ngram_join(docs):
-    rows = [r for r in corpus() if r[0] is not None]
-    got = ngram_join.join(docs.where("doc_id is not null"))
-    one = {(d, n, c) for d, n, c, _ in brute.joined(rows, 4, 85)}
-    assert {tuple(r)[:3] for r in got.collect()} == one
-    rest = ngram_join.join(docs).where("doc_id is null").collect()
-    assert [r["component_id"] for r in rest] == [None] * 3
+    got = ngram_join.join(docs)
+    assert ordered(got.collect()) == ordered(brute.joined(corpus(), 4, 85))
     assert ngram_join.join(docs.limit(0)).count() == 0
 
 
+def test_one_id_is_one_node(spark):
+    """Ids that come with several texts tie together what those texts link with; rows without an id link too."""
+    w = [f"w{i}" for i in range(30)]
+    v = [f"v{i}" for i in range(30)]
+    rows = [(2, w), (5, [*w, "x"]), (5, v), (9, [*v, "y"]), (7, v), (11, ["z"] * 9), (11, ["q"] * 3), (12, ["q"] * 3), (None, [*v, "u"]), (None, ["n", "o"]), (20, []), (5, [])]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert ordered(got) == ordered(brute.joined(rows, 4, 85))
+    assert {r["component_id"] for r in got if r["doc_id"] in (2, 5, 7, 9) and r["n_shingles"]} == {2}
+
+
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
+def test_ngram_join_of_short_texts(spark, n, percent):
+    """Sets of 1 to 40 shingles, many of them strangers that hold one common passage."""
+    r = random.Random(n)
+    common = [f"c{i}" for i in range(12)]
+    docs = []
+    for k in range(150):
+        w = [f"d{k}x{i}" for i in range(r.randint(4, 30))] + (common if k % 2 else [])
+        for _ in range(3):
+            docs.append((len(docs), " ".join(w)))
+            w = list(w)
+            match r.randint(0, 3):
+                case 0:
+                    w.append(f"e{len(docs)}")
+                case 1:
+                    w[r.choice([0, -1])] = f"f{len(docs)}"
+                case 2:
+                    w.pop(r.choice([0, -1]))
+    got = ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string"), n, percent).collect()
+    assert ordered(got) == ordered(brute.joined(docs, n, percent))
+
+
+def test_strangers_share_no_group(spark):
+    """100,000 short unrelated texts, half of them with one passage: groups stay small."""
+    docs = spark.range(100_000).select(
+        F.col("id").alias("doc_id"),
+        F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(8) + F.col("id") % 12), lambda i: F.concat(F.hex(F.xxhash64("id", i)))), F.when(F.col("id") % 2 == 0, " ".join(f"c{i}" for i in range(9)))).alias("text"),
+    )
+    every = docs.select("doc_id", *ngram_join.rp.text_keys(), "text").mapInArrow(ngram_join.described(4), ngram_join.META.format(kind="bigint")).persist()
+    common = ngram_join.common_shingles(every)
+    assert len(common[0]) == 6  # those of the passage alone
+    groups = components.components(ngram_join.candidates(docs, 4, 85, common)).groupBy("root").count()
+    assert (groups.agg(F.max("count")).first()[0] or 0) <= 100
+
+
 def test_ngram_join_in_blocks(spark, monkeypatch):
     """Groups larger than a block meet block by block; links are counted once."""
     r = random.Random(1)
@@ -74,16 +116,22 @@ def test_ngram_join_in_blocks(spark, monkeypatch):
             w[r.randrange(60)] = f"n{k}"
         docs.append((k, " ".join(w[: 60 - k % 7])))
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
-    got = ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert ordered(got) == ordered(brute.joined(docs, 4, 85))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert ordered(ngram_join.join(frame).collect()) == ordered(brute.joined(docs, 4, 85))
+    for percent in (80, 93):
+        assert {r["doc_id"] for r in ngram_join.one_of_each(frame, 4, percent).collect()} == {c for _, _, c, _ in brute.joined(docs, 4, percent)}
 
 
-def test_one_of_each(docs):
+def test_one_of_each(spark, docs):
     left = ngram_join.one_of_each(docs, 5, 80)
     assert left.columns == docs.columns
-    ids = {r["doc_id"] for r in left.collect()}
-    rows = [r for r in corpus() if r[0] is not None]
-    assert ids == {c for d, _, c, _ in brute.joined(rows, 5, 80)} | {None}
+    want = [c for _, n, c, _ in set(brute.joined(corpus(), 5, 80)) if n]
+    blank = [(d, n) for d, n, _, _ in brute.joined(corpus(), 5, 80) if not n]
+    got = [r["doc_id"] for r in left.collect()]
+    assert len(got) == len(set(want)) + len(blank) and set(got) == set(want) | {d for d, _ in blank}
+    rows = [(1, "a b c d e f g h")] * 3 + [(1, "other words")] * 2 + [(None, "a b c d e f g h"), (None, "none of these"), (None, "none of these"), (4, "")]
+    left = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert ordered((r["doc_id"],) for r in left) == [(1,), (4,), (None,)]
 
 
 def test_components(spark):
