@@ -23,10 +23,12 @@ MAX_RATE = 0.8
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
 SPACES = r"[\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\f\r"
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+    held = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
+    return F.when(held == "", F.array().cast("array<string>")).otherwise(F.split(held, SPACES))
 
 
 def let(value: Column, body) -> Column:
@@ -34,63 +36,92 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def repeated_words(w: Column) -> Column:
-    """How many words stand in 3-word windows that occur twice or more in w."""
-    windows = let(
-        F.size(w),
-        lambda n: F.when(n < 4, F.lit(None)).otherwise(
-            F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i"))))
-        ),
-    )
-    again = lambda s: F.sort_array(F.transform(F.filter(s, lambda x, k: (F.get(s, k - 1)["g"] == x["g"]) | (F.coalesce(F.get(s, k + 1)["g"] == x["g"], F.lit(False)))), lambda x: x["i"]))
+def windows(w: Column) -> Column:
+    """A hash of each 3-word window; none where none can repeat."""
+    three = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    return F.when(F.size(w) < 4, F.array().cast("array<bigint>")).otherwise(three)
+
+
+def words_in_repeats(w: Column, hashes: Column) -> Column:
+    """How many words stand in 3-word windows that occur twice or more in w. Equal hashes are held against their words."""
+    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def same(a, b):
+        alike = [F.get(w, a["i"] + k) == F.get(w, b["i"] + k) for k in range(3)]
+        return F.coalesce((a["h"] == b["h"]) & alike[0] & alike[1] & alike[2], F.lit(False))
+
+    again = lambda s: F.sort_array(F.transform(F.filter(s, lambda x, k: same(F.get(s, k - 1), x) | same(x, F.get(s, k + 1))), lambda x: x["i"]))
     width = lambda at: F.aggregate(F.zip_with(at, F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3))), F.lit(0), lambda x, y: x + y)
-    return F.coalesce(let(windows, lambda s: F.when(s.isNotNull(), let(again(s), width))), F.lit(0)).cast("bigint")
+    return let(let(placed, again), width)
+
+
+def repeated_words(w: Column) -> Column:
+    """words_in_repeats; 0 without a closer look where no two windows have one hash."""
+    return let(windows(w), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(words_in_repeats(w, h))).cast("bigint")
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
     """doc_id, source, the five counts and base_failed of each document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(F.col("__text"), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    duplicates = F.when(F.col("__text").contains("\n"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))).otherwise(0)
     counted = docs.select("doc_id", "source", text.alias("__text"), words(F.col("text")).alias("__words")).select(
         "doc_id", "source", F.size("__words").cast("bigint").alias("n_words"),
-        F.length(F.regexp_replace("__text", SPACES, "")).cast("bigint").alias("word_chars"),
-        (F.length("__text") - F.length(F.translate("__text", "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
+        F.length(F.array_join("__words", "")).cast("bigint").alias("word_chars"),
+        F.length(F.regexp_replace("__text", "[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
+        duplicates.cast("bigint").alias("n_dup_lines"),
         let(F.col("__words"), repeated_words).alias("n_repeat_words"),
     )
     return counted.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words")))
 
 
-def host_verdicts(judged: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """host, n, failed, rate (shrunk) and host_kept of each source."""
-    hosts = judged.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("bigint")).alias("failed"))
+def host_verdicts(hosts: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
+    """host, n, failed, rate (shrunk) and host_kept. hosts: host, n, failed."""
     raw = F.col("failed") / F.col("n")
-    prior = hosts.agg(F.avg(raw).alias("m"), F.coalesce(F.var_samp(raw), F.lit(0.0)).alias("v")).select(
-        "m", F.when(F.col("v") > 0, F.greatest(F.col("m") * (1 - F.col("m")) / F.nullif("v", F.lit(0.0)) - 1, F.lit(1.0))).otherwise(1.0).alias("strength"))
+    fitted = F.greatest(F.col("m") * (1 - F.col("m")) / F.nullif("v", F.lit(0.0)) - 1, F.lit(1.0))
+    prior = hosts.agg(F.avg(raw).alias("m"), F.coalesce(F.var_samp(raw), F.lit(0.0)).alias("v")).select("m", F.when(F.col("v") > 0, fitted).otherwise(1.0).alias("strength"))
+    shrunk = (F.col("failed") + F.col("m") * F.col("strength")) / (F.col("n") + F.col("strength"))
     # one row for all hosts
-    return hosts.join(F.broadcast(prior)).select("host", "n", "failed", ((F.col("failed") + F.col("m") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("rate")).withColumn("host_kept", F.col("rate") <= max_rate)
+    return hosts.join(F.broadcast(prior)).select("host", "n", "failed", shrunk.alias("rate")).withColumn("host_kept", F.col("rate") <= max_rate)
 
 
 def judge(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """Per document: doc_id, the counts, base_failed, host_rate and kept."""
+    """Per document: doc_id, the counts, base_failed, host_rate and kept.
+
+    Verdicts are broadcast while they are few; beyond that a hot host's rows are split by AQE's skew join.
+    """
     judged = settled(base_rules(docs))
-    hosts = host_verdicts(judged, max_rate).select("host", F.round("rate", 9).alias("host_rate"), "host_kept")
+    hosts = judged.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("bigint")).alias("failed"))
+    hosts = settled(host_verdicts(hosts, max_rate).select("host", F.round("rate", 9).alias("host_rate"), "host_kept"))
     return judged.join(hosts, F.col("source").eqNullSafe(F.col("host")), "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", (~F.col("base_failed") & F.col("host_kept")).alias("kept"))
 
 
 def keep(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """The documents that pass the base rules and whose host does, with their own columns."""
-    failed = base_rules(docs.select("doc_id", "source", "text")).select("source", "base_failed")
-    # written first: their size is known when the join is planned, and texts are shuffled only where they are too many to broadcast
-    bad = settled(host_verdicts(failed, max_rate).where(~F.col("host_kept")).select(F.col("host").alias("__host")))
-    good = docs.where(~_failed(F.col("text")))
+    """The documents that pass the base rules and whose host does, with their own columns.
+
+    Each text is judged once: what passes is written, and a host's failures are its rows less those.
+    """
+    good = settled(docs.where(~_failed(F.col("text"))))
+    rows = docs.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("n"))
+    passed = good.groupBy(F.col("source").alias("__host")).agg(F.count("*").alias("passed"))
+    hosts = rows.join(passed, F.col("host").eqNullSafe(F.col("__host")), "left").select("host", "n", (F.col("n") - F.coalesce("passed", F.lit(0))).alias("failed"))
+    # written, so that their size is known when the join is planned: texts are shuffled only where they are too many to broadcast
+    bad = settled(host_verdicts(hosts, max_rate).where(~F.col("host_kept")).select(F.col("host").alias("__host")))
     return good.join(bad, F.col("source").eqNullSafe(F.col("__host")), "left_anti")
 
 
 def _failed(text: Column) -> Column:
-    """base_failed as one expression on the text."""
-    return let(words(text), lambda w: (F.size(w) < MIN_WORDS) | (100 * repeated_words(w) > MAX_REPEAT_PCT * F.size(w)))
+    """base_failed as one expression on the text.
+
+    d windows that are no first ones make 2 * d repeated windows and 6 * d words at most: a closer look only beyond that.
+    """
+
+    def repeats_too_much(w):
+        beyond = lambda h: F.when(600 * (F.size(h) - F.size(F.array_distinct(h))) <= MAX_REPEAT_PCT * F.size(w), False).otherwise(100 * words_in_repeats(w, h) > MAX_REPEAT_PCT * F.size(w))
+        return let(windows(w), beyond)
+
+    return let(words(text), lambda w: F.when(F.size(w) < MIN_WORDS, True).otherwise(repeats_too_much(w)))
 
 
 ORACLE = r"""
