@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import settled
+from ._common import discard, settled
 
 
 def _state(edges: DataFrame):
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m"))
-        now = settled(small.distinct())
+        done, now = now, settled(small.distinct())
+        discard(done)
         after = _state(now)
         if after == before:
             break

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from . import _repeats as rp
 from . import textops as tx
-from ._common import buckets, settled
+from ._common import buckets, discard, settled
 from .components import components
 
 N = 4
@@ -532,7 +532,9 @@ def linked_sets(docs: DataFrame, n: int, percent: int, every_link: bool) -> tupl
     roots = components(edges).select("node", "root")
     counts = links.where("s1 is not null").groupBy("s1").agg(F.sum("links").alias("links"))
     joined = sets.join(roots, "node", "left").join(counts, "s1", "left")
-    return every, settled(joined.select("s1", "s2", "copies", F.col("root").isNull().alias("alone"), F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    rooted = settled(joined.select("s1", "s2", "copies", F.col("root").isNull().alias("alone"), F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    discard(sets, members, placed, first)
+    return every, rooted
 
 
 def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
