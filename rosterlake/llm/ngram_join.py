@@ -18,7 +18,14 @@ once. Three things keep strangers apart:
 * where partners differ in one shingle each at most, the keys are the set and
   the set without each one of its shingles.
 
-Sets that share keys form groups. A group's sets are dealt to blocks by size and
+Lists. All sets of a key go on a list named by the least of them; lists of one
+name are one. Two sets of a list stay together only if their sketches (counts of
+shingles by hash range, whose distance is a lower bound of the number of shingles
+that differ) allow a link, directly or by way of others; so documents that share
+a passage part again before any set is moved. A key that more than ``HOT`` sets
+of one stretch hold ties its sets together without that look.
+
+What stays together is a group. A group's sets are dealt to blocks by size and
 meet within their block; for groups of several blocks, blocks are packed once
 (distinct shingles and indices, compressed) and meet where their sizes allow a
 link. A task adds up the overlap counts of two blocks, some thousand n-grams at
@@ -60,7 +67,10 @@ BLOCK_SHINGLES = 1 << 20
 SLAB = 4096
 #: Sizes of a class differ by this factor at most.
 CLASS_RATIO = 1.5
-KEY_BITS = 48
+KEY_BITS = 56
+#: Sets of a stretch that may share a key before they are tied together unseen, and sets of a part of a list.
+HOT = 64
+LISTED = 4096
 #: Keys sorted and packed at once, and shingles counted at once: they bound a task's memory.
 PACKED_KEYS = 400_000
 COUNTED = 1 << 20
@@ -178,7 +188,53 @@ def keys_of(x: np.ndarray, percent: int, common: np.ndarray, often: np.ndarray)
     return np.concatenate(out) if out else x[:0]
 
 
-META = "doc_id {kind}, t1 long, t2 long, s1 long, s2 long, n long, common binary"
+def sketch(x: np.ndarray) -> bytes:
+    """How many shingles fall in each of 2**k equal ranges, two counts (15 at most) a byte; k grows with the set."""
+    bits = max(6, min(12, int(len(x) - 1).bit_length() - 2))
+    counts = np.minimum(np.bincount((x >> tx.U64(64 - bits)).astype(np.int64), minlength=1 << bits), 15).astype(np.uint8)
+    return tx.blob(counts[0::2] | counts[1::2] << 4)
+
+
+def alike(names: np.ndarray, sizes: np.ndarray, sketches: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sizes and sketches allow a link."""
+    width = np.array([len(s) for s in sketches])
+    levels = {}
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
+        held = np.frombuffer(b"".join(sketches[i] for i in rows), np.uint8).reshape(len(rows), w)
+        levels[w] = rows, np.stack([held & 15, held >> 4], 2).reshape(len(rows), -1).astype(np.int16)
+    fold = lambda m: m[..., 0::2] + m[..., 1::2]
+    place = np.zeros(len(names), np.int64)
+    for rows, _ in levels.values():
+        place[rows] = np.arange(len(rows))
+    left, out = np.ones(len(names), bool), []
+
+    def near(i: int) -> np.ndarray:
+        ok = left & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+        own = levels[width[i]][1][place[i]]
+        for w, (rows, held) in levels.items():
+            on = ok[rows]
+            if not on.any() or max(w, width[i]) > 2 * min(w, width[i]):  # too far apart to compare: nothing is ruled out
+                continue
+            a, b = (fold(held[on]), own) if w > width[i] else (held[on], fold(own) if w < width[i] else own)
+            apart = np.abs(a - b).sum(1)
+            ok[rows[on]] = apart <= (sizes[i] + sizes[rows[on]]) * (100 - percent) // (100 + percent)
+        return np.flatnonzero(ok)
+
+    for root in range(len(names)):
+        if not left[root]:
+            continue
+        left[root] = False
+        queue = [root]
+        while queue and left.any():
+            found = near(queue.pop())
+            left[found] = False
+            out += [(int(names[root]), int(names[j])) for j in found]
+            queue.extend(found.tolist())
+    return out
+
+
+META = "doc_id {kind}, t1 long, t2 long, s1 long, s2 long, n long, sketch binary, common binary"
 
 
 def described(n: int):
@@ -201,16 +257,16 @@ def described(n: int):
             found = []
             for _, x in shingles.sets(batch.column("text")):
                 name = set_keys(x)
-                found.append((*name, len(x)))
+                found.append((*name, len(x), sketch(x) if len(x) else None))
                 if len(x) and name not in names:
                     names.add(name)
                     sets.append(x)
                     held += len(x)
-            cols = list(zip(*found, strict=True)) or [[]] * 3
+            cols = list(zip(*found, strict=True)) or [[]] * 4
             out = pa.RecordBatch.from_pydict(
                 {k: batch.column(k) for k in ("doc_id", "t1", "t2")}
-                | {k: pa.array(v, pa.int64()) for k, v in zip(("s1", "s2", "n"), cols, strict=True)}
-                | {"common": pa.nulls(len(found), pa.binary())}
+                | {k: pa.array(v, pa.int64()) for k, v in zip(("s1", "s2", "n"), cols, strict=False)}
+                | {"sketch": pa.array(cols[3], pa.binary()), "common": pa.nulls(len(found), pa.binary())}
             )
             schema = out.schema
             yield out
@@ -244,21 +300,33 @@ def common_shingles(every: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return values[order], np.array([r["sets"] for r in rows], np.int64)[order]
 
 
-FILED = "bucket int, keys binary, sets binary"
+FILED = "bucket int, keys binary, sets binary, tied boolean"
 
 
 def filed(n: int, percent: int, n_buckets: int, common: np.ndarray, often: np.ndarray):
-    """Keys of each bucket with a set each; sets that share a key here already go on as links (no keys)."""
+    """Keys of each bucket with a set each, apart (tied) those that very many sets hold here: one set stands for them there, and links (no keys) tie the others to it."""
     drop = tx.U64(64 - KEY_BITS)
 
-    def packed(keys, sets):
-        keys, sets, links = stars(np.concatenate(keys), np.concatenate(sets))
-        rows = [(-1 - int(links[0, 0]) % n_buckets, b"", tx.blob(links))] if len(links) else []
+    def rows_of(keys, sets, tied):
         bounds = tx.run_bounds(b := tx.bucket_of(keys, n_buckets))
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            rows.append((int(b[lo]), tx.pack(np.diff(keys[lo:hi] >> drop, prepend=tx.U64(0))), tx.blob(sets[lo:hi])))
-        kinds = (pa.int32(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(3)], ["bucket", "keys", "sets"])
+            if hi > lo:
+                yield int(b[lo]), tx.pack(np.diff(keys[lo:hi] >> drop, prepend=tx.U64(0))), tx.blob(sets[lo:hi]), tied
+
+    def packed(keys, sets):
+        keys, sets = np.concatenate(keys), np.concatenate(sets)
+        order = np.lexsort((sets, keys))
+        keys, sets = keys[order], sets[order]
+        first = np.r_[True, keys[1:] != keys[:-1]]
+        of = np.cumsum(first) - 1
+        hot = (np.bincount(of) > HOT)[of]
+        rows = list(rows_of(keys[~hot], sets[~hot], False))
+        if hot.any():
+            rows += rows_of(keys[hot & first], sets[hot & first], True)
+            links = np.unique(np.stack([sets, sets[np.flatnonzero(first)][of]], 1)[hot & ~first], axis=0)
+            rows.append((-1 - int(links[0, 0]) % n_buckets, b"", tx.blob(links), True))
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(4)], ["bucket", "keys", "sets", "tied"])
 
     def run(batches):
         shingles = Shingles(n)
@@ -269,7 +337,7 @@ def filed(n: int, percent: int, n_buckets: int, common: np.ndarray, often: np.nd
                 if not len(x) or name in names:
                     continue
                 names.add(name)
-                k = keys_of(x, percent, common, often)
+                k = np.unique(keys_of(x, percent, common, often))
                 keys.append(k)
                 sets.append(np.full(len(k), name))
                 held += len(k)
@@ -282,30 +350,54 @@ def filed(n: int, percent: int, n_buckets: int, common: np.ndarray, often: np.nd
     return run
 
 
-def stars(keys: np.ndarray, sets: np.ndarray):
-    """(keys, the least set of each, links of the others to it)."""
-    order = np.lexsort((sets, keys))
-    keys, sets = keys[order], sets[order]
-    first = np.r_[True, keys[1:] != keys[:-1]]
-    least = sets[np.flatnonzero(first)][np.cumsum(first) - 1]
-    links = np.stack([sets, least], 1)[sets != least]
-    return keys[first], sets[first], np.unique(links, axis=0)
+MET = "a long, b long, tied boolean"
 
 
 def met(batches):
-    keys, sets, links = [], [], []
+    """Each set of a key (a) with the least set of it (b); tied if they belong together unseen."""
+    keys, sets, tied, links = [], [], [], []
     for batch in batches:
-        for k, s in zip(batch.column("keys").to_pylist(), batch.column("sets").to_pylist(), strict=True):
+        for k, s, t in zip(*(batch.column(c).to_pylist() for c in ("keys", "sets", "tied")), strict=True):
             if k:
                 keys.append(np.cumsum(tx.unpack(k), dtype=np.uint64))
                 sets.append(np.frombuffer(s, np.int64))
+                tied.append(np.full(len(sets[-1]), t))
             else:
-                links.append(np.frombuffer(s, np.int64).reshape(-1, 2))
+                links.append(np.c_[np.frombuffer(s, np.int64).reshape(-1, 2), np.ones(len(s) // 16, np.int64)])
     if keys:
-        links.append(stars(np.concatenate(keys), np.concatenate(sets))[2])
+        keys, sets, tied = map(np.concatenate, (keys, sets, tied))
+        order = np.lexsort((sets, keys))
+        keys, sets, tied = keys[order], sets[order], tied[order]
+        first = np.r_[True, keys[1:] != keys[:-1]]
+        of = np.cumsum(first) - 1
+        least, tied = sets[np.flatnonzero(first)][of], np.bincount(of, tied)[of] > 0
+        links.append(np.stack([sets, least, tied], 1)[sets != least])
     if links:
         found = np.unique(np.concatenate(links), axis=0)
-        yield pa.RecordBatch.from_pydict({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+        yield pa.RecordBatch.from_pydict({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1]), "tied": pa.array(found[:, 2] > 0)})
+
+
+def parted(percent: int):
+    """Rows sorted by list (and part of it): what stays together on it."""
+
+    def run(batches):
+        rows, now = [], None
+
+        def ended():
+            edges = alike(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows], percent)
+            return pa.RecordBatch.from_pydict({k: pa.array([e[i] for e in edges], pa.int64()) for i, k in enumerate("ab")})
+
+        for batch in batches:
+            for part, *row in zip(*(batch.column(k).to_pylist() for k in ("part", "x", "n", "sketch")), strict=True):
+                if part != now:
+                    if rows:
+                        yield ended()
+                    rows, now = [], part
+                rows.append(row)
+        if rows:
+            yield ended()
+
+    return run
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -460,9 +552,30 @@ def meetings(percent: int, every_link: bool):
 
 
 def candidates(docs: DataFrame, n: int, percent: int, common=(np.zeros(0, np.uint64), np.zeros(0, np.int64))) -> DataFrame:
-    """a, b: names of sets that share a key, as stars."""
+    """a, b, tied: names of sets and of the lists they are on."""
     nb = buckets(docs.sparkSession)
-    return docs.select("text").mapInArrow(filed(n, percent, nb, *common), FILED).repartition("bucket").mapInArrow(met, "a long, b long")
+    return docs.select("text").mapInArrow(filed(n, percent, nb, *common), FILED).repartition("bucket").mapInArrow(met, MET).distinct()
+
+
+def together(found: DataFrame, every: DataFrame, percent: int) -> DataFrame:
+    """node, root: the groups of sets. found: rows of candidates; every: s1, n and sketch of each document."""
+    found = settled(found)
+    tied = found.where("tied").select("a", "b")
+    lists = settled(found.where("not tied").select(F.col("b").alias("list"), F.col("a").alias("x")).union(found.where("not tied").select("b", "b")).distinct())
+    names = lists.select(F.col("x").alias("s1")).distinct()
+    held = settled(every.where("n > 0").join(names, "s1", "left_semi").groupBy(F.col("s1").alias("x")).agg(F.max("n").alias("n"), F.max("sketch").alias("sketch")))
+    large = settled(lists.groupBy("list").agg(F.count("*").alias("size")).where(F.col("size") > LISTED).select("list", F.ceil(F.col("size") / LISTED).cast("int").alias("parts")))
+    placed = lists.join(large, "list", "left").withColumn("mine", F.coalesce(F.pmod(F.xxhash64("x"), F.col("parts")), F.lit(0)).cast("int"))
+    # the set that a list is named by is on every part of it
+    several = F.when(F.col("parts").isNotNull() & (F.col("x") == F.col("list")), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("mine"))
+    look = lambda rows: settled(rows.join(held, "x").select("part", "x", "n", "sketch").repartition("part").sortWithinPartitions("part", "x").mapInArrow(parted(percent), "a long, b long"))
+    edges = tied.union(look(placed.select("x", F.explode(several).alias("p"), "list").select("x", F.struct("list", "p", F.lit(0).alias("q")).alias("part"))))
+    if not large.isEmpty():  # parts meet where a list isn't one group yet
+        roots = components(edges)
+        apart = lists.join(large, "list").join(roots, F.col("x") == F.col("node"), "left").groupBy("list").agg(F.min(F.coalesce("root", "x")).alias("lo"), F.max(F.coalesce("root", "x")).alias("hi")).where("lo <> hi").select("list")
+        others = placed.join(apart, "list", "left_semi").select("x", "list", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
+        edges = edges.union(look(others.select("x", F.struct("list", F.least("mine", "p").alias("p"), F.greatest("mine", "p").alias("q")).alias("part"))))
+    return components(edges)
 
 
 def dealt(members: DataFrame, percent: int, every_link: bool) -> tuple[DataFrame, DataFrame]:
@@ -510,7 +623,7 @@ def linked_sets(docs: DataFrame, n: int, percent: int, every_link: bool) -> tupl
         every.where("n > 0").groupBy("s1", "s2").agg(least.alias("id"), F.min_by("t1", "id").alias("t1"), F.min_by("t2", "id").alias("t2"), F.max("n").alias("n"), F.count("*").alias("copies"))
         .withColumn("node", F.when(F.col("id") < NO_ID, F.col("id")).otherwise(F.lit(NO_ID).cast("bigint") + F.shiftrightunsigned("s1", 2)))
     )
-    groups = components(candidates(docs.where("text is not null"), n, percent, common))
+    groups = together(candidates(docs.where("text is not null"), n, percent, common), every, percent)
     members = settled(sets.join(groups.select(F.col("node").alias("s1"), F.col("root").alias("grp")), "s1"))
     placed, large = dealt(members, percent, every_link)
     placed = settled(placed.select(*PLACE, "s1", "node", "copies", "several", "shown", "t1", "t2", "id"))

@@ -101,7 +101,7 @@ def test_strangers_share_no_group(spark):
     every = docs.select("doc_id", *ngram_join.rp.text_keys(), "text").mapInArrow(ngram_join.described(4), ngram_join.META.format(kind="bigint")).persist()
     common = ngram_join.common_shingles(every)
     assert len(common[0]) == 6  # those of the passage alone
-    groups = components.components(ngram_join.candidates(docs, 4, 85, common)).groupBy("root").count()
+    groups = ngram_join.together(ngram_join.candidates(docs, 4, 85, common), every.where("n >= 0"), 85).groupBy("root").count()
     assert (groups.agg(F.max("count")).first()[0] or 0) <= 100
 
 
@@ -118,6 +118,10 @@ def test_ngram_join_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert ordered(ngram_join.join(frame).collect()) == ordered(brute.joined(docs, 4, 85))
+    monkeypatch.setattr(ngram_join, "LISTED", 5)
+    monkeypatch.setattr(ngram_join, "HOT", 3)
+    assert ordered(ngram_join.join(frame).collect()) == ordered(brute.joined(docs, 4, 85))
+    monkeypatch.setattr(ngram_join, "HOT", 10**6)
     for percent in (80, 93):
         assert {r["doc_id"] for r in ngram_join.one_of_each(frame, 4, percent).collect()} == {c for _, _, c, _ in brute.joined(docs, 4, percent)}
 
