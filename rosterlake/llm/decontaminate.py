@@ -6,9 +6,9 @@ a shorter item that has words is one window. The windows' hashes are broadcast,
 training texts are scanned window by window, and each hit is verified on the
 words themselves before it counts. No row is shuffled.
 
-A broadcast holds at most ``slice_bytes`` of benchmark text: a larger benchmark
-is dealt to several slices, and the documents pass one scan after the other in
-the same stage, each adding its hits.
+A broadcast holds at most ``slice_bytes`` of benchmark text, as flat arrays of
+some 7 times that size: a larger benchmark is dealt to several slices, and the
+documents pass one scan after the other in the same stage, each adding its hits.
 
 Edge cases: a null or empty text, or one without words, has no words and no
 hits; a null item text has no windows; an item without an id contaminates but
@@ -25,55 +25,70 @@ from pyspark.sql import functions as F
 from . import textops as tx
 
 WINDOW = 10
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 16 << 20
 TABLE_BITS = 22
 
 
-def normalised_words(text: str | None) -> list[bytes]:
-    raw = tx.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-    starts, ends, _ = tx.words(raw, np.array([0, len(raw)]), tx.ALNUM_WORDS)
-    held = raw.tobytes()
-    return [held[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rolling: tx.Rolling, values: np.ndarray) -> np.ndarray:
+    return rolling.span(rolling.prefix(values[data]), starts, ends)
 
 
-def windows_of(items: list[tuple[str | None, str | None]], n: int) -> dict[bytes, list[str]]:
-    """The windows of some items, each with the items that hold it."""
-    found: dict[bytes, set[str]] = {}
-    for item, text in items:
-        w = normalised_words(text)
-        size = min(n, len(w))
-        for i in range(len(w) - size + 1 if size else 0):
-            found.setdefault(b" ".join(w[i : i + size]), set()).update([] if item is None else [item])
-    return {k: sorted(v) for k, v in found.items()}
+class Windows:
+    """The different windows of some items, as flat arrays: sorted hashes, where their words stand, and the items of each.
 
+    Held are the texts and about 40 bytes for each window, and a window starts at each word: some 7 times the text.
+    """
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rolling: tx.Rolling, values: np.ndarray) -> np.ndarray:
-    return rolling.span(rolling.prefix(values[data]), starts, ends)
+    def __init__(self, items: pa.Table, n: int):
+        by_bytes, by_words, values = tx.Rolling(tx.BASE_A), tx.Rolling(tx.BASE_B), tx.byte_values()
+        self.items = items.column("item").to_pylist()
+        known = np.array([x is not None for x in self.items], bool)
+        text = pa.concat_arrays(items.column("passage").chunks) if items.num_rows else pa.array([], pa.string())
+        self.data, found, base = [], {}, 0
+        for row, rows, data, off in tx.pieces(text):
+            data = tx.LOWER[data]
+            s, e, woff = tx.words(data, off, tx.ALNUM_WORDS)
+            count = np.diff(woff)
+            prefix = by_words.prefix(word_hashes(data, s, e, by_bytes, values))
+            again = by_bytes.prefix(word_hashes(data, s, e, by_words, values))
+            for size in np.unique(np.minimum(count[count > 0], n)).tolist():
+                mine = np.flatnonzero(count >= n if size == n else count == size)
+                many = count[mine] - size + 1
+                at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(woff[mine], many)
+                h = by_words.span(prefix, at, at + size)
+                h2 = by_bytes.span(again, at, at + size)  # windows of one hash are told apart by another
+                found.setdefault(size, []).append((h, h2, s[at] + base, e[at + size - 1] + base, np.repeat(mine + row, many)))
+            self.data.append(data)
+            base += len(data)
+        self.data = np.concatenate(self.data) if self.data else np.zeros(0, np.uint8)
+        self.by_size = {}
+        for size, parts in found.items():
+            h, h2, lo, hi, item = map(np.concatenate, zip(*parts, strict=True))
+            order = np.lexsort((item, h2, h))
+            h, h2, lo, hi, item = h[order], h2[order], lo[order], hi[order], item[order]
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])])
+            keep = known[item]
+            upto = np.r_[0, np.cumsum(keep)]
+            self.by_size[size] = h[first], lo[first].astype(np.int64), hi[first].astype(np.int64), upto[np.r_[first, len(h)]].astype(np.int64), item[keep].astype(np.int32)
+
+    def words_at(self, lo: int, hi: int) -> bytes:
+        """The words between two places, with one space between them."""
+        data = self.data[lo:hi]
+        s, e, _ = tx.words(data, np.array([0, len(data)]), tx.ALNUM_WORDS)
+        held = data.tobytes()
+        return b" ".join(held[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True))
 
 
 def scanner(held, n: int):
     """The scan of one slice: adds hit word spans and items to what earlier scans found."""
 
     def scan(batches):
-        grams: dict[bytes, list[str]] = held.value
+        windows: Windows = held.value
         by_bytes, by_words, values = tx.Rolling(tx.BASE_A), tx.Rolling(tx.BASE_B), tx.byte_values()
-        by_size: dict[int, np.ndarray] = {}
-        for g in grams:
-            by_size.setdefault(g.count(b" ") + 1, []).append(g)
-        lookup = {}
-        for size, group in by_size.items():
-            hashes = []
-            for at in range(0, len(group), 4096):
-                lines = group[at : at + 4096]
-                data = np.frombuffer(b" ".join(lines), np.uint8)
-                s, e, _ = tx.words(data, np.array([0, len(data)]), tx.ALNUM_WORDS)
-                h = by_words.prefix(word_hashes(data, s, e, by_bytes, values))
-                first = np.arange(len(lines)) * size
-                hashes.append(by_words.span(h, first, first + size))
-            keys = np.unique(np.concatenate(hashes))
-            seen = np.zeros(1 << TABLE_BITS, bool)
-            seen[keys >> tx.U64(64 - TABLE_BITS)] = True
-            lookup[size] = keys, seen
+        seen = {}
+        for size, (keys, *_) in windows.by_size.items():
+            seen[size] = np.zeros(1 << TABLE_BITS, bool)
+            seen[size][keys >> tx.U64(64 - TABLE_BITS)] = True
         for batch in batches:
             text = batch.column("text")
             counts, hits, items = [], batch.column("hits").to_pylist(), batch.column("items").to_pylist()
@@ -85,20 +100,24 @@ def scanner(held, n: int):
                     continue
                 prefix = by_words.prefix(word_hashes(data, s, e, by_bytes, values))
                 end_of = np.repeat(woff[1:], np.diff(woff))
-                for size, (keys, seen) in lookup.items():
+                for size, (keys, lo, hi, upto, of) in windows.by_size.items():
                     at = np.arange(len(s) - size + 1)
                     at = at[at + size <= end_of[: len(at)]] if len(at) else at
                     if not len(at):
                         continue
                     h = by_words.span(prefix, at, at + size)
-                    maybe = np.flatnonzero(seen[h >> tx.U64(64 - TABLE_BITS)])
-                    maybe = maybe[keys[np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)] == h[maybe]]
-                    for w in at[maybe].tolist():
+                    maybe = np.flatnonzero(seen[size][h >> tx.U64(64 - TABLE_BITS)])
+                    k = np.searchsorted(keys, h[maybe])
+                    maybe, k = maybe[m := keys[np.minimum(k, len(keys) - 1)] == h[maybe]], k[m]
+                    for w, k, name in zip(at[maybe].tolist(), k.tolist(), h[maybe].tolist(), strict=True):
                         gram = b" ".join(data[s[j] : e[j]].tobytes() for j in range(w, w + size))
-                        if gram in grams:
-                            d = int(np.searchsorted(woff, w, "right")) - 1
-                            hits[row + d].append({"begin": w - int(woff[d]), "end": w - int(woff[d]) + size})
-                            items[row + d].extend(grams[gram])
+                        while k < len(keys) and keys[k] == name:
+                            if windows.words_at(lo[k], hi[k]) == gram:
+                                d = int(np.searchsorted(woff, w, "right")) - 1
+                                hits[row + d].append({"begin": w - int(woff[d]), "end": w - int(woff[d]) + size})
+                                items[row + d].extend(windows.items[i] for i in of[upto[k] : upto[k + 1]].tolist())
+                                break
+                            k += 1
             out = {k: batch.column(k) for k in batch.schema.names}
             if counts:
                 out["n_words"] = pa.array(np.concatenate(counts), pa.int64())
@@ -121,8 +140,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, slice_bytes: in
     )
     for k in range(slices):
         mine = sized if slices == 1 else sized.where(F.pmod(F.xxhash64("item", "passage"), F.lit(slices)) == k)
-        grams = windows_of([(r["item"], r["passage"]) for r in mine.collect()], n)
-        out = out.mapInArrow(scanner(spark.sparkContext.broadcast(grams), n), out.schema)
+        windows = Windows(mine.toArrow(), n)
+        out = out.mapInArrow(scanner(spark.sparkContext.broadcast(windows), n), out.schema)
     return out
 
 
