@@ -10,8 +10,9 @@ stays within it. 1 leaves the shares as they are, 0 makes them even.
 A source's budget is its weight times the total: whole epochs over all its
 documents, then part of one. Documents are dealt to blocks of about
 ``block_docs``; the last epoch takes the blocks in a keyed order, and within
-each the documents in a keyed order, as long as the budget holds. Only block
-totals are summed up along a source, documents only within their block, so a
+each the documents in a keyed order, as long as the budget holds. Only totals
+of stretches (about the square root of the number of blocks) are summed up along
+a source, blocks within their stretch and documents within their block, so a
 source with a third of all rows is spread like any other.
 
 Edge cases: null and empty sources are one source; null, empty or blank texts
@@ -88,10 +89,13 @@ def mix(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_repeat: float
     out = [F.col("doc_id"), F.nullif("src", F.lit("")).alias("source"), F.col("n_tokens"), F.col("epoch").cast("bigint").alias("epoch"), F.col("block"), F.col("weight")]
     # whole epochs; a plain number of copies of each row, no shuffle
     full = dealt.where("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("epochs") - 1)))
-    # the last one
-    order = "xxhash64({}, epochs, src, block)".format(seed + 1)
-    blocks = dealt.groupBy("src", "block", "epochs").agg(F.sum("n_tokens").alias("size"))
-    before = blocks.withColumn("before", F.expr(f"sum(size) over (partition by src order by {order}, block rows between unbounded preceding and current row) - size")).select("src", "block", "before")
+    # the last one: blocks in keyed order, summed up by stretches of that order first, so that no task holds all blocks of a source
+    blocks = dealt.groupBy("src", "block", "blocks", "epochs").agg(F.sum("n_tokens").alias("size")).withColumn("turn", F.xxhash64(F.lit(seed + 1), "epochs", "src", "block"))
+    blocks = settled(blocks.withColumn("stretch", F.floor((F.col("turn") / F.lit(2.0**64) + 0.5) * F.ceil(F.sqrt("blocks")))))
+    stretches = blocks.groupBy("src", "stretch").agg(F.sum("size").alias("size"))
+    stretches = stretches.select("src", "stretch", F.expr("sum(size) over (partition by src order by stretch rows between unbounded preceding and current row) - size").alias("earlier"))
+    within = F.expr("sum(size) over (partition by src, stretch order by turn, block rows between unbounded preceding and current row) - size")
+    before = blocks.withColumn("within", within).join(stretches, ["src", "stretch"]).select("src", "block", (F.col("earlier") + F.col("within")).alias("before"))
     part = dealt.where("rest > 0 and n_tokens > 0").join(before, ["src", "block"]).where("before < rest")
     part = part.withColumn("upto", F.expr(f"before + sum(n_tokens) over (partition by src, block order by xxhash64({seed + 2}, epochs, key), doc_id rows between unbounded preceding and current row)"))
     part = part.where("upto <= rest").withColumn("epoch", F.col("epochs"))
