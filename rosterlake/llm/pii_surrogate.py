@@ -2,8 +2,9 @@
 
 Entities are found by shape: e-mail addresses, secrets (quoted or bare after a
 key word, or long hexadecimal strings), telephone numbers (international, with a
-leading zero, or 3-3-4 digits), IP addresses, long numbers (cards, accounts,
-identity numbers in their usual groups, IBANs) and titled names. A surrogate is a function of a secret key,
+leading zero, or 3-3-4 digits), IP addresses (v4, v6), long numbers (cards, accounts,
+identity numbers in their usual groups, IBANs) and titled names (a family name has one
+surrogate, with or without a given name before it). A surrogate is a function of a secret key,
 the type, the entity's canonical form and an attempt number, so an entity gets
 the same one in every document and spelling. It keeps the type and the format:
 letters stay letters of their case, digits digits, separators in place; numbers
@@ -11,7 +12,8 @@ that pass the Luhn check still do, octets stay octets, names keep title, gender
 and script.
 
 Collision checks make surrogates distinct: of the entities whose surrogates
-meet, or hit a real entity, all but one take the next attempt, until none do.
+meet, or hit a real entity, all but one take the next attempt, until none do; after
+IN_FORMAT attempts surrogates grow by a letter or digit (an IP address by a port).
 Only entities past attempt 0 are joined back; texts are not shuffled unless
 those are too many to broadcast.
 
@@ -20,7 +22,7 @@ unless they are 32 hexadecimal digits or more; other key words than those of
 SECRET_HEAD; national telephone numbers without a leading zero in other groups
 than 3-3-4, local ones, and dotted or slashed ones that read as a date; identity
 numbers of letters with fewer than nine digits (but eight and a letter are) or
-in other groups than GROUPED; IPv6; addresses with non-ASCII letters; names
+in other groups than GROUPED; IPv6 without a digit or ending in ::; addresses with non-ASCII letters; names
 without a title, third and further names; postal addresses and dates of birth.
 Shapes are all that is looked at, so a bare word of eight characters after
 "password:", and numbers grouped like a telephone's, are replaced too. One number
@@ -38,10 +40,13 @@ from pyspark.sql import functions as F
 from ._common import row_key, settled
 from .host_rules import let
 
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,4}"
+EMAIL = r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,4}"
 # Words that a secret follows.
-SECRET_HEAD = r"(?i:token|secret|password|passwd|api[_-]?key)[\"']?[ \t]*+[=:][ \t]*+"
+SECRET_HEAD = r"(?=[AaPpSsTt])(?i:token|secret|password|passwd|api[_-]?key)[\"']?[ \t]*+[=:][ \t]*+"
 SECRET = SECRET_HEAD + r"""(?:"[^"\s]{8,}+"|'[^'\s]{8,}+'|[^\s"']\S{7,}(?<![.,;:!?)\]}>"']))|(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"""
+IP6 = (
+    r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,34}::)(?=[A-Fa-f:]{0,38}\d)(?:[0-9A-Fa-f]{1,4}::?){1,6}[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])"
+)
 IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
 # What may stand between two digits of a telephone number, and a date, which is none; an IP address ends it.
 GAP = r"[ .()/\u00A0\u202F\u2010-\u2013-]"
@@ -55,13 +60,17 @@ GROUPED = [r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}", r"\d{4}[ -]\d{6}[ -]\d{5}", r"\d
 IBAN = r"(?<![A-Za-z\d])[A-Z]{2}\d{2}(?=(?:[ A-Z]{0,9}\d){8})(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?![A-Za-z\d])"
 NUMBER = rf"{IBAN}|(?<![\d.,-])(?:{'|'.join(GROUPED)})(?![\d]|-\d)|(?<![\d.,])\d{{8}}-?[A-HJ-NP-TV-Z](?![A-Za-z\d])|(?<![\d.,])\d{{9,}}+(?![.,]\d)"
 # Titles by gender.
-MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин"]
-FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа"]
-PERSON = r"(?<![\p{L}])(?:" + "|".join(MALE + FEMALE) + r")\.? \p{Lu}\p{Ll}[\p{L}'-]{0,30}(?: \p{Lu}\p{Ll}[\p{L}'-]{0,30})?"
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IP, PHONE, NUMBER, PERSON))
-#: What a text must hold for any entity to be there: an e-mail address has @, a secret = or : or 32 hexadecimal
-#: digits, a telephone, IP or long number a digit, a name its title. It follows from each pattern, whatever its format.
-CHEAP = r"[@=:\d]|[A-Fa-f]{32}|" + "|".join(MALE + FEMALE)
+MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Sir", "Lord", "Don", "Signor", "Senhor", "господин"]
+FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Lady", "Doña", "Signora", "Senhora", "госпожа"]
+NEUTRAL = ["Dr", "Prof"]
+TITLES = MALE + FEMALE + NEUTRAL
+PERSON = r"(?<![\p{L}])(?:" + "|".join(TITLES) + r")\.? \p{Lu}\p{Ll}[\p{L}'-]{0,30}(?: \p{Lu}\p{Ll}[\p{L}'-]{0,30})?"
+ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IP6, IP, PHONE, NUMBER, PERSON))
+#: What a text without a title must hold for any entity to be there: an e-mail address has @, a secret = or : or 32
+#: hexadecimal digits, an IPv6 address :, a telephone, IP or long number a digit. It follows from each pattern, whatever its format.
+CHEAP = r"[@=:\d]|[A-Fa-f]{32}"
+#: So many attempts keep the format; each one beyond adds a letter or digit, so a format whose space is full is no dead end.
+IN_FORMAT = 4
 # Given names by script and gender, and syllables of family names.
 GIVEN = {
     ("latin", "m"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Jonas", "Leon", "Marco", "Nico", "Oscar", "Paul", "Robin", "Simon", "Victor"],
@@ -75,7 +84,7 @@ TYPES = ["email", "secret", "phone", "ip", "number", "person"]
 
 def kind_of(e: Column) -> Column:
     return (
-        F.when(e.rlike(f"^(?:{SECRET})$"), "secret").when(e.contains("@"), "email").when(e.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
+        F.when(e.rlike(f"^(?:{SECRET})$"), "secret").when(e.contains("@"), "email").when(e.rlike(r"^(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f:]*:[0-9A-Fa-f:]*)$"), "ip")
         .when(e.rlike(f"^(?:{PHONE})$"), "phone").when(e.rlike(r"\d"), "number").otherwise("person")
     )
 
@@ -95,12 +104,13 @@ def canonical(kind: Column, e: Column) -> Column:
     """What makes two spellings the same entity."""
     return (
         F.when(kind == "email", F.lower(e)).when(kind == "secret", F.lower(secret_parts(e)[1]))
-        .when(kind.isin("phone", "number"), F.regexp_replace(e, r"\D", "")).when(kind == "ip", e).otherwise(F.concat(gender(e), F.lit(":"), F.regexp_replace(e, r"^\p{L}+\.? ", "")))
+        .when(kind.isin("phone", "number"), F.regexp_replace(e, r"\D", "")).when(kind == "ip", F.lower(e)).otherwise(F.concat(gender(e), F.lit(":"), F.regexp_replace(e, r"^\p{L}+\.? ", "")))
     )
 
 
 def gender(e: Column) -> Column:
-    return F.when(F.regexp_replace(title_of(e), r"\.? $", "").isin(MALE), "m").otherwise("f")
+    title = F.regexp_replace(title_of(e), r"\.? $", "")
+    return F.when(title.isin(MALE), "m").when(title.isin(NEUTRAL), "n").otherwise("f")
 
 
 def stream(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
@@ -137,9 +147,9 @@ def same_format(e: Column, hexes: Column, hexadecimal: bool) -> Column:
     return F.array_join(F.transform(F.split(e, ""), one), "")
 
 
-def new_digits(canon: Column, hexes: Column, keep: int, luhn: bool) -> Column:
-    """As many digits as canon has: the first ``keep`` stay; a number that passes the Luhn check still does."""
-    n = F.length(canon)
+def new_digits(canon: Column, hexes: Column, keep: int, luhn: bool, more: Column) -> Column:
+    """As many digits as canon has and ``more``: the first ``keep`` stay; a number that passes the Luhn check still does."""
+    n = F.length(canon) + more
     fresh = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.when(i <= keep, F.substring(canon, i, F.lit(1)).cast("int")).otherwise(draw(hexes, i, 10)))
     if not luhn:
         return fresh
@@ -153,20 +163,32 @@ def into_format(e: Column, digits: Column) -> Column:
     return F.array_join(F.zip_with(marks, F.transform(digits, lambda d: d.cast("string")), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
 
 
-def person(e: Column, hexes: Column, attempt: Column) -> Column:
+def person(key: str, e: Column, hexes: Column, attempt: Column) -> Column:
+    """Title, given and family name. A family name's surrogate hangs on that name alone, so "Mr. John Smith" and "Mr. Smith" keep theirs in common.
+
+    A further attempt changes the given name; the family name only where it stands alone.
+    """
     name = F.regexp_replace(e, r"^\p{L}+\.? ", "")
+    family, full = F.substring_index(name, " ", -1), name.contains(" ")
     cyrillic = name.rlike(r"\p{IsCyrillic}")
+    tries = F.when(full, 0).otherwise(attempt)
+    by_family = F.sha2(F.concat_ws("|", F.lit(key), F.lit("family"), family, F.when(tries > 0, tries.cast("string"))), 256)
 
     def choose(script):
-        given = F.when(gender(e) == "m", F.get(F.array(*map(F.lit, GIVEN[script, "m"])), draw(hexes, F.lit(0), 16))).otherwise(F.get(F.array(*map(F.lit, GIVEN[script, "f"])), draw(hexes, F.lit(0), 16)))
-        family = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3) + attempt), lambda i: F.get(F.array(*map(F.lit, SYLLABLES[script])), draw(hexes, i * 3, 16))), ""))
-        return F.when(name.contains(" "), F.concat_ws(" ", given, family)).otherwise(family)
+        spelled = lambda h, n: F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.get(F.array(*map(F.lit, SYLLABLES[script])), draw(h, i, 16))), ""))
+        usual = lambda g: F.get(F.array(*map(F.lit, GIVEN[script, g])), draw(hexes, F.lit(0), 16))
+        by_gender = F.when(gender(e) == "m", usual("m")).when(gender(e) == "f", usual("f")).otherwise(F.when(draw(hexes, F.lit(5), 2) == 0, usual("m")).otherwise(usual("f")))
+        given = F.when(attempt == 0, by_gender).otherwise(spelled(hexes, F.lit(2) + attempt))
+        last = spelled(by_family, F.lit(5) + tries)
+        return F.when(full, F.concat_ws(" ", given, last)).otherwise(last)
 
     return F.concat(title_of(e), F.when(cyrillic, choose("cyrillic")).otherwise(choose("latin")))
 
 
 def surrogate(key: str, kind: Column, canon: Column, e: Column, attempt: Column) -> Column:
-    """The replacement of e, in e's own format."""
+    """The replacement of e, in e's own format for the first IN_FORMAT attempts."""
+    more = F.greatest(attempt - F.lit(IN_FORMAT - 1), F.lit(0))
+    longer = lambda x: F.concat(x, F.repeat(F.substring(x, 1, 1), more))
 
     def made(h):
         local = F.substring_index(e, "@", 1)
@@ -174,18 +196,28 @@ def surrogate(key: str, kind: Column, canon: Column, e: Column, attempt: Column)
         host = F.substring_index(domain, ".", 1)
         head, inner, tail = secret_parts(e)
         octet = lambda k, n: (draw(h, F.lit(k), n) + 1).cast("string")
+        port = F.when(more > 0, F.concat(F.lit(":"), (draw(h, F.lit(20), 60_000) + more).cast("string"))).otherwise("")
         return (
-            F.when(kind == "email", F.concat(same_format(local, h, False), F.lit("@"), same_format(host, F.reverse(h), False), F.substring(domain, F.length(host) + 1, F.length(domain))))
-            .when(kind == "secret", F.concat(head, same_format(inner, h, True), tail))
-            .when(kind == "phone", into_format(e, new_digits(canon, h, 1, False)))
-            .when(kind == "ip", F.concat_ws(".", octet(0, 222), octet(3, 254), octet(6, 254), octet(9, 254)))
-            .when(kind == "number", into_format(e, new_digits(canon, h, 1, True)))
-            .otherwise(person(e, h, attempt))
+            F.when(kind == "email", F.concat(same_format(longer(local), h, False), F.lit("@"), same_format(host, F.reverse(h), False), F.substring(domain, F.length(host) + 1, F.length(domain))))
+            .when(kind == "secret", F.concat(head, same_format(longer(inner), h, True), tail))
+            .when(kind == "phone", into_format(e, new_digits(canon, h, 1, False, more)))
+            .when((kind == "ip") & e.contains(":"), same_format(longer(e), h, True))
+            .when(kind == "ip", F.concat(F.concat_ws(".", octet(0, 222), octet(3, 254), octet(6, 254), octet(9, 254)), port))
+            .when(kind == "number", into_format(e, new_digits(canon, h, 1, True, more)))
+            .otherwise(person(key, e, h, attempt))
         )
 
     return let(stream(key, kind, canon, attempt), made)
 
 
+def may_hold(text: Column) -> Column:
+    """Whether an entity may be in the text: follows from each pattern."""
+    found = text.rlike(CHEAP)
+    for title in TITLES:
+        found = found | text.contains(f"{title}. ") | text.contains(f"{title} ")
+    return F.coalesce(found, F.lit(False))
+
+
 def entities(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ANY), 0)
 
@@ -218,14 +250,14 @@ def attempts(found: DataFrame, key: str, most: int = 50) -> DataFrame:
 
 def replace(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     """The documents' own columns with surrogates in the text, and __found: each entity's type."""
-    some = docs.where(F.col("text").rlike(CHEAP)).select(row_key().alias("key"), F.explode(entities(F.col("text"))).alias("e"))
+    some = docs.where(may_hold(F.col("text"))).select(row_key().alias("key"), F.explode(entities(F.col("text"))).alias("e"))
     typed = some.select("key", "e", kind_of(F.col("e")).alias("kind")).withColumn("canon", canonical(F.col("kind"), F.col("e")))
     typed = settled(typed)
     bumped = attempts(typed, key)
     by_row = typed.join(bumped, ["kind", "canon"]).groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("__bumped"))
     joined = docs.withColumn("__key", row_key()).join(by_row.withColumnRenamed("key", "__key"), "__key", "left")
     # texts without any entity are left alone, without a look at each place
-    holds = F.coalesce(F.col("text").rlike(CHEAP), F.lit(False))
+    holds = may_hold(F.col("text"))
     listed = joined.withColumn("__found", F.when(holds, entities(F.col("text"))).otherwise(F.array().cast("array<string>")))
 
     def one(e):

@@ -262,11 +262,29 @@ def test_surrogates_stay_distinct(spark):
     assert len(ips) == 1300 and len(names) == 676
 
 
+def test_full_formats(spark):
+    """All 676 addresses of one format, and all of 26 tokens of one: surrogates grow and stay distinct, none is a real one."""
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{a}@{b}.co" for a in abc for b in abc]
+    df = spark.createDataFrame([(k, m) for k, m in enumerate(mails)] + [(1000, mails[5].upper())], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii_surrogate.report(df).collect()}
+    new = [got[k] for k in range(676)]
+    assert len(set(new)) == 676 and not set(new) & set(mails) and all(m.endswith(".co") and "@" in m for m in new)
+    assert got[1000].lower() == got[5]
+
+
+def test_family_names_stay_together(spark):
+    rows = [(1, "Mr. John Smith and Mr. Smith, Mrs. Smith, Dr. Smith; Dr Peter Smith, Mr. Jones. господин Иван Петров, господин Петров")]
+    text = pii_surrogate.report(spark.createDataFrame(rows, "doc_id long, text string")).first()["text"]
+    last = [x.split()[-1].strip(".,;") for x in text.replace(" and ", ", ").replace(";", ",").replace(". господин", ", господин").split(", ")]
+    assert len(set(last[:5])) == 1 and last[5] != last[0] and last[6] == last[7] and not {"Smith", "Jones", "Петров"} & set(last)
+
+
 # The shortest and the space-grouped forms of each pattern, by type; nothing else in them passes the pre-filter.
 FORMS = [
     ("email", "a@b.c"), ("email", "to.x_y@mail-1.example.org"), ("phone", "+49 30 123 45 67"), ("phone", "+221 77 123 45 67"), ("phone", "+1 22 33 44"), ("phone", "+1223344"), ("phone", "+1 (830) 555-5433"),
     ("ip", "1.2.3.4"), ("number", "123456789"), ("number", "4539 1488 0343 6467"), ("number", "4539-1488-0343-6467"), ("secret", 'token="abcdefgh"'), ("secret", 'api_key : "abcdefgh"'), ("secret", "abcdefab" * 4), ("secret", "A1" * 16),
-    *[("person", f"{t} Ab") for t in pii_surrogate.MALE + pii_surrogate.FEMALE], ("person", "Mr. John Smith"),
+    *[("person", f"{t} Ab") for t in pii_surrogate.TITLES], ("ip", "fe80::1"), ("ip", "2001:0db8:0000:0000:0000:ff00:0042:8329"), ("person", "Mr. John Smith"),
 ]
 
 
