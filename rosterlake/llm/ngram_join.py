@@ -54,6 +54,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _repeats as rp
+from . import sieve
 from . import textops as tx
 from ._common import buckets, discard, settled
 from .components import components
@@ -627,7 +628,8 @@ def linked_sets(docs: DataFrame, n: int, percent: int, every_link: bool) -> tupl
     members = settled(sets.join(groups.select(F.col("node").alias("s1"), F.col("root").alias("grp")), "s1"))
     placed, large = dealt(members, percent, every_link)
     placed = settled(placed.select(*PLACE, "s1", "node", "copies", "several", "shown", "t1", "t2", "id"))
-    texts = known.select(id_key.alias("id"), "t1", "t2", "text").join(placed, ["t1", "t2", "id"])
+    wanted = sieve.table_of(placed.select("t1"))
+    texts = sieve.sifted(known.select(id_key.alias("id"), "t1", "t2", "text"), "t1", wanted).join(placed, ["t1", "t2", "id"])
     texts = texts.select(*PLACE, "s1", "node", "copies", "several", "shown", "text").repartition(*PLACE).sortWithinPartitions(*PLACE)
     first = settled(texts.mapInArrow(within(n, percent, every_link), BLOCKS))
     links, packed = first.where("grp is null").select("a", "b", "s1", "links"), first.where("grp is not null").select(*PLACE, "about", "length", "held")
@@ -673,13 +675,14 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     heads = settled(narrow.where(is_head).groupBy("root", "id", "t1", "t2").agg(F.count("*").alias("rows")))
     best = heads.groupBy("root").agg(F.min(F.struct("t1", "t2")).alias("m"))
     judged = settled(heads.join(best, "root").select("id", "t1", "t2", (F.struct("t1", "t2") == F.col("m")).alias("best"), "rows"))
-    # written first, so that the joins are planned by their size
+    # only texts whose hash may be among those are shuffled
     gone = settled(narrow.where(~is_head).select("id", "t1", "t2").union(judged.where("not best").select("id", "t1", "t2")).distinct())
     repeated = settled(judged.where("best and rows > 1").select("id", "t1", "t2"))
     t1, t2 = rp.text_keys()
     keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID).cast("bigint")).alias("__id"), t1.alias("__t1"), t2.alias("__t2"))
     on = lambda other: [F.col(f"__{k}") == other[k] for k in ("id", "t1", "t2")]
-    kept = keyed.join(gone, on(gone), "left_anti")
+    held = sieve.table_of(gone.select("t1"))
+    kept = sieve.sifted(keyed, "__t1", held, inside=False).union(sieve.sifted(keyed, "__t1", held).join(gone, on(gone), "left_anti"))
     if repeated.isEmpty():
         return kept.select(docs.columns)
     one = kept.join(repeated, on(repeated), "left_semi").groupBy("__id", "__t1", "__t2").agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlake.llm import block_dedup, components, decontaminate, host_rules, lang_ppm, license_digest, mixing, ngram_join, pii_surrogate, quality_rank, suffix_dedup
+from rosterlake.llm import block_dedup, components, decontaminate, host_rules, lang_ppm, license_digest, mixing, ngram_join, pii_surrogate, quality_rank, sieve, suffix_dedup
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, t1 string, rate double"
@@ -138,6 +138,16 @@ def test_one_of_each(spark, docs):
     assert ordered((r["doc_id"],) for r in left) == [(1,), (4,), (None,)]
 
 
+def test_sieve(spark):
+    keys = spark.range(0, 3000, 3).select(F.xxhash64("id").alias("k")).persist()
+    rows = spark.range(3000).select("id", F.xxhash64("id").alias("key"))
+    table = sieve.table_of(keys)
+    inside = {r["id"] for r in sieve.sifted(rows, "key", table).collect()}
+    outside = {r["id"] for r in sieve.sifted(rows, "key", table, inside=False).collect()}
+    assert inside >= set(range(0, 3000, 3)) and not inside & outside and len(inside | outside) == 3000 and len(outside) > 1700
+    assert sieve.sifted(rows, "key", sieve.table_of(keys.limit(0))).count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 101), (100, 102), (102, 100)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}
