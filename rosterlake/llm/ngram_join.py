@@ -174,7 +174,7 @@ def keys_of(x: np.ndarray, percent: int, common: np.ndarray, often: np.ndarray)
         if limit[c] < n:
             continue
         apart = most_apart(limit[c], limit[c], percent)
-        need = min(apart, most_apart(n, largest, percent)) + 1
+        need = most_apart(n, min(limit[c], largest), percent) + 1
         found = 0
         for seed in range(SEEDS):
             use = rare if seed < SEEDS - 1 else np.ones(n, bool)
@@ -563,8 +563,9 @@ def together(found: DataFrame, every: DataFrame, percent: int) -> DataFrame:
     found = settled(found)
     tied = found.where("tied").select("a", "b")
     lists = settled(found.where("not tied").select(F.col("b").alias("list"), F.col("a").alias("x")).union(found.where("not tied").select("b", "b")).distinct())
-    names = lists.select(F.col("x").alias("s1")).distinct()
-    held = settled(every.where("n > 0").join(names, "s1", "left_semi").groupBy(F.col("s1").alias("x")).agg(F.max("n").alias("n"), F.max("sketch").alias("sketch")))
+    names = settled(lists.select(F.col("x").alias("s1")).distinct())
+    listed = sieve.sifted(every.where("n > 0").select("s1", "n", "sketch"), "s1", sieve.table_of(names))
+    held = settled(listed.join(names, "s1", "left_semi").groupBy(F.col("s1").alias("x")).agg(F.max("n").alias("n"), F.max("sketch").alias("sketch")))
     large = settled(lists.groupBy("list").agg(F.count("*").alias("size")).where(F.col("size") > LISTED).select("list", F.ceil(F.col("size") / LISTED).cast("int").alias("parts")))
     placed = lists.join(large, "list", "left").withColumn("mine", F.coalesce(F.pmod(F.xxhash64("x"), F.col("parts")), F.lit(0)).cast("int"))
     # the set that a list is named by is on every part of it
@@ -576,7 +577,9 @@ def together(found: DataFrame, every: DataFrame, percent: int) -> DataFrame:
         apart = lists.join(large, "list").join(roots, F.col("x") == F.col("node"), "left").groupBy("list").agg(F.min(F.coalesce("root", "x")).alias("lo"), F.max(F.coalesce("root", "x")).alias("hi")).where("lo <> hi").select("list")
         others = placed.join(apart, "list", "left_semi").select("x", "list", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
         edges = edges.union(look(others.select("x", F.struct("list", F.least("mine", "p").alias("p"), F.greatest("mine", "p").alias("q")).alias("part"))))
-    return components(edges)
+    groups = components(edges)
+    discard(found, lists, names, held, large)
+    return groups
 
 
 def dealt(members: DataFrame, percent: int, every_link: bool) -> tuple[DataFrame, DataFrame]:
@@ -675,14 +678,16 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     heads = settled(narrow.where(is_head).groupBy("root", "id", "t1", "t2").agg(F.count("*").alias("rows")))
     best = heads.groupBy("root").agg(F.min(F.struct("t1", "t2")).alias("m"))
     judged = settled(heads.join(best, "root").select("id", "t1", "t2", (F.struct("t1", "t2") == F.col("m")).alias("best"), "rows"))
-    # only texts whose hash may be among those are shuffled
+    # only texts whose hash may be among those that go and among those that stay are shuffled
     gone = settled(narrow.where(~is_head).select("id", "t1", "t2").union(judged.where("not best").select("id", "t1", "t2")).distinct())
     repeated = settled(judged.where("best and rows > 1").select("id", "t1", "t2"))
     t1, t2 = rp.text_keys()
     keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID).cast("bigint")).alias("__id"), t1.alias("__t1"), t2.alias("__t2"))
     on = lambda other: [F.col(f"__{k}") == other[k] for k in ("id", "t1", "t2")]
-    held = sieve.table_of(gone.select("t1"))
-    kept = sieve.sifted(keyed, "__t1", held, inside=False).union(sieve.sifted(keyed, "__t1", held).join(gone, on(gone), "left_anti"))
+    stay = settled(every.select("id", "t1", "t2").join(gone, ["id", "t1", "t2"], "left_anti").select("t1"))
+    goes, stays = sieve.table_of(gone.select("t1")), sieve.table_of(stay)
+    unsure = sieve.sifted(sieve.sifted(keyed, "__t1", goes), "__t1", stays)
+    kept = sieve.sifted(keyed, "__t1", goes, inside=False).union(unsure.join(gone, on(gone), "left_anti"))
     if repeated.isEmpty():
         return kept.select(docs.columns)
     one = kept.join(repeated, on(repeated), "left_semi").groupBy("__id", "__t1", "__t2").agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")

@@ -1,4 +1,4 @@
-"""Rows whose key may be in a table of keys, told by one bit a key before anything is shuffled.
+"""Rows whose key may be in a table of keys, told by two bits a key before anything is shuffled.
 
 The bit table has 16 bits for each key, 2**28 (32 MB) at most: with more keys it
 lets more rows through, in the end all, and what follows is a plain join. No row
@@ -20,16 +20,19 @@ def table_of(keys: DataFrame) -> Broadcast:
     """keys: one column of 64-bit hashes, written already, for it is read twice."""
     (name,) = keys.columns
     bits = min(MOST_BITS, max(LEAST_BITS, int(16 * keys.count()).bit_length()))
-    at = F.shiftrightunsigned(F.col(name), 64 - bits)
-    words = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({name}, {64 - bits}) & 63 as int))")).alias("held")).toArrow()
-    table = np.zeros(max(1, 1 << (bits - 6)), np.uint64)
-    table[words.column("word").to_numpy()] = words.column("held").to_numpy().view(np.uint64)
+    places = F.explode(F.array(F.shiftrightunsigned(F.col(name), 64 - bits), F.shiftrightunsigned(F.shiftleft(F.col(name), 32), 64 - bits)))
+    set_bits = keys.select(places.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("held")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[set_bits.column("word").to_numpy()] = set_bits.column("held").to_numpy().view(np.uint64)
     return keys.sparkSession.sparkContext.broadcast((bits, table))
 
 
 def maybe(key: pa.Array, bits: int, table: np.ndarray) -> np.ndarray:
-    at = np.asarray(key).view(np.uint64) >> np.uint64(64 - bits)
-    return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    out = np.ones(len(key), bool)
+    for skip in (0, 32):
+        at = (np.asarray(key).view(np.uint64) << np.uint64(skip)) >> np.uint64(64 - bits)
+        out &= (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return out
 
 
 def sifted(df: DataFrame, key: str, table: Broadcast, inside: bool = True) -> DataFrame:
