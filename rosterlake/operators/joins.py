@@ -17,7 +17,8 @@ def next_after(left: DataFrame, right: DataFrame, entity: str, left_at: str, rig
     none = [F.lit(None).cast(t).alias(c) for c, t in left.dtypes]
     both = left.select("*", F.lit(True).alias("__left"), F.col(entity).alias("__e"), F.col(left_at).cast("bigint").alias("__t"), F.lit(None).cast("bigint").alias("__r")).union(
         right.select(*none, F.lit(False), F.col(entity), F.col(right_at).cast("bigint"), F.col(right_at).cast("bigint")))
-    ahead = Window.partitionBy("__e").orderBy("__t").rangeBetween(1, Window.unboundedFollowing)
+    # latest first, so that the frame only grows: linear in the rows of an entity
+    ahead = Window.partitionBy("__e").orderBy(F.col("__t").desc()).rangeBetween(Window.unboundedPreceding, -1)
     return both.withColumn(name, F.min("__r").over(ahead)).where("__left").select(*left.columns, name)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,14 +73,26 @@ def sessions(df: DataFrame, entity: str, at_seconds: Column, gap: int, order: st
 def first_sightings(df: DataFrame, key: Sequence[str], at_seconds: Column, ttl: int, order: str) -> DataFrame:
     """The rows kept when a key is let through once in ttl seconds, counted from the last one let through.
 
-    A refused row doesn't start the time anew, which no window frame can say: the
-    sorted times of a key are folded, keys apart from each other.
+    A refused row doesn't start the time anew, which no window frame can say: each
+    partition's rows pass sorted by key and time, with the last sighting as state,
+    so a key with any number of rows takes no memory.
     """
-    rows = df.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(at_seconds.alias("t"), F.col(order).alias("o")))).alias("a"))
-    none = F.array().cast(rows.schema["a"].dataType)
-    kept = F.aggregate("a", F.struct(F.lit(None).cast("bigint").alias("last"), none.alias("kept")), lambda s, x: F.when(
-        s["last"].isNull() | (x["t"] - s["last"] > ttl), F.struct(x["t"].cast("bigint").alias("last"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s), lambda s: s["kept"])
-    return rows.select(*key, F.explode(kept).alias("__k")).select(*key, F.col("__k.t").alias("at_s"), F.col("__k.o").alias(order))
+    rows = df.select(*key, at_seconds.alias("at_s"), F.col(order)).repartition(*key).sortWithinPartitions(*key, "at_s", order)
+
+    def run(batches):
+        now = last = None
+        for batch in batches:
+            keep = []
+            names = zip(*(batch.column(k).to_pylist() for k in key), strict=True)
+            for i, (name, t) in enumerate(zip(names, batch.column("at_s").to_pylist(), strict=True)):
+                if name != now:
+                    now, last = name, None
+                if last is None or (t is not None and t - last > ttl):
+                    last = t
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def top_n(df: DataFrame, group: Sequence[str], order: Sequence, n: int) -> DataFrame:
