@@ -21,6 +21,7 @@ digest the first id counts; repeated rows and null ids are kept as they are.
 from __future__ import annotations
 
 import json
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,8 +52,18 @@ COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n©(]*(?:copyright(?: \(c\)| ©)? (?:\d|©|
 SPEAKS_OF = r"(?i)licen[cs]e|released under|public domain|creative commons|copyright"
 
 
+# What a text must hold, in lower case, for a line of it to match; found by plain search, without a regular expression.
+COPYRIGHT_MARKS = ["copyright", "(c) ", "© ", "all rights reserved"]
+SPEAKING = ["license", "licence", "released under", "public domain", "creative commons", "copyright"]
+
+
+def holds(text: Column, marks: list[str]) -> Column:
+    return reduce(Column.__or__, [F.lower(text).contains(m) for m in marks])
+
+
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+    low = F.lower(text)
+    out = F.when(holds(text, COPYRIGHT_MARKS), F.regexp_replace(low, COPYRIGHT_LINE, " ")).otherwise(low)
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
@@ -85,7 +96,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     table = digests_of(known if known is not None else known_licenses(spark))
     rows = docs.select("doc_id", row_key().alias("__key"), digest(F.coalesce("text", F.lit(""))).alias("digest"))
     whole = rows.join(table.select(F.col("known_digest").alias("digest"), "license_id"), "digest", "left")
-    lines = docs.where(F.col("text").rlike(SPEAKS_OF)).select(row_key().alias("__key"), F.explode(F.array_distinct(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(SPEAKS_OF)))).alias("line"))
+    lines = docs.where(holds(F.col("text"), SPEAKING)).select(row_key().alias("__key"), F.explode(F.array_distinct(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(SPEAKS_OF)))).alias("line"))
     notices = lines.select("__key", F.explode(pieces(F.col("line"))).alias("piece")).select("__key", digest(F.col("piece")).alias("known_digest")).join(table, "known_digest").groupBy("__key").agg(F.array_sort(F.collect_set("license_id")).alias("ids"))
     return whole.join(notices, "__key", "left").select(
         "doc_id", "digest", "license_id", F.coalesce(F.array_join("ids", ","), F.lit("")).alias("notices"), F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_notices"))
