@@ -72,6 +72,11 @@ def _first(text: Column, rules) -> Column:
     return out
 
 
+def once(rows: DataFrame, **made: Column) -> DataFrame:
+    """Adds columns as a generated row: filters further up see them as plain columns and aren't pushed below, which would repeat their expressions in each use."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in made.items()]))))
+
+
 def row_part(label: Column) -> Column:
     return F.get(F.split(label, r"\|", 2), 0)
 
@@ -89,8 +94,8 @@ def column_of(column: Column, head: Column) -> Column:
 
 def page_types(fields: DataFrame) -> DataFrame:
     """record_id, page_idx, page_type of each page by its printed labels; null where that isn't clear."""
-    rows = fields.withColumn("__row", fold(row_part(F.col("label")))).withColumn("__age", (fold(F.col("label")) == "age") & F.col("status").isin(*USABLE))
-    rows = rows.withColumn("__age", F.when(F.col("__age"), age_days(F.col("value"))))
+    age = F.when((fold(F.col("label")) == "age") & F.col("status").isin(*USABLE), age_days(F.col("value")))
+    rows = once(fields, __row=fold(row_part(F.col("label"))), __age=age)
     agg = rows.groupBy(*PAGE).agg(F.collect_set("__row").alias("rows"), F.min_by("__age", F.when(F.col("__age").isNotNull(), F.col("ordinal"))).alias("age"))
     agg = agg.withColumn("text", F.concat_ws(" ", "rows"))
     text = F.col("text")
@@ -125,10 +130,9 @@ def series_values(fields: DataFrame) -> DataFrame:
     """
     rows = usable(fields).withColumn("page_kind", page_kind(F.col("page_type"))).where("page_kind is not null and page_kind <> 'delivery'")
     rows = rows.where(~((F.col("page_kind") == "antenatal") & ~F.col("label").contains("|")))
-    rows = rows.withColumn("__row", fold(row_part(F.col("label")))).withColumn("__head", fold(F.get(F.split("label", r"\|", 2), 1)))
-    rows = rows.withColumn("measure", _first(F.col("__row"), ROWS)).where(F.col("measure").isNotNull() & (~F.col("measure").isin("ageDays", "length") | (F.col("page_kind") == "postpartum_newborn")))
+    rows = once(rows, measure=measure_of(F.col("label")), __head=fold(F.get(F.split("label", r"\|", 2), 1))).where(F.col("measure").isNotNull() & (~F.col("measure").isin("ageDays", "length") | (F.col("page_kind") == "postpartum_newborn")))
     rows = rows.withColumn("col", F.when(F.col("page_kind") == "antenatal", column_of(F.col("column"), F.col("__head"))).otherwise(0)).where("col is not null")
-    rows = rows.withColumn("__n", plain_number(F.col("value"))).withColumn("__f", fold(F.col("value")))
+    rows = once(rows, __n=plain_number(F.col("value")), __f=fold(F.col("value")))
     n, m, v, f = F.col("__n"), F.col("measure"), F.col("value"), F.col("__f")
     grams = F.when(n < 10, F.rint(n * 1000)).otherwise(F.rint(n))
     kilos = F.bround(F.when((F.col("kind") == "weight") & (n >= 1000), n / 1000).otherwise(n), 1)
@@ -138,7 +142,7 @@ def series_values(fields: DataFrame) -> DataFrame:
     )
     bp = F.when(m == "bp", blood_pressure(v))
     word = F.when(m.isin(*CATEGORICAL) & (F.trim(v) != ""), v)
-    rows = rows.select(*PAGE, "page_kind", "col", "measure", "ordinal", "key", "status", "origin", num.alias("num"), bp.alias("bp"), F.when(m.isin("date", "appointment"), iso_date(v)).alias("day"), word.alias("word"), f.alias("folded"))
+    rows = once(rows, num=num, bp=bp, day=F.when(m.isin("date", "appointment"), iso_date(v)), word=word, folded=f).select(*PAGE, "page_kind", "col", "measure", "ordinal", "key", "status", "origin", "num", "bp", "day", "word", "folded")
     rows = rows.where("num is not null or bp is not null or day is not null or word is not null")
     last = rows.groupBy(*PAGE, "page_kind", "col", "measure").agg(F.max_by(F.struct("key", "status", "origin", "num", "bp", "day", "word", "folded"), "ordinal").alias("v"))
     code = F.when(F.col("v.word") == "true", "yes").otherwise(category(F.col("measure"), F.col("v.word"), F.col("v.folded")))
@@ -148,16 +152,17 @@ def series_values(fields: DataFrame) -> DataFrame:
 def series_facts(fields: DataFrame) -> DataFrame:
     """record_id, page_idx, page_kind, name, key, day, num, word: what an antenatal or delivery page says once."""
     rows = usable(fields).withColumn("page_kind", page_kind(F.col("page_type")))
-    ante = rows.where((F.col("page_kind") == "antenatal") & ~F.col("label").contains("|")).withColumn("__row", fold(F.col("label"))).withColumn("name", _first(F.col("__row"), FACTS)).where("name is not null").drop("__row")
+    ante = rows.where((F.col("page_kind") == "antenatal") & ~F.col("label").contains("|"))
+    ante = once(once(ante, __row=fold(F.col("label"))), name=_first(F.col("__row"), FACTS)).where("name is not null").drop("__row")
     name = F.lit(None).cast("string")
     for key, fact in DELIVERY_FACTS.items():
         name = F.when(F.col("key") == key, fact).otherwise(name)
     born = rows.where("page_kind = 'delivery'").withColumn("name", name).where("name is not null")
     n = F.col("__n")
-    typed = ante.unionByName(born).withColumn("__n", plain_number(F.col("value"))).select(
-        *PAGE, "page_kind", "name", "ordinal", "key", F.when(F.col("name").isin("lmp", "edd", "termDate", "date"), iso_date(F.col("value"))).alias("day"),
-        F.when(F.col("name") == "birthWeight", F.when(n < 10, F.rint(n * 1000)).otherwise(F.rint(n))).when(F.col("name").isin("height", "headCirc", "gaWeeks"), n).alias("num"),
-        F.when(F.col("name") == "sex", F.col("value")).alias("word"))
+    grams = F.when(n < 10, F.rint(n * 1000)).otherwise(F.rint(n))
+    typed = once(
+        once(ante.unionByName(born), __n=plain_number(F.col("value"))), day=F.when(F.col("name").isin("lmp", "edd", "termDate", "date"), iso_date(F.col("value"))),
+        num=F.when(F.col("name") == "birthWeight", grams).when(F.col("name").isin("height", "headCirc", "gaWeeks"), n), word=F.when(F.col("name") == "sex", F.col("value")))
     last = typed.where("day is not null or num is not null or word is not null").groupBy(*PAGE, "page_kind", "name").agg(F.max_by(F.struct("key", "day", "num", "word"), "ordinal").alias("v"))
     ticked = rows.where((F.col("page_kind") == "delivery") & (F.col("value") == "true"))
     boxes = ticked.groupBy(*PAGE, "page_kind").agg(
@@ -182,10 +187,11 @@ def visits(values: DataFrame) -> DataFrame:
 def merged_visits(rows: DataFrame) -> DataFrame:
     """One row for each visit of a patient seen on several photos: same date, else same column, else its own page; the newest counts, pending records after linked ones.
 
-    rows: patient_id, record_id, page_idx, col, date, is_pending, created_at, ...
+    rows: patient_id, page_kind, record_id, page_idx, col, date, is_pending, created_at, ...
+    Kinds of page are apart; of two columns of one page with one date the later counts.
     """
     same = F.coalesce(F.col("date"), F.when(F.col("col") > 0, F.concat(F.lit("col"), F.col("col"))), F.concat_ws(".", "record_id", "page_idx"))
-    w = Window.partitionBy("patient_id", "same_key").orderBy(F.desc("is_pending"), F.desc("created_at"), F.desc("page_idx"))
+    w = Window.partitionBy("patient_id", "page_kind", "same_key").orderBy(F.desc("is_pending"), F.desc("created_at"), F.desc("page_idx"), F.desc("col"))
     return rows.withColumn("same_key", same).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 

@@ -1 +1,3 @@
 
+
+from . import catalog, register  # noqa: F401  (register adds its queries to the catalog)

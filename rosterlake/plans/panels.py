@@ -6,14 +6,11 @@ panel is a histogram or dense counts over them, with small cells masked.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import aggregate as ag
 
-TIDY = ["panel", "metric", "bin", "from_value", "to_value", "n", "total"]
 TESTS = ("hiv", "syphilis", "hbs", "hcv")
 PLACES = ("maternite", "clinique_privee", "maison_accouchement", "domicile", "autre")
 
@@ -30,22 +27,22 @@ def cohort(rows: DataFrame) -> DataFrame:
         num("gestational age at birth (weeks)").alias("gaAtBirth"), test("hiv test result").alias("hiv"), test("syphilis test result").alias("syphilis"), F.lit(None).cast("string").alias("hbs"), test("hepatitis c test result").alias("hcv"))
 
 
-def _tidy(df: DataFrame, panel: str, metric: str, bin_name: Column) -> DataFrame:
-    cols = df.columns
-    value = lambda c: F.col(c).cast("double") if c in cols else F.lit(None).cast("double")
-    total = F.col("total").cast("bigint") if "total" in cols else F.lit(None).cast("bigint")
-    return df.select(F.lit(panel).alias("panel"), F.lit(metric).alias("metric"), bin_name.cast("string").alias("bin"), value("from_value").alias("from_value"), value("to_value").alias("to_value"), F.col("n").cast("bigint").alias("n"), total.alias("total"))
-
-
 def build(women: DataFrame, k: int = ag.K) -> DataFrame:
-    """All panels; no rows at all for fewer than k women. women is read once for each panel: keep it where making it is dear."""
-    enough = women.agg(F.count("*").alias("c")).where(F.col("c") >= k)
-    out = []
-    nonzero = lambda c: F.nullif(F.col(c), F.lit(0.0))
+    """All panels; no rows at all for fewer than k women.
+
+    One scan and one shuffle: every woman gives a cell to each metric, the
+    counts of the cells (as many as the panels have bins) become one map, and
+    the rows of all panels are looked up in it.
+    """
+    nonzero = lambda c: F.nullif(F.col(c).cast("double"), F.lit(0.0))
+    cells: dict[str, Column] = {"women": F.lit("all")}
+    shown: list[tuple] = []  # panel, metric, bin, from_value, to_value, what its total counts, what must occur
     for metric, panel in (("systolic", "bp"), ("diastolic", "bp"), ("temperature", "temperature"), ("hemoglobin", "hemoglobin"), ("birthWeight", "delivery"), ("gaAtBirth", "delivery")):
-        rows = women.withColumn(metric, nonzero(metric))
-        shown = ag.histogram(rows, metric, *ag.BINS[metric], k=k)
-        out.append(_tidy(shown if panel == "delivery" else shown.where("total > 0"), panel, metric, F.col("bin")))
+        lo, hi, step = ag.BINS[metric]
+        n = len(ag.edges(lo, hi, step))
+        cells[metric] = F.when(nonzero(metric).isNotNull(), ag.bin_index(nonzero(metric), lo, hi, step).cast("string"))
+        at = lambda b: float(lo + b * step)  # noqa: B023, E731
+        shown += [(panel, metric, str(b), at(b) if b >= 0 else None, float(lo) if b < 0 else at(b) + step if b < n else None, metric, None if panel == "delivery" else metric) for b in range(-1, n + 1)]
     counts = {
         "firstVisit": ("anc", ag.band(F.col("firstGa"), ag.TRIMESTERS, ("t1", "t2", "t3")), ("t1", "t2", "t3")),
         "visitCounts": ("anc", F.when(F.col("n_visits") > 0, F.least("n_visits", F.lit(9)).cast("string")), tuple("123456789")),
@@ -53,15 +50,27 @@ def build(women: DataFrame, k: int = ag.K) -> DataFrame:
         "place": ("delivery", F.col("place"), PLACES),
         "preterm": ("delivery", F.when(nonzero("gaAtBirth") < ag.PRETERM_WEEKS, "preterm").when(nonzero("gaAtBirth").isNotNull(), "term"), ("preterm", "term")),
     }
-    for metric, (panel, value, domain) in counts.items():
-        out.append(_tidy(ag.dense_counts(women.withColumn("v", value), "v", domain, k=k), panel, metric, F.col("v")))
     for t in TESTS:  # a test that no woman has is left out
-        v = F.coalesce(F.col(t), F.when(F.col("antenatal"), "notRecorded").otherwise("noPage"))
-        some = women.agg(F.max(F.col(t).isNotNull()).alias("some")).where("some")
-        shown = ag.dense_counts(women.withColumn("v", v), "v", ("pos", "neg", "notRecorded", "noPage"), k=k)
-        out.append(_tidy(shown.join(F.broadcast(some)), "tests", t, F.col("v")))  # one row or none
+        counts[t] = ("tests", F.coalesce(F.col(t), F.when(F.col("antenatal"), "notRecorded").otherwise("noPage")), ("pos", "neg", "notRecorded", "noPage"))
+        cells[f"some {t}"] = F.when(F.col(t).isNotNull(), "all")
+    for metric, (panel, value, domain) in counts.items():
+        cells[metric] = F.when(value.isin(*domain), value)
+        shown += [(panel, metric, b, None, None, None, f"some {metric}" if panel == "tests" else None) for b in domain]
     births = F.col("mode").isNotNull() | nonzero("birthWeight").isNotNull()
     known = {"bp": nonzero("systolic").isNotNull(), "hemoglobin": nonzero("hemoglobin").isNotNull(), "hiv": F.col("hiv").isin("pos", "neg"), "syphilis": F.col("syphilis").isin("pos", "neg"), "birthWeight": births & nonzero("birthWeight").isNotNull()}
-    filled = ag.completeness(women, known, k=k).where("total > 0").withColumnRenamed("recorded", "n")
-    out.append(_tidy(filled, "completeness", "recorded", F.col("measure")))
-    return reduce(DataFrame.unionByName, out).join(F.broadcast(enough)).drop("c")  # one row or none
+    for measure, there in known.items():
+        cells[f"recorded {measure}"] = F.when(there, measure)
+        shown.append(("completeness", "recorded", measure, None, None, "women", None))
+    one = [F.struct(F.lit(m).alias("m"), v.alias("b")) for m, v in cells.items()]
+    each = women.select(F.explode(F.array(*one)).alias("c")).select("c.*").where("b is not null").groupBy("m", "b").agg(F.count("*").alias("c"))
+    totals = each.groupBy("m").agg(F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("bins"), F.sum("c").alias("total"))
+    held = totals.agg(F.map_from_entries(F.collect_list(F.struct("m", F.struct("bins", "total")))).alias("held"))
+    null = lambda x, kind: F.lit(x).cast(kind)
+    spec = F.array(*[
+        F.struct(F.lit(p).alias("panel"), F.lit(m).alias("metric"), F.lit(b).alias("bin"), null(f, "double").alias("from_value"), null(t, "double").alias("to_value"), null(total, "string").alias("of"), null(must, "string").alias("must"),
+                 F.lit(f"recorded {b}" if p == "completeness" else m).alias("at")) for p, m, b, f, t, total, must in shown])
+    rows = held.select("held", F.explode(spec).alias("s")).select("held", "s.*")
+    total = lambda m: F.try_element_at("held", m)["total"]
+    rows = rows.where((F.coalesce(total(F.lit("women")), F.lit(0)) >= k) & (F.col("must").isNull() | (total(F.col("must")) > 0)))
+    n = F.coalesce(F.try_element_at(F.try_element_at("held", F.col("at"))["bins"], F.col("bin")), F.lit(0)).cast("bigint")
+    return rows.select("panel", "metric", "bin", "from_value", "to_value", ag.mask(n, k).alias("n"), F.when(F.col("of").isNotNull(), total(F.col("of"))).alias("total"))
