@@ -115,3 +115,20 @@ def combine_readings(ocr: Column, second: Column, confidence: Column, same: Colu
         .when(text_kind & (plain(ocr) == plain(second)), made(second, "KNOWN", F.greatest(F.least(confidence, F.lit(0.9)), F.lit(threshold))))
         .otherwise(made(F.when(format_ok | ~had, second).otherwise(ocr), "NEEDS_REVIEW", F.when(had, 0.5).otherwise(0.6)))
     )
+
+
+def split_mixed(text: Column, share: Column) -> Column:
+    """struct<label, value> of a line that holds print and handwriting, null where it can't be cut.
+
+    share: the printed part of the line's width. The cut is behind the first
+    colon, else there in proportion, or behind the nearest space within three
+    characters of it.
+    """
+    n, colon = F.length(text), F.regexp_instr(text, F.lit("[:;]"))
+    at = F.rint(share * n).cast("int")
+    spaces = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i + 1, F.lit(1)) == " ")
+    near = F.array_min(F.transform(spaces, lambda i: F.struct(F.abs(i - at).alias("d"), i.alias("i"))))
+    cut = F.when(colon > 0, colon).when(near["d"] <= 3, near["i"] + 1).otherwise(at)
+    label, value = F.trim(F.substring(text, F.lit(1), cut)), F.trim(F.substring(text, cut + 1, n))
+    fits = (n >= 4) & share.between(0.2, 0.85) & (F.length(label) >= 2) & (F.length(value) >= F.when(colon > 0, 1).otherwise(2))
+    return F.when(fits, F.struct(label.alias("label"), value.alias("value")))

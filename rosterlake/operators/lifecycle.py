@@ -109,3 +109,71 @@ def next_action(state: Column, online: Column) -> Column:
         F.when(state.isin("CAPTURED", "PENDING_AI", "SAVED"), F.when(online, "NONE").otherwise("WAIT_NETWORK")).when(state.isin("NEEDS_REVIEW", "MANUAL_REVIEW_REQUIRED"), "REVIEW")
         .when(state.isin("VALIDATED", "SUSPECTED_DUPLICATE"), "LINK").when(state.isin("PROCESSING_FAILED", "SYNC_FAILED"), "RETRY").otherwise("NONE")
     )
+
+
+def next_page_index(pages: DataFrame) -> DataFrame:
+    """record_id, next_idx: the index a new page gets; 0 for a record without pages (a row with a null page_idx)."""
+    return pages.groupBy("record_id").agg((F.coalesce(F.max("page_idx"), F.lit(-1)) + 1).alias("next_idx"))
+
+
+def dropped_pages(pages: DataFrame, commands: DataFrame) -> DataFrame:
+    """record_id, page_idx, at, verdict of each command to drop a page: dropped, or no_page, page_read, only_page.
+
+    pages: record_id, page_idx, is_read; commands: record_id, page_idx, at.
+    Read pages stay and so does a record's last page. Commands count in the
+    order of at, then page_idx; a second one for a page finds none.
+    """
+    of_page = Window.partitionBy("record_id", "page_idx").orderBy("at")
+    sizes = pages.groupBy("record_id").agg(F.count("*").alias("n_pages"))
+    rows = commands.withColumn("again", F.row_number().over(of_page)).join(pages, ["record_id", "page_idx"], "left").join(sizes, "record_id", "left")
+    first = F.when(F.col("is_read").isNull(), "no_page").when(F.col("is_read"), "page_read").when((F.col("again") > 1) & (F.col("n_pages") > 1), "no_page")
+    rows = rows.withColumn("verdict", first)
+    so_far = F.count_if(F.col("verdict").isNull()).over(Window.partitionBy("record_id").orderBy("at", "page_idx").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("place", so_far)
+    return rows.select("record_id", "page_idx", "at", F.coalesce("verdict", F.when(F.col("place") < F.col("n_pages"), "dropped").otherwise("only_page")).alias("verdict"))
+
+
+def drop_events(drops: DataFrame, states: DataFrame) -> DataFrame:
+    """record_id, state, at, note: an event with the record's present state for each page that was dropped. states: record_id, state."""
+    done = drops.where("verdict = 'dropped'").join(states, "record_id")
+    return done.select("record_id", "state", "at", F.concat(F.lit("DROP page "), F.col("page_idx")).alias("note"))
+
+
+def suggested_codes(fields: DataFrame, most: int = 20) -> DataFrame:
+    """record_id, code: the first legible value of a record label, by page and place, that is a code once cleaned."""
+    from ..functions.text import is_record_label
+
+    code = F.upper(F.regexp_replace("value", r"[^A-Za-z0-9\-/]", ""))
+    rows = fields.where((F.coalesce("status", F.lit("")) != "ILLEGIBLE") & is_record_label(F.col("label"))).select("record_id", "page_idx", "ordinal", code.alias("code"))
+    return rows.where(F.length("code").between(1, most)).groupBy("record_id").agg(F.min_by("code", F.struct("page_idx", "ordinal")).alias("code"))
+
+
+def added_fields(requests: DataFrame, fields: DataFrame) -> DataFrame:
+    """record_id, page_idx, at, label, refused, key, kind, value, status: fields that a person adds by label and text.
+
+    requests: record_id, page_idx, at, label, text; fields: record_id, page_idx,
+    key. refused: too_short or personal; such rows have no key. A key that is
+    taken gets underscores, requests of one page in the order of at.
+    """
+    from ..functions.text import infer_kind, is_personal, slug, special_word
+    from ..functions.values import parse
+    from .series import once
+
+    label, text = F.substring(F.trim(F.regexp_replace("label", r"\s+", " ")), 1, 80), F.substring(F.trim(F.coalesce("text", F.lit(""))), 1, 120)
+    rows = requests.select("record_id", "page_idx", "at", label.alias("label"), text.alias("text"))
+    rows = rows.withColumn("personal", is_personal(F.col("label"), F.col("text")))
+    rows = rows.withColumn("refused", F.when(F.length("label") < 2, "too_short").when(F.col("personal"), "personal"))
+    rows = rows.withColumn("base", F.when(F.col("refused").isNull(), F.coalesce(F.nullif(slug(F.col("label")), F.lit("")), F.lit("champ"))))
+    taken = fields.select("record_id", "page_idx", F.regexp_replace("key", "_+$", "").alias("base"), (F.length("key") - F.length(F.regexp_replace("key", "_+$", ""))).alias("n"))
+    taken = taken.groupBy("record_id", "page_idx", "base").agg(F.collect_set("n").alias("taken"))
+    nth = F.row_number().over(Window.partitionBy("record_id", "page_idx", "base").orderBy("at", "label"))
+    rows = rows.withColumn("nth", nth).join(taken, ["record_id", "page_idx", "base"], "left")
+    used = F.coalesce("taken", F.array().cast("array<int>"))
+    free = F.get(F.array_except(F.sequence(F.lit(0), F.size(used) + F.col("nth")), used), F.col("nth") - 1)
+    kind = infer_kind(F.col("label"))
+    rows = once(rows, key=F.concat("base", F.repeat(F.lit("_"), free)), kind=F.when(F.col("base").isNotNull(), kind))
+    empty, unknown = F.col("text").isin("", "-"), special_word(F.col("text")) == "unknown"
+    status = F.when(empty, "NOT_PROVIDED").when(F.coalesce(unknown, F.lit(False)), "UNKNOWN").otherwise("KNOWN")
+    rows = once(rows, status=F.when(F.col("base").isNotNull(), status))
+    value = F.when(F.col("status") == "KNOWN", F.coalesce(parse(F.col("kind"), F.col("text"), F.lit(""))["value"], F.col("text")))
+    return rows.select("record_id", "page_idx", "at", "label", "refused", "key", "kind", value.alias("value"), "status")

@@ -1,3 +1,3 @@
 
 
-from . import catalog, register  # noqa: F401  (register adds its queries to the catalog)
+from . import catalog, pages, register  # noqa: F401  (the latter add their queries to the catalog)
