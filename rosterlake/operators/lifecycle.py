@@ -22,6 +22,8 @@ TRANSITIONS = {
     "SYNC_FAILED": ["SYNCED", "SAVED"],
     "SYNCED": [],
 }
+# States that wait for the network.
+WAITING = ["CAPTURED", "PENDING_AI", "SAVED", "SYNC_FAILED"]
 
 
 def may_follow(before: Column, after: Column, transitions: Mapping[str, Sequence[str]] = TRANSITIONS) -> Column:
@@ -177,3 +179,22 @@ def added_fields(requests: DataFrame, fields: DataFrame) -> DataFrame:
     rows = once(rows, status=F.when(F.col("base").isNotNull(), status))
     value = F.when(F.col("status") == "KNOWN", F.coalesce(parse(F.col("kind"), F.col("text"), F.lit(""))["value"], F.col("text")))
     return rows.select("record_id", "page_idx", "at", "label", "refused", "key", "kind", value.alias("value"), "status")
+
+
+def copied_identifiers(codes: DataFrame, ids: DataFrame) -> DataFrame:
+    """page_id, code: codes that repeat an identifier of their page, misread perhaps, or look like an identity number where the page has one.
+
+    codes: page_id, code; ids: page_id, value. A code is compared with the
+    identifiers of its own page only.
+    """
+    from ..functions.text import ID_PREFIX, ID_SHAPE, same_identifier
+
+    number = lambda c: F.col(c).rlike(ID_PREFIX) | F.upper(F.col(c)).rlike(ID_SHAPE)
+    pairs = codes.where("code <> ''").join(ids.select("page_id", "value"), "page_id")
+    hit = (number("code") & number("value")) | same_identifier(F.col("code"), F.col("value"))
+    return pairs.where(hit).select("page_id", "code").distinct()
+
+
+def waiting_for_network(records: DataFrame) -> DataFrame:
+    """n_waiting: records whose next step needs the network, failed uploads included. records: state."""
+    return records.agg(F.count_if(F.col("state").isin(WAITING)).alias("n_waiting"))

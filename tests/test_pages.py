@@ -52,3 +52,15 @@ def test_merged_visits_ties_and_kinds(spark):
     df = spark.createDataFrame(rows, "patient_id string, page_kind string, record_id string, page_idx int, col int, date string, is_pending boolean, created_at int")
     got = {(r["page_kind"], r["record_id"], r["col"]) for r in series.merged_visits(df).collect()}
     assert got == {("antenatal", "r1", 3), ("postpartum_mother", "r1", 0), ("antenatal", "r2", 5)}
+
+
+def test_copied_identifiers(spark):
+    codes = spark.createDataFrame([("p", "A64l85"), ("p", "778"), ("p", ""), ("p", None), ("q", "BK123456"), ("r", "BK123456"), ("s", "A64185")], "page_id string, code string")
+    ids = spark.createDataFrame([("p", "A64185"), ("p", "A64185"), ("q", "CIN: ZT98765"), ("r", "0612345678"), ("p", None)], "page_id string, value string")
+    assert {tuple(r) for r in lifecycle.copied_identifiers(codes, ids).collect()} == {("p", "A64l85"), ("q", "BK123456")}
+
+
+def test_waiting(spark):
+    states = spark.createDataFrame([("CAPTURED",), ("SAVED",), ("SYNCED",), ("NEEDS_REVIEW",), ("SYNC_FAILED",), (None,)], "state string")
+    assert lifecycle.waiting_for_network(states).first()["n_waiting"] == 3
+    assert lifecycle.waiting_for_network(states.limit(0)).first()["n_waiting"] == 0
