@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,26 +97,19 @@ def overlap_argmax(items: DataFrame, forms: DataFrame, item: str, form: str, tok
 
 
 def greedy_match(refs: DataFrame, preds: DataFrame, page: str, least: float = 0.5, penalty: float = 0.1) -> DataFrame:
-    """page, ref_id, pred_id, score: one-to-one by token overlap within a page, best score first, ties by place.
+    """page, ref_id, pred_id, score: one-to-one by token overlap within a page, best score first, then lower pred_order, then lower ref_order.
 
     refs: page, ref_id, ref_order, tokens; preds: page, pred_id, pred_order,
-    tokens (arrays without repeats). Pairs come from a join on shared tokens;
-    only a page's pairs meet in one task.
+    tokens (arrays without repeats, no null ids). Pairs come from a join on
+    shared tokens; a page's pairs, at most its refs times its preds, meet in
+    one row, so a page must be small in itself (a form), however many there are.
     """
     r = refs.select(page, "ref_id", "ref_order", F.col("tokens").alias("rt"))
     p = preds.select(page, "pred_id", "pred_order", F.col("tokens").alias("pt"))
     pairs = r.withColumn("t", F.explode("rt")).join(p.withColumn("t", F.explode("pt")), [page, "t"]).groupBy(page, "ref_id", "ref_order", "pred_id", "pred_order").agg(
         F.count("*").alias("common"), F.first(F.size("rt")).alias("nr"), F.first(F.size("pt")).alias("np"))
     scored = pairs.where(F.col("common") / F.col("nr") >= least).withColumn("score", F.col("common") / F.col("nr") - F.lit(penalty) * (F.col("np") - F.col("common")) / F.col("np"))
-    schema = f"{page} {dict(scored.dtypes)[page]}, ref_id {dict(scored.dtypes)['ref_id']}, pred_id {dict(scored.dtypes)['pred_id']}, score double"
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken_r, taken_p, rows = set(), set(), []
-        for x in pdf.sort_values(["score", "pred_order", "ref_order"], ascending=[False, True, True]).itertuples():
-            if x.ref_id not in taken_r and x.pred_id not in taken_p:
-                taken_r.add(x.ref_id)
-                taken_p.add(x.pred_id)
-                rows.append(x.Index)
-        return pdf.loc[rows, [page, "ref_id", "pred_id", "score"]]
-
-    return scored.groupBy(page).applyInPandas(assign, schema)
+    best_first = scored.groupBy(page).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pred_order", "ref_order", "ref_id", "pred_id"))).alias("l"))
+    free = lambda kept, x: ~F.exists(kept, lambda k: (k["ref_id"] == x["ref_id"]) | (k["pred_id"] == x["pred_id"]))
+    kept = F.aggregate("l", F.filter("l", lambda x: F.lit(False)), lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    return best_first.select(page, F.explode(kept).alias("m")).select(page, "m.ref_id", "m.pred_id", (-F.col("m.s")).alias("score"))

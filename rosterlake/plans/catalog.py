@@ -5,7 +5,7 @@ The operators know nothing of these tables: every query hands them column names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import display as dp
@@ -332,13 +332,35 @@ def semi_known_words(spark, sf_dir):
     return words("documents").join(words("benchmark"), "w", "left_semi")
 
 
-@query()
+_ORDER_PARTS = """
+o AS (SELECT l_orderkey, l_partkey, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+l AS (SELECT l_orderkey, l_partkey, q, p_name, p_type FROM o JOIN part ON p_partkey = l_partkey)"""
+
+
+def _order_parts(spark, sf_dir):
+    """The parts of each order, once each: an order is a small page, and there are as many as the data has."""
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
+    return lines.join(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type"), "l_partkey")
+
+
+@query(f"""
+WITH RECURSIVE {_ORDER_PARTS},
+t AS (SELECT l_orderkey, l_partkey, q, [x FOR x IN list_distinct(string_split(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g'), ' ')) IF x <> ''] AS w FROM l),
+c AS (SELECT r.l_orderkey, r.l_partkey AS ref_id, p.l_partkey AS pred_id, CAST(len(list_intersect(r.w, p.w)) AS DOUBLE) AS c, CAST(len(r.w) AS DOUBLE) AS nr, CAST(len(p.w) AS DOUBLE) AS np FROM t r JOIN t p ON p.l_orderkey = r.l_orderkey AND r.q <= 25 AND p.q > 25),
+s AS (SELECT l_orderkey, ref_id, pred_id, c / nr - CAST(0.1 AS DOUBLE) * (np - c) / np AS score FROM c WHERE c > 0 AND c / nr >= 0.5),
+n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, pred_id, ref_id) AS n FROM s),
+g AS (
+  SELECT l_orderkey, n, ref_id, pred_id, score, [ref_id] AS rs, [pred_id] AS ps FROM n WHERE n = 1
+  UNION ALL
+  SELECT l_orderkey, n, ref_id, pred_id, score, list_append(rs, ref_id), list_append(ps, pred_id) FROM (
+    SELECT n.*, g.rs, g.ps, row_number() OVER (PARTITION BY n.l_orderkey ORDER BY n.n) AS k FROM n JOIN g ON g.l_orderkey = n.l_orderkey AND n.n > g.n WHERE NOT list_contains(g.rs, n.ref_id) AND NOT list_contains(g.ps, n.pred_id)) WHERE k = 1)
+SELECT l_orderkey, ref_id, pred_id, round(score, 6) AS score FROM g""")
 def greedy_match(spark, sf_dir):
-    """One-to-one matches of order lines to parts' names within a brand, by tokens."""
-    part = read(spark, sf_dir, "part")
-    refs = part.where("p_size <= 25").select("p_brand", F.col("p_partkey").alias("ref_id"), F.col("p_partkey").alias("ref_order"), tf.tokens(F.concat_ws(" ", "p_name", "p_type")).alias("tokens"))
-    preds = part.where("p_size > 25").select("p_brand", F.col("p_partkey").alias("pred_id"), F.col("p_partkey").alias("pred_order"), tf.tokens(F.concat_ws(" ", "p_name", "p_type")).alias("tokens"))
-    return jn.greedy_match(refs, preds, "p_brand")
+    """One-to-one matches within an order of its small lines with its large ones, by the words of their parts."""
+    lines = _order_parts(spark, sf_dir).withColumn("tokens", tf.tokens(F.concat_ws(" ", "p_name", "p_type")))
+    refs = lines.where("q <= 25").select("l_orderkey", F.col("l_partkey").alias("ref_id"), F.col("l_partkey").alias("ref_order"), "tokens")
+    preds = lines.where("q > 25").select("l_orderkey", F.col("l_partkey").alias("pred_id"), F.col("l_partkey").alias("pred_order"), "tokens")
+    return jn.greedy_match(refs, preds, "l_orderkey").withColumn("score", F.round("score", 6))
 
 
 # ---------------------------------------------------------------- scalar functions
@@ -438,10 +460,10 @@ def mask_tail_slug(spark, sf_dir):
 
 @query()
 def similarity_ratio(spark, sf_dir):
-    """Similarity of every pair of part names within a brand and type that start alike."""
-    p = read(spark, sf_dir, "part").select("p_brand", "p_type", "p_partkey", "p_name")
-    q = p.select("p_brand", "p_type", F.col("p_partkey").alias("other"), F.col("p_name").alias("other_name"))
-    return p.join(q, ["p_brand", "p_type"]).where("p_partkey < other and abs(length(p_name) - length(other_name)) <= 2").select("p_partkey", "other", F.round(tf.similarity("p_name", "other_name"), 6).alias("ratio"))
+    """Similarity of each part's name in an order with the name of the part before it there."""
+    before = Window.partitionBy("l_orderkey").orderBy("l_partkey")
+    rows = _order_parts(spark, sf_dir).select("l_orderkey", "l_partkey", F.lag("l_partkey").over(before).alias("other"), "p_name", F.lag("p_name").over(before).alias("other_name"))
+    return rows.where("other is not null").select("l_orderkey", "l_partkey", "other", F.round(tf.similarity("other_name", "p_name"), 6).alias("ratio"))
 
 
 # ---------------------------------------------------------------- shapes

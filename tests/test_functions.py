@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from rosterlake.functions import text as tf
@@ -69,3 +71,22 @@ def test_restore_letters(spark):
 def test_identifiers_and_keys(spark):
     rows = column(spark, [("CIN : A64185", "A64l85"), ("A64185", "Z99999")], "a string, b string", s=tf.same_identifier(F.col("a"), F.col("b")), k=tf.keyed_id("s")("a"), m=tf.mask_tail(F.col("b")))
     assert [r["s"] for r in rows] == [True, False] and len(rows[0]["k"]) == 10 and rows[0]["m"] == "***4l85"
+
+
+def longest_common(a, b):
+    """(length, place in a, place in b) of the longest common string, the first in a, then in b."""
+    return max(((n, -i, -j) for i in range(len(a)) for j in range(len(b)) for n in range(1, min(len(a) - i, len(b) - j) + 1) if a[i : i + n] == b[j : j + n]), default=(0, 0, 0))
+
+
+def in_common(a, b):
+    n, i, j = longest_common(a, b)
+    return n and n + in_common(a[:-i], b[:-j]) + in_common(a[-i + n :], b[-j + n :])
+
+
+def test_similarity_by_definition(spark):
+    r = random.Random(3)
+    made = lambda: "".join(r.choice("abc ") for _ in range(r.randint(0, 12)))
+    pairs = [(made(), made()) for _ in range(150)] + [("", ""), ("cold widget", "old gadget"), ("tide", "diet"), ("diet", "tide")]
+    got = spark.createDataFrame([*pairs, (None, "a"), ("a", None)], "a string, b string").select("a", "b", tf.similarity("a", "b").alias("x")).collect()
+    want = {(a, b): 2 * in_common(a, b) / (len(a) + len(b)) if a or b else 1.0 for a, b in pairs}
+    assert all((x["x"] is None) if x["a"] is None or x["b"] is None else abs(x["x"] - want[x["a"], x["b"]]) < 1e-9 for x in got)

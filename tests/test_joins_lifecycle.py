@@ -37,6 +37,31 @@ def test_greedy_match_is_one_to_one(spark):
     assert got == {("r1", "x", 1.0), ("r2", "y", 1.0), ("r3", "z", 0.95)}
 
 
+def test_greedy_match_against_a_plain_loop(spark):
+    """Many ties and several pages; every tie goes to the lower pred_order, then the lower ref_order."""
+    r = random.Random(7)
+    words = ["date", "lieu", "poids", "sexe", "mere"]
+    side = lambda name, n: [(page, f"{name}{k}", k, r.sample(words, r.randint(0, 3))) for page in range(12) for k in range(n)]
+    refs, preds = side("r", 9), side("p", 11)
+    want = set()
+    for page in range(12):
+        pairs = []
+        for _, ref, i, a in (x for x in refs if x[0] == page):
+            for _, pred, j, b in (x for x in preds if x[0] == page):
+                common = len({*a} & {*b})
+                if common and common / len(a) >= 0.5:
+                    pairs.append((-(common / len(a) - 0.1 * (len(b) - common) / len(b)), j, i, ref, pred))
+        used = set()
+        for score, _, _, ref, pred in sorted(pairs):
+            if not used & {ref, pred}:
+                used |= {ref, pred}
+                want.add((page, ref, pred, round(-score, 9)))
+    df = lambda rows, n: spark.createDataFrame(rows, f"page int, {n}_id string, {n}_order int, tokens array<string>")
+    got = [(*tuple(x)[:3], round(x["score"], 9)) for x in joins.greedy_match(df(refs, "ref"), df(preds, "pred"), "page").collect()]
+    assert len(got) == len(want) > 50 and {*got} == want
+    assert joins.greedy_match(df([], "ref"), df(preds, "pred"), "page").collect() == []
+
+
 def test_transitions(spark):
     log = [("a", s) for s in ("CAPTURED", "PENDING_AI", "AI_PROCESSED", "NEEDS_REVIEW", "SYNCED")] + [("b", "SYNCED"), ("b", "SAVED")]
     df = spark.createDataFrame([(r, i, s) for i, (r, s) in enumerate(log)], "r string, i long, s string")
