@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,3 +89,24 @@ def label_and_rest(text: Column) -> tuple[Column, Column]:
     """A line cut at its first colon; the rest is null without one."""
     rule = r"^([^:]{2,60}?)\s*:\s*(.*)$"
     return F.when(text.rlike(rule), F.regexp_extract(text, rule, 1)).otherwise(text), F.when(text.rlike(rule), F.nullif(F.regexp_extract(text, rule, 2), F.lit("")))
+
+
+# Messages of the reading steps in French, as patterns, and in English, in the order in which they are tried.
+MESSAGES_EN = [
+    (r"Lecture du texte \(PaddleOCR\)", "Reading the text (PaddleOCR)"),
+    (r"Tableaux, cases à cocher, étiquettes", "Tables, checkboxes, labels"),
+    (r"Vérification : est-ce bien une fiche de santé \?", "Checking: is this a health record?"),
+    (r"Relecture de (\d+) valeur\(s\) douteuse\(s\) ou non rattachée\(s\) par (.+)", "Second reading of $1 doubtful or unlinked value(s) by $2"),
+    (r"Presque aucun texte sur cette image : ce n'est pas une fiche à lire\.", "Almost no text on this image: it is not a record to read."),
+    (r"Cette image n'est pas une fiche ou un registre de santé\.", "This image is not a health record or registry."),
+    (r"Cette image ne ressemble pas à une fiche de santé \(aucun mot du domaine lu\)\.", "This image does not look like a health record (no health-related words read)."),
+    (r"serveur Ollama injoignable \(lancer `ollama serve`\)", "Ollama server unreachable (run `ollama serve`)"),
+    (r"modèle (\S+) absent \(lancer `ollama pull \S+`\)", "model $1 missing (run `ollama pull $1`)"),
+    (r"PaddleOCR a échoué : ", "PaddleOCR failed: "),
+    (r"Image illisible \(formats acceptés : PNG, JPG\)\.", "Unreadable image (accepted formats: PNG, JPG)."),
+]
+
+
+def translated(message: Column, rules: Sequence[tuple[str, str]] = MESSAGES_EN) -> Column:
+    """The message with each rule's matches replaced, in their order; texts without a rule stay as they are."""
+    return reduce(lambda m, r: F.regexp_replace(m, F.lit(r[0]), F.lit(r[1])), rules, message)

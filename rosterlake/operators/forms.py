@@ -109,3 +109,37 @@ def snapshot(patients: DataFrame, visits: DataFrame, records: DataFrame) -> Data
     by_visit = records.groupBy("visit_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "record_id", "state"))).alias("records"))
     rows = visits.join(by_visit, "visit_id", "left").groupBy("patient_id").agg(F.array_sort(F.collect_list(F.struct("date", "visit_id", "records"))).alias("visits"))
     return patients.join(rows, "patient_id", "left")
+
+
+# Sections whose entries are told in a patient's summary, and what is told of earlier deliveries and vaccines.
+NOTED_SECTIONS = ["Antécédents héréditaires et familiaux", "Antécédents de la femme", "Antécédents obstétricaux", "Complications"]
+DELIVERY_COLUMNS = ["date", "modalite", "poids", "complication"]
+VACCINES = ["rubeole", "hepatite_b"]
+HISTORY_PAGE = "identification_antecedents"
+
+
+def noted_facts(latest: DataFrame) -> DataFrame:
+    """The certain entries of the noted sections that say more than "nothing to report".
+
+    latest: a patient's newest fields: patient_id, page_type, key, section,
+    value, status. Null values and unknown sections are left out.
+    """
+    from ..functions.reading import noteworthy
+
+    return latest.where(F.col("section").isin(NOTED_SECTIONS) & (F.col("status") == "KNOWN") & noteworthy(F.col("value")))
+
+
+def previous_deliveries(latest: DataFrame, most: int = 5) -> DataFrame:
+    """patient_id, place and the columns of each earlier delivery of which something is written: at most ``most`` rows a patient, as the form has."""
+    part = lambda k: F.regexp_extract("key", rf"^acc(\d)_({'|'.join(DELIVERY_COLUMNS)})$", k)
+    rows = latest.where((F.col("page_type") == HISTORY_PAGE) & F.col("value").isNotNull()).select("patient_id", "value", part(1).try_cast("int").alias("place"), part(2).alias("c"))
+    return rows.where(F.col("place").between(1, most)).groupBy("patient_id", "place").agg(*[F.max(F.when(F.col("c") == c, F.col("value"))).alias(c) for c in DELIVERY_COLUMNS])
+
+
+def vaccinations(latest: DataFrame) -> DataFrame:
+    """patient_id, vaccine, ticked, date: seven rows for each patient with a history page, vat_1 to vat_5 without dates."""
+    names = [*(f"vat_{n}" for n in range(1, 6)), *VACCINES]
+    value = lambda key: F.max(F.when(F.col("key") == key, F.col("value")))
+    one = lambda v: F.struct(F.lit(v).alias("vaccine"), F.coalesce(value(v) == "true", F.lit(False)).alias("ticked"), (value(f"{v}_date") if v in VACCINES else F.lit(None).cast("string")).alias("date"))
+    rows = latest.where(F.col("page_type") == HISTORY_PAGE).groupBy("patient_id").agg(F.array(*map(one, names)).alias("v"))
+    return rows.select("patient_id", F.inline("v"))

@@ -132,3 +132,38 @@ def split_mixed(text: Column, share: Column) -> Column:
     label, value = F.trim(F.substring(text, F.lit(1), cut)), F.trim(F.substring(text, cut + 1, n))
     fits = (n >= 4) & share.between(0.2, 0.85) & (F.length(label) >= 2) & (F.length(value) >= F.when(colon > 0, 1).otherwise(2))
     return F.when(fits, F.struct(label.alias("label"), value.alias("value")))
+
+
+# The signs that stand for a box in read text.
+BOX_GLYPHS = "[□■☐☑☒✓✔✗✘▢◻]"
+
+
+def numbered_boxes(boxes: DataFrame, lines: DataFrame) -> DataFrame:
+    """page_id, box_id, label: boxes of a numbered row carry the numbers of their row from the left.
+
+    boxes: page_id, box_id, x, y, w, h, label, th. Boxes with one title and a
+    number, closer than 0.8 text heights from one to the next, are a row;
+    boxes without a label at its height belong to it, up to six box widths
+    beyond its ends, and to the nearest row only. The numbers are those read on
+    the row's lines if there are as many as boxes, else 1, 2, and so on. Other
+    boxes keep their labels. A page's rows never meet another page's.
+    """
+    height = F.col("y") + F.col("h") / 2
+    b = boxes.withColumn("cy", height).withColumn("title", F.regexp_extract("label", r"^(.*?)\s*(\d{1,2})$", 1)).withColumn("has", F.coalesce(F.col("label").rlike(r"^.*?\s*\d{1,2}$"), F.lit(False)))
+    w = Window.partitionBy("page_id", "title").orderBy("cy", "x", "box_id")
+    new = F.when(F.col("cy") - F.lag("cy").over(w) < 0.8 * F.col("th"), 0).otherwise(1)
+    named = b.where("has").withColumn("new", new).withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    row = ["page_id", "title", "g"]
+    rows = named.groupBy(*row).agg(F.min("x").alias("from_x"), F.max("x").alias("to_x"), F.min_by("cy", F.struct("x", "box_id")).alias("row_y"), F.min_by("w", F.struct("x", "box_id")).alias("box_w"), F.max("th").alias("row_th"))
+    bare = b.where("coalesce(label, '') = ''").select("page_id", "box_id", "x", "cy").join(rows, "page_id")
+    near = bare.withColumn("d", F.abs(F.col("cy") - F.col("row_y"))).where((F.col("d") < 0.8 * F.col("row_th")) & F.col("x").between(F.col("from_x") - 6 * F.col("box_w"), F.col("to_x") + 6 * F.col("box_w")))
+    taken = near.groupBy("page_id", "box_id").agg(F.min_by(F.struct("title", "g", "x"), F.struct("d", "title", "g")).alias("r")).select("page_id", "r.title", "r.g", "box_id", "r.x")
+    members = named.select(*row, "box_id", "x").union(taken)
+    text = lines.select("page_id", "i", "text", "x0", ((F.col("y0") + F.col("y1")) / 2).alias("at")).join(rows, "page_id").where(F.abs(F.col("at") - F.col("row_y")) < 0.8 * F.col("row_th"))
+    read = text.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("x0", "i", "text"))).alias("l")).select(
+        *row, F.regexp_extract_all(F.regexp_replace(F.array_join("l.text", " "), BOX_GLYPHS, " "), F.lit(r"\d{1,2}"), F.lit(0)).alias("digits"))
+    along = Window.partitionBy(*row)
+    placed = members.withColumn("k", F.row_number().over(along.orderBy("x", "box_id"))).withColumn("n", F.count("*").over(along)).join(read, row, "left")
+    number = F.when(F.size("digits") == F.col("n"), F.get("digits", F.col("k") - 1)).otherwise(F.col("k").cast("string"))
+    renamed = placed.select("page_id", "box_id", F.trim(F.concat_ws(" ", "title", number)).alias("renamed"))
+    return boxes.select("page_id", "box_id", "label").join(renamed, ["page_id", "box_id"], "left").select("page_id", "box_id", F.coalesce("renamed", "label").alias("label"))

@@ -198,3 +198,25 @@ def copied_identifiers(codes: DataFrame, ids: DataFrame) -> DataFrame:
 def waiting_for_network(records: DataFrame) -> DataFrame:
     """n_waiting: records whose next step needs the network, failed uploads included. records: state."""
     return records.agg(F.count_if(F.col("state").isin(WAITING)).alias("n_waiting"))
+
+
+def unread_pages(pages: DataFrame, done: DataFrame) -> DataFrame:
+    """Pages that were neither read nor refused so far: what a start after a stop still has to read. done: page_id."""
+    return pages.join(done.select("page_id").distinct(), "page_id", "left_anti")
+
+
+def moves_after_reading(records: DataFrame, pages: DataFrame) -> DataFrame:
+    """record_id, place, state, note: the events that the reading of a record's pages leads to.
+
+    records: record_id, state; pages: record_id, page_idx, is_read, error. Only
+    records in PENDING_AI move, and only once no page waits: to
+    PROCESSING_FAILED with the first page's error if none could be read, else
+    to AI_PROCESSED and NEEDS_REVIEW. Records without pages fail without a note.
+    """
+    read = F.coalesce("is_read", F.lit(False))
+    counts = pages.groupBy("record_id").agg(F.count_if(~read & F.col("error").isNull()).alias("waiting"), F.count_if(read).alias("read"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("page_idx"))).alias("error"))
+    ready = records.where("state = 'PENDING_AI'").select("record_id").join(counts, "record_id", "left").where("coalesce(waiting, 0) = 0")
+    event = lambda state, note: F.struct(F.lit(state).alias("state"), note.alias("note"))
+    none = F.lit(None).cast("string")
+    moves = F.when(F.col("read") > 0, F.array(event("AI_PROCESSED", none), event("NEEDS_REVIEW", none))).otherwise(F.array(event("PROCESSING_FAILED", F.col("error").cast("string"))))
+    return ready.select("record_id", F.posexplode(moves).alias("place", "m")).select("record_id", "place", "m.state", "m.note")

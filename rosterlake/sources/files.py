@@ -92,3 +92,20 @@ def latest(changes: DataFrame, key: str, order: list[str], deleted: str | None =
     cols = [c for c in changes.columns if c != key]
     last = changes.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("r")).select(key, "r.*")
     return last if deleted is None else last.where(~F.coalesce(F.col(deleted), F.lit(False)))
+
+
+# Columns of the index of photos and of an empty annotation table.
+INDEX_COLUMNS = ["path", "sha256", "page_number", "patient", "position", "page_type", "split", "duplicate_of"]
+TEMPLATE_COLUMNS = ["field_id", "groupe", "libelle", "type", "value", "status"]
+
+
+def write_index(photos: DataFrame, path: str) -> None:
+    """The index of photos as CSV, by split, page number (none counts as 0) and path: the part files follow one another."""
+    order = ["split", F.coalesce(F.col("page_number").cast("int"), F.lit(0)), "path"]
+    photos.select(*INDEX_COLUMNS).orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_templates(fields: DataFrame, path: str) -> None:
+    """An empty annotation table for each page type, as CSV in a folder of its own. fields: page_type, ordinal, field_id, groupe, libelle, type."""
+    rows = fields.withColumns({"value": F.lit(""), "status": F.lit("")}).repartition("page_type").sortWithinPartitions("page_type", "ordinal")
+    rows.select("page_type", *TEMPLATE_COLUMNS).write.mode("overwrite").partitionBy("page_type").option("header", True).option("emptyValue", "").csv(path)

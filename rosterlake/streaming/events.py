@@ -5,14 +5,14 @@ The same functions take static and streaming frames where Spark allows it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.lifecycle import TRANSITIONS
+from ..operators.lifecycle import TRANSITIONS, unread_pages
 
 
 def deduplicated(messages: DataFrame, key: str = "message_uuid", at: str = "ts", ttl: str = "1 hour") -> DataFrame:
@@ -62,3 +62,21 @@ def validated(events: DataFrame, transitions: Mapping[str, Sequence[str]] = TRAN
     """
     schema = "record_id string, event_id long, from_state string, to_state string, legal boolean"
     return events.groupBy("record_id").transformWithStateInPandas(statefulProcessor=Lifecycle(transitions), outputStructType=schema, outputMode="Append", timeMode="None")
+
+
+def read_as_they_come(pages: DataFrame, read: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
+    """Starts a query that reads the pages of a stream, each once, and keeps the readings as Parquet in folders of batches.
+
+    read: pages to readings, which carry page_id. After a stop the stream goes
+    on where it was; a batch that runs again replaces its own folder, so no
+    reading is kept twice, and pages read in earlier batches aren't read again.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = batch.dropDuplicates(["page_id"])
+        if number > 0:  # the first batch always leaves its folder
+            new = unread_pages(new, spark.read.parquet(path).where(F.col("batch") < number))
+        read(new).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
+from rosterlake.functions import display
 from rosterlake.functions import values as vf
-from rosterlake.operators import layout, lifecycle, series
+from rosterlake.operators import forms, layout, lifecycle, series
 
 
 def test_pressures_need_two_digits(spark):
@@ -64,3 +65,44 @@ def test_waiting(spark):
     states = spark.createDataFrame([("CAPTURED",), ("SAVED",), ("SYNCED",), ("NEEDS_REVIEW",), ("SYNC_FAILED",), (None,)], "state string")
     assert lifecycle.waiting_for_network(states).first()["n_waiting"] == 3
     assert lifecycle.waiting_for_network(states.limit(0)).first()["n_waiting"] == 0
+
+
+def test_summary_of_a_patient(spark):
+    page = "identification_antecedents"
+    rows = [
+        ("p", page, "acc1_date", "x", "2019-03-01", "KNOWN"), ("p", page, "acc1_poids", "x", "3100", "KNOWN"), ("p", page, "acc3_modalite", "x", None, "NOT_PROVIDED"), ("p", page, "acc5_complication", "x", "HPP", "KNOWN"),
+        ("p", page, "acc7_date", "x", "2019-03-01", "KNOWN"), ("p", page, "vat_2", "x", "true", "KNOWN"), ("p", page, "rubeole", "x", "true", "KNOWN"), ("p", page, "rubeole_date", "x", "2020-01-01", "KNOWN"),
+        ("p", "grossesse", "a", "Complications", "HTA", "KNOWN"), ("p", "grossesse", "b", "Complications", "RAS", "KNOWN"), ("p", "grossesse", "c", "Complications", "HTA", "NEEDS_REVIEW"), ("p", "grossesse", "d", None, "HTA", "KNOWN"),
+        ("q", "grossesse", "acc1_date", "Complications", None, None),
+    ]
+    latest = spark.createDataFrame(rows, "patient_id string, page_type string, key string, section string, value string, status string")
+    assert [r["key"] for r in forms.noted_facts(latest).collect()] == ["a"]
+    assert {tuple(r) for r in forms.previous_deliveries(latest).collect()} == {("p", 1, "2019-03-01", None, "3100", None), ("p", 5, None, None, None, "HPP")}
+    got = {r["vaccine"]: (r["ticked"], r["date"]) for r in forms.vaccinations(latest).collect()}
+    assert len(got) == 7 and {k for k, v in got.items() if v[0]} == {"vat_2", "rubeole"} and got["rubeole"][1] == "2020-01-01"
+    assert forms.vaccinations(latest.limit(0)).collect() == []
+
+
+def test_numbered_boxes(spark):
+    """One row whose numbers are read, one where they aren't, a box far off and one with a plain label."""
+    boxes = [
+        ("p", "a", 10, 100, "VAT 1"), ("p", "b", 40, 101, ""), ("p", "c", 70, 100, "VAT 3"), ("p", "far", 900, 100, ""), ("p", "word", 100, 100, "oui"),
+        ("p", "d", 10, 300, "Dose 4"), ("p", "e", 40, 300, "Dose 4"), ("p", "f", 10, 500, "VAT 9"), ("q", "g", 40, 100, None),
+    ]
+    df = spark.createDataFrame([(p, i, x, y, 12, 12, label, 20.0) for p, i, x, y, label in boxes], "page_id string, box_id string, x int, y int, w int, h int, label string, th double")
+    lines = spark.createDataFrame([("p", 1, "□2 □4 6", 20, 96, 90, 116), ("p", 0, "VAT", 0, 96, 9, 116), ("p", 2, "Dose □4", 0, 296, 90, 316), ("q", 0, "1 2 3", 0, 96, 9, 116)], "page_id string, i int, text string, x0 int, y0 int, x1 int, y1 int")
+    got = {r["box_id"]: r["label"] for r in layout.numbered_boxes(df, lines).collect()}
+    assert got == {"a": "VAT 2", "b": "VAT 4", "c": "VAT 6", "far": "", "word": "oui", "d": "Dose 1", "e": "Dose 2", "f": "VAT 1", "g": None}
+
+
+def test_moves_after_reading(spark):
+    records = spark.createDataFrame([(r, "PENDING_AI") for r in "abcde"] + [("z", "NEEDS_REVIEW")], "record_id string, state string")
+    pages = [("a", 0, True, None), ("a", 1, False, "dark"), ("b", 0, True, None), ("b", 1, False, None), ("c", 0, False, None), ("d", 1, False, "late"), ("d", 0, False, "first"), ("z", 0, True, None)]
+    got = {tuple(r) for r in lifecycle.moves_after_reading(records, spark.createDataFrame(pages, "record_id string, page_idx int, is_read boolean, error string")).collect()}
+    assert got == {("a", 0, "AI_PROCESSED", None), ("a", 1, "NEEDS_REVIEW", None), ("d", 0, "PROCESSING_FAILED", "first"), ("e", 0, "PROCESSING_FAILED", None)}
+
+
+def test_translated(spark):
+    texts = ["Lecture du texte (PaddleOCR)", "Relecture de 3 valeur(s) douteuse(s) ou non rattachée(s) par m:4b", "modèle m:4b absent (lancer `ollama pull m:4b`)", "Autre chose", None]
+    got = [r["x"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(display.translated(F.col("t")).alias("x")).collect()]
+    assert got == ["Reading the text (PaddleOCR)", "Second reading of 3 doubtful or unlinked value(s) by m:4b", "model m:4b missing (run `ollama pull m:4b`)", "Autre chose", None]

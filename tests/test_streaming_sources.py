@@ -70,3 +70,24 @@ def test_sources(spark, tmp_path):
     assert back["v"] == "été"
     log = spark.createDataFrame([(1, 1, "a", False), (1, 2, "b", False), (2, 1, "c", False), (2, 3, "d", True)], "id int, at int, v string, gone boolean")
     assert {(r["id"], r["v"]) for r in files.latest(log, "id", ["at"], "gone").collect()} == {(1, "b")}
+
+
+def test_readings_survive_a_second_start(spark, tmp_path):
+    """A second start reads new pages only; a page that comes again isn't read again."""
+    schema, source, out = "page_id string, record_id string", f"{tmp_path}/in", f"{tmp_path}/out"
+    read = lambda pages: pages.withColumn("n_fields", F.length("page_id"))
+    for rows in ([("a", "r"), ("bb", "r"), ("a", "r")], [("bb", "r"), ("ccc", "s")], []):
+        if rows:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(source)
+        events.read_as_they_come(spark.readStream.schema(schema).json(source), read, out, f"{tmp_path}/state").awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(out).select("page_id", "n_fields", "batch").collect()) == [("a", 1, 0), ("bb", 2, 0), ("ccc", 3, 1)]
+
+
+def test_index_and_templates(spark, tmp_path):
+    photos = spark.createDataFrame([("z", "1", "9", "p", 0, "t", "train", None), ("b", "2", "10", "p", 0, "t", "train", None), ("c", "3", None, "p", 0, "t", "train", None), ("a", "4", "3", "p", 0, "t", "test", "z")], "path string, sha256 string, page_number string, patient string, position int, page_type string, split string, duplicate_of string")
+    files.write_index(photos, f"{tmp_path}/index")
+    lines = [x for f in sorted((tmp_path / "index").glob("part-*")) for x in f.read_text().splitlines() if not x.startswith("path,")]
+    assert [x.split(",")[0] for x in lines] == ["a", "c", "z", "b"]
+    files.write_templates(spark.createDataFrame([("acc", 1, "b", "g", "Poids", "weight"), ("acc", 0, "a", "g", "Date", "date"), ("id", 0, "c", "g", "Nom", "text")], "page_type string, ordinal int, field_id string, groupe string, libelle string, type string"), f"{tmp_path}/t")
+    found = [f.read_text().splitlines() for f in sorted((tmp_path / "t" / "page_type=acc").glob("part-*"))]
+    assert found == [["field_id,groupe,libelle,type,value,status", "a,g,Date,date,,", "b,g,Poids,weight,,"]]
