@@ -124,3 +124,51 @@ f AS (SELECT record_id, 0 AS page_idx, count(*) AS n FROM s GROUP BY 1) SELECT r
 def placed_values(spark, sf_dir):
     """How many values of a page found their visit."""
     return sr.series_values(register.fields(spark, sf_dir)).groupBy("record_id", "page_idx").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT l_orderkey AS patient_id, CAST(l_linenumber AS INT) AS place, max(strftime(l_shipdate, '%Y-%m-%d')) AS date, max(l_returnflag) AS modalite, max(CASE WHEN l_linestatus = 'F' THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) END) AS poids,
+ max(CASE WHEN l_returnflag = 'R' THEN l_returnflag END) AS complication FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1, 2""")
+def deliveries_listed(spark, sf_dir):
+    """Earlier deliveries as rows: a line of an order is one, the form has room for five."""
+    told = {
+        "date": F.date_format("l_shipdate", "yyyy-MM-dd"), "modalite": F.col("l_returnflag"), "poids": F.when(F.col("l_linestatus") == "F", F.col("l_quantity").cast("int").cast("string")),
+        "complication": F.when(F.col("l_returnflag") == "R", F.col("l_returnflag")),
+    }
+    cells = F.array(*[F.struct(F.concat(F.lit("acc"), "l_linenumber", F.lit(f"_{c}")).alias("key"), v.alias("value")) for c, v in told.items()])
+    return fm.previous_deliveries(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("patient_id"), F.lit(fm.HISTORY_PAGE).alias("page_type"), F.inline(cells)))
+
+
+@query("""
+WITH p AS (SELECT l_orderkey AS patient_id, l_linenumber AS k, bool_or(l_returnflag = 'R') AS t, max(strftime(l_shipdate, '%Y-%m-%d')) AS day FROM lineitem GROUP BY 1, 2)
+SELECT patient_id, vaccine, coalesce(bool_or(t) FILTER (p.k = v.k), false) AS ticked, CASE WHEN vaccine = 'rubeole' THEN max(day) FILTER (p.k = 7) END AS date
+FROM p CROSS JOIN (VALUES ('vat_1', 1), ('vat_2', 2), ('vat_3', 3), ('vat_4', 4), ('vat_5', 5), ('rubeole', 6), ('hepatite_b', 0)) v(vaccine, k) GROUP BY patient_id, vaccine""")
+def vaccines_given(spark, sf_dir):
+    """Seven vaccines a patient: lines 1 to 5 tick the numbered ones, line 6 another, line 7 dates it."""
+    n = F.col("l_linenumber")
+    key = F.when(n <= 5, F.concat(F.lit("vat_"), n)).when(n == 6, "rubeole").otherwise("rubeole_date")
+    value = F.when(n <= 6, (F.col("l_returnflag") == "R").cast("string")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
+    return fm.vaccinations(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("patient_id"), F.lit(fm.HISTORY_PAGE).alias("page_type"), key.alias("key"), value.alias("value")))
+
+
+@query("""
+WITH f AS (SELECT o_orderkey AS patient_id, CASE o_orderstatus WHEN 'F' THEN 'Complications' WHEN 'O' THEN 'Antécédents de la femme' ELSE 'Autre' END AS section, CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN ' RAS ' WHEN '5-LOW' THEN 'Néant' WHEN '3-MEDIUM' THEN '0' ELSE o_orderpriority END AS value, o_totalprice FROM orders)
+SELECT patient_id, section, value FROM f WHERE section <> 'Autre' AND o_totalprice > 50000 AND lower(trim(value)) NOT IN ('ras', 'néant', '0')""")
+def facts_noted(spark, sf_dir):
+    """What a patient's summary tells: certain entries of the noted sections that say something."""
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    rows = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("patient_id"), F.when(status == "F", "Complications").when(status == "O", "Antécédents de la femme").otherwise("Autre").alias("section"),
+        F.when(priority == "4-NOT SPECIFIED", " RAS ").when(priority == "5-LOW", "Néant").when(priority == "3-MEDIUM", "0").otherwise(priority).alias("value"), F.when(F.col("o_totalprice") > 50000, "KNOWN").otherwise("NEEDS_REVIEW").alias("status"))
+    return fm.noted_facts(rows).drop("status")
+
+
+@query("""
+WITH c AS (SELECT o_orderkey AS record_id, count(*) FILTER (l_returnflag = 'N') AS waiting, count(*) FILTER (l_returnflag = 'A') AS n, min(l_linenumber) FILTER (l_returnflag = 'R') AS e FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O' GROUP BY 1), f AS (SELECT * FROM c WHERE waiting = 0)
+SELECT record_id, 0 AS place, CASE WHEN n > 0 THEN 'AI_PROCESSED' ELSE 'PROCESSING_FAILED' END AS state, CASE WHEN n = 0 THEN 'E' || e END AS note FROM f UNION ALL SELECT record_id, 1, 'NEEDS_REVIEW', NULL FROM f WHERE n > 0""")
+def reading_moves(spark, sf_dir):
+    """Events after reading: lines are pages that were read (A), refused (R) or still wait (N)."""
+    flag = F.col("l_returnflag")
+    records = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.when(F.col("o_orderstatus") == "O", "PENDING_AI").otherwise("NEEDS_REVIEW").alias("state"))
+    pages = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_linenumber").alias("page_idx"), (flag == "A").alias("is_read"), F.when(flag == "R", F.concat(F.lit("E"), "l_linenumber")).alias("error"))
+    return lc.moves_after_reading(records, pages)
