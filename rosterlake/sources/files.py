@@ -67,10 +67,10 @@ def recorded_sample(content_digest: Column, n: int) -> Column:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """JSON lines, and the same rows as a Markdown table."""
+    """JSON lines, and the same rows as lines of a Markdown table; as many files as the frame has partitions, in their order."""
     df.write.mode("overwrite").json(f"{path}/json")
     cells = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
-    df.select(F.concat(F.lit("| "), cells, F.lit(" |")).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/markdown")
+    df.select(F.concat(F.lit("| "), cells, F.lit(" |")).alias("value")).write.mode("overwrite").text(f"{path}/markdown")
 
 
 def write_finals(pages: DataFrame, path: str) -> None:

@@ -91,3 +91,11 @@ def test_index_and_templates(spark, tmp_path):
     files.write_templates(spark.createDataFrame([("acc", 1, "b", "g", "Poids", "weight"), ("acc", 0, "a", "g", "Date", "date"), ("id", 0, "c", "g", "Nom", "text")], "page_type string, ordinal int, field_id string, groupe string, libelle string, type string"), f"{tmp_path}/t")
     found = [f.read_text().splitlines() for f in sorted((tmp_path / "t" / "page_type=acc").glob("part-*"))]
     assert found == [["field_id,groupe,libelle,type,value,status", "a,g,Date,date,,", "b,g,Poids,weight,,"]]
+
+
+def test_report_keeps_the_order_of_partitions(spark, tmp_path):
+    df = spark.createDataFrame([(k, None if k == 3 else f"x{k}") for k in range(8)], "k int, x string").repartitionByRange(3, "k").sortWithinPartitions("k")
+    files.write_report(df, str(tmp_path))
+    lines = [x for f in sorted((tmp_path / "markdown").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines == [f"| {k} | {'' if k == 3 else f'x{k}'} |" for k in range(8)]
+    assert spark.read.json(f"{tmp_path}/json").count() == 8
