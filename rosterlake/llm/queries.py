@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, block_dedup, decontaminate, host_rules, lang_ppm, license_digest, merkle_manifest, mixing, ngram_join, pii_surrogate, quality_rank, suffix_dedup
+from . import best_fit_packing, block_dedup, decontaminate, hard_negatives, host_rules, lang_ppm, license_digest, merkle_manifest, mixing, ngram_join, pii_surrogate, quality_rank, suffix_dedup
 from ._common import table
 
 
@@ -48,6 +48,11 @@ def op9_suffix_dedup(spark, sf_dir):
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 def op12_merkle_manifest(spark, sf_dir):
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return merkle_manifest.verified(table(spark, sf_dir, "documents"), tampered=tampered)
@@ -57,6 +62,6 @@ def op13_best_fit_packing(spark, sf_dir):
     return best_fit_packing.pack(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_ngram_join, op2_quality_rank, op3_lang_ppm, op4_host_rules, op5_pii_surrogate, op6_decontaminate, op7_block_dedup, op8_mixing, op9_suffix_dedup, op10_license_digest, op12_merkle_manifest, op13_best_fit_packing)
+_ALL = (op1_ngram_join, op2_quality_rank, op3_lang_ppm, op4_host_rules, op5_pii_surrogate, op6_decontaminate, op7_block_dedup, op8_mixing, op9_suffix_dedup, op10_license_digest, op11_hard_negatives, op12_merkle_manifest, op13_best_fit_packing)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {"op4_host_rules": host_rules.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op10_license_digest": license_digest.ORACLE}
