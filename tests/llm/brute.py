@@ -1,7 +1,9 @@
 """Plain versions of the operators' contracts, for small inputs."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -81,3 +83,71 @@ def contaminated(docs, items, n):
                     found |= grams[g]
         out.append((doc, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return out
+
+
+def digest(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(row):
+    return digest(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def levels(nodes, arity=16):
+    """The nodes, their parents and so on up to one."""
+    out = [nodes]
+    while len(out[-1]) > 1:
+        out.append([digest(*out[-1][i : i + arity]) for i in range(0, len(out[-1]), arity)])
+    return out
+
+
+def manifest(rows, arity=16):
+    """rows: doc_id, source, lang, n_chars, text. Rows whose id's crc32 is divisible by 5 offer their text in lower case."""
+    by_source = {}
+    for r in rows:
+        by_source.setdefault(r[1], []).append(r)
+    sources = sorted(by_source, key=lambda s: (s is not None, (s or "").encode()))
+    held = {s: sorted(by_source[s], key=lambda r: (r[0] is not None, r[0] or 0, leaf(r))) for s in sources}
+    trees = {s: levels([leaf(r) for r in held[s]], arity) for s in sources}
+    top = levels([trees[s][-1][0] for s in sources], arity)
+    out = []
+    for k, s in enumerate(sources):
+        for i, r in enumerate(held[s]):
+            path = []
+            for tree, at in ((trees[s], i), (top, k)):
+                for nodes in tree[:-1]:
+                    run = nodes[at // arity * arity :][:arity]
+                    path.append((run[: at % arity], run[at % arity + 1 :]))
+                    at //= arity
+            lowered = None if r[4] is None else re.sub("[A-Z]+", lambda m: m[0].lower(), r[4])
+            folded = leaf((*r[:4], lowered)) if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0 else leaf(r)
+            for before, after in path:
+                folded = digest(*before, folded, *after)
+            root = top[-1][0]
+            out.append((r[0], leaf(r), trees[s][-1][0], root, digest(*(x for a, b in path for x in a + b)), folded, folded == root))
+    return out
+
+
+def negatives(rows, every=50, positives=5, wanted=3):
+    """rows: id, label, vector, all of them usable."""
+    rows = [(i, label, [math.floor(256 * x) for x in v]) for i, label, v in rows]
+    out = []
+    for k, (anchor, label, v) in enumerate(rows):
+        if anchor % every:
+            continue
+        ranked = sorted((-sum(x * y for x, y in zip(v, w, strict=False)), i, other, n) for n, (i, other, w) in enumerate(rows))
+        for p in [x for x in ranked if x[2] == label and x[3] != k][:positives]:
+            found = [x for x in ranked if x[2] != label and 50 * -p[0] <= 100 * -x[0] <= 95 * -p[0]][:wanted]
+            out += [(anchor, p[1], rank, x[1], -p[0], -x[0]) for rank, x in enumerate(found, 1)]
+    return out
+
+
+def pieces(docs, encode, capacity=2048):
+    """doc_id, piece, start, length, ids_crc32 of each piece."""
+    out = []
+    for doc, text in docs:
+        ids = [*encode(text or ""), 0]
+        first = len(ids) - (-(-len(ids) // capacity) - 1) * capacity
+        cuts = [0, *range(first, len(ids) + 1, capacity)]
+        out += [(doc, k, a, b - a, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[a:b]))) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+    return out
