@@ -30,10 +30,11 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import zlib
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -55,11 +56,9 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers: those of the tokenizer file, by its ranks where these give the same."""
 
     def __init__(self, path: str, ranks: str | None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.fast = Tokenizer.from_file(located(path)), None
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path, self.fast = located(path), None
+        with open(self.path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         if ranks:
             import public_tokenizers
             import tiktoken
@@ -68,6 +67,14 @@ class Encoder:
                 known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
 
+    @cached_property
+    def tokenizer(self):
+        """Few texts need it, where there are ranks."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def plain(self, text: str) -> bool:
         """No special token, which the ranks lack, and no run of white space that its pattern would recurse on too deeply."""
         return not any(s in text for s in self.special) and (len(text) < LONG_RUN or not ALL_SPACE.search(text))
