@@ -142,7 +142,8 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str | None = RANK
 class Sums:
     """How many pieces there are of each length, with an index of the sums of two lengths that are there."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, even: bool = False):
+        self.even = even
         self.left, self.top = counts.astype(np.int64), len(counts) - 1
         self.here = self.left > 0
         self.here[0] = False
@@ -158,10 +159,10 @@ class Sums:
             self.here[length] = False
 
     def pair(self, total: int, beside: int = 0) -> tuple[int, int] | None:
-        """Two lengths of this sum, the longer as long as can be; beside: a length of which one piece is spoken for."""
+        """Two lengths of this sum, the longer as long as can be (even: as short); beside: a length of which one piece is spoken for."""
         if total < 2 or not self.pairs[total]:
             return None
-        long = np.arange(total - 1, (total - 1) // 2, -1)
+        long = np.arange((total + 1) // 2, total) if self.even else np.arange(total - 1, (total - 1) // 2, -1)
         for a in long[self.here[long] & self.here[total - long]].tolist():
             b = total - a
             if self.left[a] >= 1 + (a == b) + (a == beside) and self.left[b] >= 1 + (a == b) + (b == beside):
@@ -186,9 +187,9 @@ class Sums:
         return int(there[-1]) if len(there) else 0
 
 
-def patterns(counts: np.ndarray, capacity: int, complements: bool = True) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(sequences of this kind, [(length, copies)]) until every piece has a place. Without complements, by best fit alone."""
-    sums, out = Sums(counts), []
+def patterns(counts: np.ndarray, capacity: int, complements: bool = True, even: bool = False) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(sequences of this kind, [(length, copies)]) until every piece has a place. even: pairs of like lengths first. Without complements, by best fit alone."""
+    sums, out = Sums(counts, even), []
     while opening := sums.longest(capacity):
         sums.take(opening)
         used, gap = {opening: 1}, capacity - opening
@@ -206,9 +207,9 @@ def patterns(counts: np.ndarray, capacity: int, complements: bool = True) -> lis
 
 
 def places(counts: np.ndarray, capacity: int) -> np.ndarray:
-    """Columns: length, first number of that length, copies in a sequence, first sequence, offset; in order of the first two. Of both plans, the shorter."""
+    """Columns: length, first number of that length, copies in a sequence, first sequence, offset; in order of the first two. Of three plans, the shortest."""
     rows, sequence, taken = [], 0, np.zeros(capacity + 1, np.int64)
-    plans = [patterns(counts, capacity), patterns(counts, capacity, complements=False)]
+    plans = [patterns(counts, capacity, even=True), patterns(counts, capacity), patterns(counts, capacity, complements=False)]
     for times, used in min(plans, key=lambda plan: sum(times for times, _ in plan)):
         offset = 0
         for length, copies in used:

@@ -182,6 +182,13 @@ def test_sequences_hold_the_ids(spark):
             assert sum((docs[doc][k][0] for k in sorted(docs[doc])), []) == [*encode(text or ""), 0]
 
 
+def n_of(table, counts, i):
+    """How many pieces row i of a plan takes."""
+    length, first = table[i, :2].tolist()
+    more = table[i + 1 :][table[i + 1 :, 0] == length]
+    return (int(more[0, 1]) if len(more) else int(counts[length])) - first
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plans(seed):
     r = np.random.default_rng(seed)
@@ -189,8 +196,8 @@ def test_plans(seed):
     lengths = [r.integers(1, 201, 400), r.integers(60, 70, 300), r.integers(1, 9, 2000), r.integers(90, 130, 200), np.full(77, 67), np.r_[r.integers(101, 200, 150), r.integers(1, 99, 300)]][seed]
     counts = np.bincount(lengths, minlength=capacity + 1)
     best = None
-    for complements in (True, False):
-        plan, seen = bp.patterns(counts, capacity, complements), Counter()
+    for how in ({"even": True}, {}, {"complements": False}):
+        plan, seen = bp.patterns(counts, capacity, **how), Counter()
         for times, used in plan:
             assert sum(length * copies for length, copies in used) <= capacity
             seen.update({length: times * copies for length, copies in used})
@@ -198,6 +205,7 @@ def test_plans(seed):
         n = sum(times for times, _ in plan)
         best = n if best is None else min(best, n)
     table = bp.places(counts, capacity)
+    assert best == 1 + max(int(s + (a_n - 1) // k) for s, k, a_n in ((r[3], r[2], n_of(table, counts, i)) for i, r in enumerate(table.tolist())))
     assert len({(int(a), int(b)) for a, b in table[:, :2]}) == len(table)
     gaps = []
     for x in sorted(lengths.tolist(), reverse=True):  # plain best fit
