@@ -8,14 +8,14 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import UNKNOWN_WORDS
 from .values import day_of
 
 UNITS = {"weight": "g", "length": "cm", "weeks": "SA"}
-# Answers that users type.
-EMPTY_WORDS = ["-", "—", "vide", "rien", "aucun", "aucune"]
-YES_WORDS = ["oui", "o", "yes", "x", "1", "vrai", "coche", "coché"]
-NO_WORDS = ["non", "n", "no", "0", "faux"]
+# Answers that users type. "aucun" is none of them: it is an answer of its own.
+TYPED_UNKNOWN = ["?", "??", "inconnu", "inconnue", "nsp", "ne sait pas"]
+EMPTY_WORDS = ["-", "vide", "non renseigné"]
+YES_WORDS = ["oui", "o", "x", "coché", "coche", "vrai", "yes"]
+NO_WORDS = ["non", "n", "faux", "no", "pas coché"]
 
 
 def show(kind: Column, value: Column, status: Column, heavy_in_kg: bool = True) -> Column:
@@ -48,7 +48,7 @@ def typed(kind: Column, text: Column) -> Column:
     sex = F.when(low.isin("f", "fille", "féminin"), "F").when(low.isin("m", "garçon", "garcon", "masculin"), "M")
     known = lambda v: made(v, F.when(v.isNotNull(), "KNOWN"))
     return (
-        F.when(raw == "", made(none, None)).when(low.isin(UNKNOWN_WORDS), made(none, "UNKNOWN")).when(low.isin(EMPTY_WORDS), made(none, "NOT_PROVIDED"))
+        F.when(raw == "", made(none, None)).when(low.isin(TYPED_UNKNOWN), made(none, "UNKNOWN")).when(low.isin(EMPTY_WORDS), made(none, "NOT_PROVIDED"))
         .when(kind == "checkbox", F.when(low.isin(YES_WORDS), made(F.lit("true"), "KNOWN")).when(low.isin(NO_WORDS), made(none, "NOT_PROVIDED")).otherwise(made(none, None)))
         .when(kind == "weight", known(grams)).when(kind.isin("integer", "length", "weeks"), known(whole)).when(kind == "date", known(day)).when(kind == "sex", known(sex))
         .otherwise(known(F.when(F.length(raw) <= 120, raw)))
