@@ -64,8 +64,9 @@ def spikes(values: DataFrame) -> DataFrame:
         tolerance = F.when(F.col("measure") == m, float(t)).otherwise(tolerance)
     w = Window.partitionBy(*PAGE, "measure").orderBy("col")
     rows = values.where("page_kind = 'antenatal'").withColumn("t", tolerance).withColumn("b", F.coalesce("num", "sys")).where("t is not null and b is not null")
-    rows = rows.withColumn("a", F.lag("b").over(w)).withColumn("c", F.lead("b").over(w)).where("(b - a) * (b - c) > 0 and least(abs(b - a), abs(b - c)) > t")
-    return _found(rows, F.col("key"), "spike", {"measure": F.col("measure"), "value": F.col("b"), "before": F.col("a"), "after": F.col("c")})
+    rows = rows.withColumn("shown", F.when(F.col("measure") == "bp", F.concat_ws("/", "sys", "dia")).otherwise(F.col("num").cast("string")))
+    rows = rows.withColumns({"a": F.lag("b").over(w), "c": F.lead("b").over(w), "before": F.lag("shown").over(w), "after": F.lead("shown").over(w)}).where("(b - a) * (b - c) > 0 and least(abs(b - a), abs(b - c)) > t")
+    return _found(rows, F.col("key"), "spike", {"measure": F.col("measure"), "value": F.col("shown"), "before": F.col("before"), "after": F.col("after")})
 
 
 def due_dates(facts: DataFrame) -> DataFrame:

@@ -47,10 +47,11 @@ def first_last_change(df: DataFrame, entity: Sequence[str], order: Sequence[str]
     return agg.where("n_points > 1").select(*entity, "n_points", (F.col("l") - F.col("f")).alias("change"))
 
 
-def numbered_by_section(df: DataFrame, document: str, section: str, ordinal: str) -> DataFrame:
-    """number: place in the document when sections are kept together in the order of their first row."""
-    first = F.min(ordinal).over(Window.partitionBy(document, section))
-    return df.withColumn("__f", first).withColumn("number", F.row_number().over(_over([document], ["__f", section, ordinal]))).drop("__f")
+def numbered_by_section(df: DataFrame, document: str | Sequence[str], section: str, ordinal: str) -> DataFrame:
+    """number: place in the document (one key or several) when sections are kept together in the order of their first row."""
+    keys = [document] if isinstance(document, str) else list(document)
+    first = F.min(ordinal).over(Window.partitionBy(*keys, section))
+    return df.withColumn("__f", first).withColumn("number", F.row_number().over(_over(keys, ["__f", section, ordinal]))).drop("__f")
 
 
 def runs(df: DataFrame, entity: Sequence[str], order: Sequence[str], label: str) -> DataFrame:

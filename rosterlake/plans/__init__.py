@@ -1,3 +1,3 @@
 
 
-from . import capture, catalog, pages, register  # noqa: F401  (the latter add their queries to the catalog)
+from . import capture, catalog, pages, register, telling  # noqa: F401  (the latter add their queries to the catalog)
