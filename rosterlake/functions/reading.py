@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import code_distance, normalized_code
 from ..operators.quality import DIASTOLIC, GA_WEEKS, NEWBORN_WEIGHT, POSSIBLE, SYSTOLIC
 from ..operators.series import measure_of
-from .text import bare_word, fold, similarity, special_word
+from .text import ODD_CHARS, STOPWORDS, bare_word, fold, similarity, special_word
 from .values import blood_pressure, parse, plain_number
 
 THRESHOLD, SURE, SINGLE_CAP = 0.7, 0.9, 0.6
@@ -156,3 +156,24 @@ def known_words(words: DataFrame, vocabulary: DataFrame, word: str = "word", rat
     right = v.select(F.col("bare").alias("known"), F.length("bare").alias("m"), F.explode(pairs(F.col("bare"))).alias("g"))
     near = left.join(right, "g").where(F.abs(F.col("n") - F.col("m")) <= 2).select("word", "bare", "known").distinct()
     return exact.union(near.where(similarity("known", "bare") >= ratio).select("word").distinct())
+
+
+def label_reasons(fields: DataFrame, vocabulary: DataFrame, label: str = "label", share: float = 0.75) -> DataFrame:
+    """fields with label_reason: etiquette_douteuse (misread), champ_nouveau (too few known words), or null.
+
+    vocabulary: word. A word is known as known_words() has it: in the vocabulary,
+    or nearly. Each different label is judged once; without any vocabulary there
+    is nothing to say about labels. A null label is misread.
+    """
+    text = F.regexp_replace(F.replace(F.col("l"), F.lit("|"), F.lit(" ")), r"(?<=[\p{L}\p{N}_])\.(?=[\p{L}\p{N}_])", "")
+    chars = F.regexp_replace(text, r"\s", "")
+    words = F.filter(F.split(F.replace(fold(text), F.lit("/"), F.lit(" ")), " "), lambda w: (w != "") & ~w.isin(STOPWORDS) & ~w.rlike(r"^\d+$"))
+    labels = fields.select(F.coalesce(label, F.lit("")).alias("l")).distinct()
+    odd = text.rlike(ODD_CHARS) | (chars == "") | (F.regexp_count(chars, F.lit(r"\p{L}")) < 0.6 * F.length(chars)) | (F.size(words) == 0)
+    labels = labels.select("l", odd.alias("odd"), words.alias("words"))
+    single = labels.where("not odd").select("l", F.explode("words").alias("word"))
+    known = known_words(single, vocabulary.select(F.explode(F.split(fold(F.col("word")), " ")).alias("word")).where("word <> ''")).withColumn("known", F.lit(1))
+    shares = single.join(known, "word", "left").groupBy("l").agg(F.avg(F.coalesce("known", F.lit(0))).alias("share"))
+    reason = F.when(F.lit(vocabulary.isEmpty()), F.lit(None)).when(F.col("odd"), "etiquette_douteuse").when(F.col("share") < share, "champ_nouveau")
+    judged = labels.join(shares, "l", "left").select("l", reason.alias("label_reason"))
+    return fields.join(judged, F.coalesce(fields[label], F.lit("")) == judged["l"], "left").drop("l")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import reading as rd
 from ..operators import messages as ms
 from ..operators import quality as ql
 from . import register
@@ -128,3 +129,12 @@ def alert_messages(spark, sf_dir):
     """Alerts in words."""
     found = ql.check(register.fields(spark, sf_dir), register.AS_OF)
     return found.select("record_id", "page_idx", "key", "code", ms.alert_text(F.col("code"), F.col("params")).alias("text"))
+
+
+@query()
+def labels_judged(spark, sf_dir):
+    """Names of parts as labels, some misread by a letter or two, against the words of the names of two brands. SQL has no such ratio; the tests hold it against difflib."""
+    part = read(spark, sf_dir, "part")
+    name = F.when(F.col("p_partkey") % 4 == 1, F.concat("p_name", F.lit(" zorglub"))).when(F.col("p_partkey") % 4 == 2, F.translate("p_name", "ae", "o")).when(F.col("p_partkey") % 4 == 3, F.concat(F.lit("N° "), "p_name", F.lit(" (kg)"))).otherwise(F.col("p_name"))
+    words = part.where("p_brand in ('Brand#1', 'Brand#2')").select(F.explode(F.split("p_name", " ")).alias("word"))
+    return rd.label_reasons(part.select("p_partkey", name.alias("label")), words)
