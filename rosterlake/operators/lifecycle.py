@@ -177,7 +177,9 @@ def added_fields(requests: DataFrame, fields: DataFrame) -> DataFrame:
     empty, unknown = F.col("text").isin("", "-"), special_word(F.col("text")) == "unknown"
     status = F.when(empty, "NOT_PROVIDED").when(F.coalesce(unknown, F.lit(False)), "UNKNOWN").otherwise("KNOWN")
     rows = once(rows, status=F.when(F.col("base").isNotNull(), status))
-    value = F.when(F.col("status") == "KNOWN", F.coalesce(parse(F.col("kind"), F.col("text"), F.lit(""))["value"], F.col("text")))
+    # parse stands in a lambda: with all its branches one generated method would be too large to compile
+    read = F.element_at(F.transform(F.array("text"), lambda t: parse(F.col("kind"), t, F.lit(""))["value"]), 1)
+    value = F.when(F.col("status") == "KNOWN", F.coalesce(read, F.col("text")))
     return rows.select("record_id", "page_idx", "at", "label", "refused", "key", "kind", value.alias("value"), "status")
 
 

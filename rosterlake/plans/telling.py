@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import display as dp
 from ..functions import reading as rd
+from ..operators import layout as ly
+from ..operators import lifecycle as lc
 from ..operators import messages as ms
 from ..operators import quality as ql
 from . import register
@@ -138,3 +141,58 @@ def labels_judged(spark, sf_dir):
     name = F.when(F.col("p_partkey") % 4 == 1, F.concat("p_name", F.lit(" zorglub"))).when(F.col("p_partkey") % 4 == 2, F.translate("p_name", "ae", "o")).when(F.col("p_partkey") % 4 == 3, F.concat(F.lit("N° "), "p_name", F.lit(" (kg)"))).otherwise(F.col("p_name"))
     words = part.where("p_brand in ('Brand#1', 'Brand#2')").select(F.explode(F.split("p_name", " ")).alias("word"))
     return rd.label_reasons(part.select("p_partkey", name.alias("label")), words)
+
+
+@query("SELECT count(*) FILTER (o_orderstatus IN ('O', 'P')) AS n_waiting FROM orders")
+def records_waiting(spark, sf_dir):
+    """Records whose next step needs the network."""
+    status = F.col("o_orderstatus")
+    return lc.waiting_for_network(read(spark, sf_dir, "orders").select(F.when(status == "O", "SYNC_FAILED").when(status == "P", "PENDING_AI").otherwise("SYNCED").alias("state")))
+
+
+@query("""
+WITH t AS (SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN ': ' || p_size WHEN 1 THEN ' ' || p_brand WHEN 2 THEN p_type ELSE ' ; ' || p_type END AS text, (p_partkey % 97) / 100.0::DOUBLE AS share FROM part),
+c AS (SELECT *, length(text) AS n, length(regexp_extract(text, '^[^:;]*[:;]')) AS colon, CAST(round_even(share * length(text), 0) AS INT) AS mid, list_filter(range(0, length(text)), lambda i: text[i + 1] = ' ') AS spaces FROM t),
+d AS (SELECT *, list_sort(list_transform(spaces, lambda i: {'d': abs(i - mid), 'i': i}))[1] AS near FROM c),
+e AS (SELECT *, CASE WHEN colon > 0 THEN colon WHEN near.d <= 3 THEN near.i + 1 ELSE mid END AS cut FROM d),
+f AS (SELECT *, trim(substr(text, 1, cut)) AS label, trim(substr(text, cut + 1)) AS value FROM e)
+SELECT p_partkey, CASE WHEN ok THEN label END AS label, CASE WHEN ok THEN value END AS value FROM (SELECT *, n >= 4 AND share BETWEEN 0.2 AND 0.85 AND length(label) >= 2 AND length(value) >= CASE WHEN colon > 0 THEN 1 ELSE 2 END AS ok FROM f)""")
+def lines_split(spark, sf_dir):
+    """Lines of print and handwriting cut in two, where they can be."""
+    part = read(spark, sf_dir, "part")
+    n = F.col("p_partkey")
+    text = F.concat("p_name", F.when(n % 4 == 0, F.concat(F.lit(": "), F.col("p_size").cast("string"))).when(n % 4 == 1, F.concat(F.lit(" "), "p_brand")).when(n % 4 == 2, F.col("p_type")).otherwise(F.concat(F.lit(" ; "), "p_type")))
+    return part.select("p_partkey", ly.split_mixed(text, (n % 97) / 100.0).alias("s")).select("p_partkey", "s.label", "s.value")
+
+
+@query("""
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Second reading of ' || event_id % 9 || ' doubtful or unlinked value(s) by m' || user_id WHEN 1 THEN 'PaddleOCR failed: ' || event_type WHEN 2 THEN 'model m' || user_id || ' missing (run `ollama pull m' || user_id || '`)'
+ WHEN 3 THEN 'Reading the text (PaddleOCR) · Tables, checkboxes, labels' ELSE 'Autre message ' || event_id END AS message FROM events""")
+def messages_translated(spark, sf_dir):
+    """Messages of the reading steps in English; others stay as they are."""
+    n, user = F.col("event_id"), F.concat(F.lit("m"), F.col("user_id").cast("string"))
+    message = (
+        F.when(n % 5 == 0, F.concat(F.lit("Relecture de "), (n % 9).cast("string"), F.lit(" valeur(s) douteuse(s) ou non rattachée(s) par "), user)).when(n % 5 == 1, F.concat(F.lit("PaddleOCR a échoué : "), "event_type"))
+        .when(n % 5 == 2, F.concat(F.lit("modèle "), user, F.lit(" absent (lancer `ollama pull "), user, F.lit("`)"))).when(n % 5 == 3, "Lecture du texte (PaddleOCR) · Tableaux, cases à cocher, étiquettes").otherwise(F.concat(F.lit("Autre message "), n.cast("string")))
+    )
+    return read(spark, sf_dir, "events").select("event_id", dp.translated(message).alias("message"))
+
+
+_LABELS, _ANSWERS = ["Groupe sanguin", "x", "Téléphone", "Poids", "Date du test", "Groupe  sanguin ", "Nombre de tests"], ["62,5 kg", "", "?", "3/4/2024", "12"]
+
+
+@query("""
+WITH q AS (SELECT user_id AS record_id, event_id AS tm, ['Groupe sanguin', 'x', 'Téléphone', 'Poids', 'Date du test', 'Groupe sanguin', 'Nombre de tests'][event_id % 7 + 1] AS label, ['62,5 kg', '', '?', '3/4/2024', '12'][event_id % 5 + 1] AS text FROM events),
+b AS (SELECT *, CASE label WHEN 'x' THEN 'too_short' WHEN 'Téléphone' THEN 'personal' END AS refused, CASE label WHEN 'Groupe sanguin' THEN 'groupe_sanguin' WHEN 'Poids' THEN 'poids' WHEN 'Date du test' THEN 'date_du_test' WHEN 'Nombre de tests' THEN 'nombre_de_tests' END AS base FROM q),
+n AS (SELECT *, row_number() OVER (PARTITION BY record_id, base ORDER BY tm) AS nth, CASE label WHEN 'Poids' THEN 'weight' WHEN 'Date du test' THEN 'date' WHEN 'Nombre de tests' THEN 'integer' ELSE 'text' END AS k FROM b)
+SELECT record_id, 0 AS page_idx, tm AS "at", label, refused, CASE WHEN base IS NOT NULL THEN base || repeat('_', CAST(CASE WHEN base = 'poids' AND record_id % 2 = 0 THEN nth WHEN base = 'groupe_sanguin' AND record_id % 3 = 0 AND nth >= 2 THEN nth ELSE nth - 1 END AS INT)) END AS key, CASE WHEN base IS NOT NULL THEN k END AS kind,
+ CASE WHEN base IS NULL OR text IN ('', '?') THEN NULL WHEN k = 'weight' THEN CASE text WHEN '62,5 kg' THEN '62500' WHEN '3/4/2024' THEN '3000' ELSE '12' END WHEN k = 'date' AND text = '3/4/2024' THEN '2024-04-03' WHEN k = 'integer' AND text = '3/4/2024' THEN '3' ELSE text END AS value,
+ CASE WHEN base IS NULL THEN NULL WHEN text = '' THEN 'NOT_PROVIDED' WHEN text = '?' THEN 'UNKNOWN' ELSE 'KNOWN' END AS status FROM n""")
+def fields_added(spark, sf_dir):
+    """Fields that users add by label and text: refused ones, keys that are taken, values by the label's kind."""
+    events = read(spark, sf_dir, "events")
+    pick = lambda words, i: F.get(F.array(*map(F.lit, words)), i.cast("int"))
+    requests = events.select(F.col("user_id").alias("record_id"), F.lit(0).alias("page_idx"), F.col("event_id").alias("at"), pick(_LABELS, F.col("event_id") % 7).alias("label"), pick(_ANSWERS, F.col("event_id") % 5).alias("text"))
+    users = events.select(F.col("user_id").alias("record_id"), F.lit(0).alias("page_idx")).distinct()
+    there = users.where("record_id % 2 = 0").withColumn("key", F.lit("poids")).union(users.where("record_id % 3 = 0").withColumn("key", F.lit("groupe_sanguin_")))
+    return lc.added_fields(requests, there)
