@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming import chat, commands
+from ..functions.text import hmac_sha256
+from ..streaming import chat, commands, signed
 from .catalog import query, read
 
 # What users of the queries write: by event number.
@@ -172,3 +173,30 @@ def record_events(spark, sf_dir):
 @query(_REPLAYED + "SELECT verb, verdict, count(*) AS n FROM r WHERE i > 0 GROUP BY ALL")
 def verdicts_of_commands(spark, sf_dir):
     return commands.replayed(orders(spark, sf_dir)).groupBy("verb", "verdict").agg(F.count("*").alias("n"))
+
+
+_SECRET = "a secret of the queries"
+_PADS = {x: bytes(k ^ x for k in _SECRET.encode().ljust(64, b"\0")).hex() for x in (0x36, 0x5C)}
+
+
+@query(f"""
+SELECT event_id, ['ok', 'other_body', 'bad_signature', 'bad_algorithm', 'stale', 'bad_token', 'no_token', 'ok', 'stale'][event_id % 9 + 1] AS verdict,
+ sha256(unhex('{_PADS[0x5C]}') || unhex(sha256(unhex('{_PADS[0x36]}') || encode('event ' || event_id)))) AS signature FROM events""")
+def events_signed(spark, sf_dir):
+    """Events as signed messages, some of them changed, old, badly signed or without a token; and the signature of a text."""
+    n = F.col("event_id")
+    kind = n % 9
+    url = lambda b: F.translate(F.base64(b), "+/=\r\n", "-_")
+    now = F.lit("2026-01-01 12:00:00").cast("timestamp")
+    body = F.concat(F.lit('{"id": '), n.cast("string"), F.lit(', "type": "'), "event_type", F.lit(' ok"}'))
+    told = F.sha2(F.when(kind == 7, F.regexp_replace(F.regexp_replace(body, ": ", ":"), ", ", ",")).otherwise(body).cast("binary"), 256)
+    made = F.unix_timestamp(now) - F.when(kind == 4, 3601).when(kind == 8, -3601).otherwise(n % 3600)
+    head = url(F.when(kind == 3, '{"alg":"none"}').otherwise('{"alg":"HS256","typ":"JWT"}').cast("binary"))
+    claims = url(F.concat(F.lit('{"iat":'), made.cast("string"), F.lit(',"payload_hash":"'), told, F.lit('"}')).cast("binary"))
+    signature = lambda secret: url(F.unhex(hmac_sha256(secret, F.concat_ws(".", head, claims))))
+    token = F.concat_ws(".", head, claims, F.when(kind != 5, F.when(kind == 2, signature("another")).otherwise(signature(_SECRET))))
+    rows = read(spark, sf_dir, "events").select(
+        "event_id", F.when(kind == 1, F.concat(body, F.lit(" "))).otherwise(body).alias("body"), F.concat(F.when(kind == 6, "Basic ").otherwise("Bearer "), token).alias("authorization"), now.alias("received_at"))
+    rows = rows.withColumn("body", F.when(F.col("event_id") % 9 == 1, F.replace("body", F.lit("ok"), F.lit("no"))).otherwise(F.col("body")))
+    told_so = signed.verdict(F.col("body"), F.col("authorization"), F.col("received_at"), _SECRET)
+    return rows.select("event_id", told_so.alias("verdict"), hmac_sha256(_SECRET, F.concat(F.lit("event "), F.col("event_id").cast("string"))).alias("signature"))

@@ -21,8 +21,8 @@ def deduplicated(messages: DataFrame, key: str = "message_uuid", at: str = "ts",
 
 
 def fresh(messages: DataFrame, at: str = "ts", now: str = "received_at", most_seconds: int = 3600) -> DataFrame:
-    """Messages no older than most_seconds when they were received: replays are refused."""
-    return messages.where(F.unix_timestamp(now) - F.unix_timestamp(at) <= most_seconds)
+    """Messages made within most_seconds of when they were received, before or after: replays are refused, and so are clocks that far ahead."""
+    return messages.where(F.abs(F.unix_timestamp(now) - F.unix_timestamp(at)) <= most_seconds)
 
 
 def session_counts(messages: DataFrame, key: str, at: str = "ts", gap: str = "2 hours", late: str = "10 minutes") -> DataFrame:
