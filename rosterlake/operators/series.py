@@ -249,7 +249,7 @@ def profiles(fields: DataFrame, pages: DataFrame) -> DataFrame:
     test = lambda t: F.min(F.when(anc & (F.col("measure") == t), F.when(F.col("code") == "pos", 1).when(F.col("code") == "neg", 2)))
     by_visit = v.groupBy("patient_id").agg(
         F.avg(F.when(anc & (F.col("measure") == "bp"), F.col("sys"))).alias("systolic"), F.avg(F.when(anc & (F.col("measure") == "bp"), F.col("dia"))).alias("diastolic"), F.avg(m("hemoglobin")).alias("hemoglobin"),
-        F.avg(F.when((F.col("page_kind") == "postpartum_mother") & (F.col("measure") == "temperature"), F.col("num"))).alias("temperature"), F.least(F.min(m("gaWeeks")), F.lit(99.0)).alias("firstGa"),
+        F.avg(F.when((F.col("page_kind") == "postpartum_mother") & (F.col("measure") == "temperature"), F.col("num"))).alias("temperature"), F.when(F.min(m("gaWeeks")).isNotNull(), F.least(F.min(m("gaWeeks")), F.lit(99.0))).alias("firstGa"),
         F.count_distinct(F.when(anc & (F.col("measure") == "date"), F.col("day"))).alias("n_visits"), *[test(t).alias(f"{t}_r") for t in ("hiv", "syphilis", "hbs", "hcv")])
     order = F.struct("created_at", "page_idx")
     f = series_facts(sure).join(of_page, PAGE)

@@ -50,12 +50,13 @@ def build(women: DataFrame, k: int = ag.K) -> DataFrame:
         "place": ("delivery", F.col("place"), PLACES),
         "preterm": ("delivery", F.when(nonzero("gaAtBirth") < ag.PRETERM_WEEKS, "preterm").when(nonzero("gaAtBirth").isNotNull(), "term"), ("preterm", "term")),
     }
-    for t in TESTS:  # a test that no woman has is left out
+    cells["some visitCounts"] = F.when(F.col("n_visits") > 0, "all")
+    for t in TESTS:  # a test that no woman has is left out, and so are visits that nobody has
         counts[t] = ("tests", F.coalesce(F.col(t), F.when(F.col("antenatal"), "notRecorded").otherwise("noPage")), ("pos", "neg", "notRecorded", "noPage"))
         cells[f"some {t}"] = F.when(F.col(t).isNotNull(), "all")
     for metric, (panel, value, domain) in counts.items():
         cells[metric] = F.when(value.isin(*domain), value)
-        shown += [(panel, metric, b, None, None, None, f"some {metric}" if panel == "tests" else None) for b in domain]
+        shown += [(panel, metric, b, None, None, None, f"some {metric}" if panel == "tests" or metric == "visitCounts" else None) for b in domain]
     births = F.col("mode").isNotNull() | nonzero("birthWeight").isNotNull()
     known = {"bp": nonzero("systolic").isNotNull(), "hemoglobin": nonzero("hemoglobin").isNotNull(), "hiv": F.col("hiv").isin("pos", "neg"), "syphilis": F.col("syphilis").isin("pos", "neg"), "birthWeight": births & nonzero("birthWeight").isNotNull()}
     for measure, there in known.items():

@@ -221,7 +221,7 @@ def register_flagged(spark, sf_dir):
 
 PROFILES = CELLS + """,
 kn AS (SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY record_id, col, measure ORDER BY n DESC) AS r FROM c WHERE sure) WHERE r = 1),
-pv AS (SELECT o_custkey, avg(sys) AS systolic, avg(dia) AS diastolic, least(min(num) FILTER (measure = 'gaWeeks'), 99) AS firstGa, count(DISTINCT day) FILTER (measure = 'date') AS n_visits, min(CASE code WHEN 'pos' THEN 1 WHEN 'neg' THEN 2 END) AS hiv_r FROM kn JOIN o USING (record_id) GROUP BY 1),
+pv AS (SELECT o_custkey, avg(sys) AS systolic, avg(dia) AS diastolic, CASE WHEN min(num) FILTER (measure = 'gaWeeks') IS NOT NULL THEN least(min(num) FILTER (measure = 'gaWeeks'), 99) END AS firstGa, count(DISTINCT day) FILTER (measure = 'date') AS n_visits, min(CASE code WHEN 'pos' THEN 1 WHEN 'neg' THEN 2 END) AS hiv_r FROM kn JOIN o USING (record_id) GROUP BY 1),
 pf AS (SELECT o_custkey, arg_max(CASE WHEN p = 3 THEN 'vaginal' ELSE 'cesarean' END, (began, o_orderkey)) FILTER (p IN (2, 3, 4)) AS mode, arg_max(CASE WHEN p = 5 THEN 'domicile' ELSE 'maternite' END, (began, o_orderkey)) FILTER (p IN (1, 2, 5)) AS place,
  CAST(arg_max(CASE WHEN p = 2 THEN (2 + m % 3) * 1000 + 500 ELSE 2000 + 10 * (m % 100) END, (began, o_orderkey)) AS DOUBLE) AS birthWeight, CAST(arg_max(CASE WHEN p = 5 THEN 34 ELSE 38 END, (began, o_orderkey)) AS DOUBLE) AS gaAtBirth FROM o WHERE st = 'F' GROUP BY 1),
 hv AS (SELECT DISTINCT o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
@@ -256,7 +256,7 @@ def _counts_sql(metric: str, panel: str, value: str, domain) -> str:
 
 _PANELS = [_histogram_sql(m, p, *panels.ag.BINS[m]) for m, p in (("systolic", "bp"), ("diastolic", "bp"), ("birthWeight", "delivery"), ("gaAtBirth", "delivery"))] + [
     _counts_sql("firstVisit", "anc", "CASE WHEN firstGa <= 13 THEN 't1' WHEN firstGa <= 27 THEN 't2' WHEN firstGa IS NOT NULL THEN 't3' END", ("t1", "t2", "t3")),
-    _counts_sql("visitCounts", "anc", "CAST(least(nullif(n_visits, 0), 9) AS VARCHAR)", "123456789"), _counts_sql("mode", "delivery", "mode", ("vaginal", "cesarean")), _counts_sql("place", "delivery", "place", panels.PLACES),
+    _counts_sql("visitCounts", "anc", "CASE WHEN n_visits > 0 THEN CAST(least(n_visits, 9) AS VARCHAR) END", "123456789"), _counts_sql("mode", "delivery", "mode", ("vaginal", "cesarean")), _counts_sql("place", "delivery", "place", panels.PLACES),
     _counts_sql("preterm", "delivery", "CASE WHEN gaAtBirth < 37 THEN 'preterm' WHEN gaAtBirth IS NOT NULL THEN 'term' END", ("preterm", "term")),
     _counts_sql("hiv", "tests", "coalesce(hiv, 'notRecorded')", ("pos", "neg", "notRecorded", "noPage")),
     *[f"SELECT 'completeness', 'recorded', '{name}', NULL, NULL, CASE WHEN c BETWEEN 1 AND 4 THEN NULL ELSE c END, total FROM (SELECT count_if({cond}) AS c, count(*) AS total FROM w)"
