@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, slug, tokens
+from .lifecycle import TO_REVIEW
 
 OTHER_SECTION = "Autres champs lus"
 UNKNOWN_PAGE = "unknown"
 LEAST_LABELS = 3
+EMPTY = ["NOT_PROVIDED", "NOT_APPLICABLE"]
 FINAL_KEYS = ["record_id", "page_idx", "ordinal", "key", "label", "kind", "section", "value", "status", "origin"]
 
 
@@ -84,12 +86,23 @@ def matched_to_form(fields: DataFrame, forms: DataFrame) -> DataFrame:
 
 
 def section_counts(fields: DataFrame) -> DataFrame:
-    """record_id, section, known, review, edited, empty, total: each field counts once, the first that fits."""
-    state = F.when(F.col("status").isin("NEEDS_REVIEW", "UNKNOWN", "ILLEGIBLE"), "review").when(F.col("origin").isin("CORRECTED", "MANUAL"), "edited").when(F.col("status") == "KNOWN", "known").otherwise("empty")
+    """record_id, section, known, review, edited, empty, total: each field counts once, the first that fits of review, empty, edited, known."""
+    state = F.when(F.col("status").isin(*TO_REVIEW), "review").when(F.col("status").isin(*EMPTY), "empty").when(F.col("origin").isin("CORRECTED", "MANUAL"), "edited").otherwise("known")
     count = lambda s: F.count_if(F.col("s") == s).alias(s)
     return fields.withColumn("s", state).groupBy("record_id", "section").agg(count("known"), count("review"), count("edited"), count("empty"), F.count("*").alias("total"))
 
 
+def reading_quality(fields: DataFrame) -> DataFrame:
+    """pages_read, auto_read_percent, human_checked: how many pages gave fields, which share of what is written was read without help, how many fields a person looked at.
+
+    fields: record_id, page_idx, status, origin. The share is rounded half up, null if nothing is written.
+    """
+    written = F.coalesce(~F.col("status").isin(*EMPTY), F.lit(True))
+    auto = F.count_if((F.col("origin") == "AI") & (F.col("status") == "KNOWN"))
+    share = F.floor(F.try_divide(100 * auto, F.count_if(written)) + 0.5).cast("int")
+    return fields.agg(F.count_distinct("record_id", "page_idx").alias("pages_read"), share.alias("auto_read_percent"), F.count_if(~F.col("origin").eqNullSafe("AI")).alias("human_checked"))
+
+
 def grid_cells(fields: DataFrame) -> DataFrame:
     """page_id, row, col, value of the rows that form grids: two columns or more, and the same columns as another row."""
     cut = F.split("label", r"\|", 2)

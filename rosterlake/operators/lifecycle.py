@@ -22,6 +22,8 @@ TRANSITIONS = {
     "SYNC_FAILED": ["SYNCED", "SAVED"],
     "SYNCED": [],
 }
+# Statuses that ask for a look; what is unknown on paper is settled.
+TO_REVIEW = ["NEEDS_REVIEW", "ILLEGIBLE"]
 # States that wait for the network.
 WAITING = ["CAPTURED", "PENDING_AI", "SAVED", "SYNC_FAILED"]
 
@@ -51,7 +53,7 @@ def validation_blockers(pages: DataFrame, fields: DataFrame) -> DataFrame:
     pages: record_id, fields_read (boolean); fields: record_id, status.
     """
     unread = pages.groupBy("record_id").agg(F.count_if(~F.col("fields_read")).alias("unread_pages"))
-    open_fields = fields.groupBy("record_id").agg(F.count_if(F.col("status").isin("NEEDS_REVIEW", "UNKNOWN", "ILLEGIBLE")).alias("open_fields"))
+    open_fields = fields.groupBy("record_id").agg(F.count_if(F.col("status").isin(*TO_REVIEW)).alias("open_fields"))
     both = unread.join(open_fields, "record_id", "full")
     return both.select("record_id", F.coalesce("unread_pages", F.lit(0)).alias("unread_pages"), F.coalesce("open_fields", F.lit(0)).alias("open_fields")).where("unread_pages > 0 or open_fields > 0")
 

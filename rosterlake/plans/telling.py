@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import display as dp
 from ..functions import reading as rd
+from ..operators import forms as fm
 from ..operators import layout as ly
 from ..operators import lifecycle as lc
 from ..operators import messages as ms
@@ -196,3 +197,30 @@ def fields_added(spark, sf_dir):
     users = events.select(F.col("user_id").alias("record_id"), F.lit(0).alias("page_idx")).distinct()
     there = users.where("record_id % 2 = 0").withColumn("key", F.lit("poids")).union(users.where("record_id % 3 = 0").withColumn("key", F.lit("groupe_sanguin_")))
     return lc.added_fields(requests, there)
+
+
+@query("""
+WITH f AS (SELECT l_orderkey AS record_id, ['Suivi', '', 'Examens'][l_suppkey % 3 + 1] AS section, ['KNOWN', 'NEEDS_REVIEW', 'NOT_PROVIDED', 'UNKNOWN', 'ILLEGIBLE', 'KNOWN'][l_partkey % 6 + 1] AS status, l_partkey % 4 IN (1, 2) AS edited FROM lineitem),
+s AS (SELECT *, CASE WHEN status IN ('NEEDS_REVIEW', 'ILLEGIBLE') THEN 'review' WHEN status = 'NOT_PROVIDED' THEN 'empty' WHEN edited THEN 'edited' ELSE 'known' END AS s FROM f)
+SELECT record_id, section, count_if(s = 'known') AS known, count_if(s = 'review') AS review, count_if(s = 'edited') AS edited, count_if(s = 'empty') AS empty, count(*) AS total FROM s GROUP BY ALL""")
+def sections_counted(spark, sf_dir):
+    """Fields of each record's sections by what became of them."""
+    return fm.section_counts(_fields(spark, sf_dir))
+
+
+@query("""
+WITH f AS (SELECT l_orderkey, l_linestatus, ['KNOWN', 'NEEDS_REVIEW', 'NOT_PROVIDED', 'UNKNOWN', 'ILLEGIBLE', 'KNOWN'][l_partkey % 6 + 1] AS status, l_partkey % 4 IN (0, 3) AS ai FROM lineitem)
+SELECT count(DISTINCT (l_orderkey, l_linestatus)) AS pages_read, CAST(floor(100.0 * count_if(ai AND status = 'KNOWN') / count_if(status <> 'NOT_PROVIDED') + 0.5) AS INT) AS auto_read_percent, count_if(NOT ai) AS human_checked FROM f""")
+def reading_quality(spark, sf_dir):
+    """How well pages are read without help."""
+    return fm.reading_quality(_fields(spark, sf_dir))
+
+
+@query("""
+WITH f AS (SELECT l_orderkey AS record_id, ['KNOWN', 'NEEDS_REVIEW', 'NOT_PROVIDED', 'UNKNOWN', 'ILLEGIBLE', 'KNOWN'][l_partkey % 6 + 1] AS status FROM lineitem),
+o AS (SELECT record_id, count_if(status IN ('NEEDS_REVIEW', 'ILLEGIBLE')) AS open_fields FROM f GROUP BY 1)
+SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS unread_pages, coalesce(open_fields, 0) AS open_fields FROM orders LEFT JOIN o ON record_id = o_orderkey WHERE o_orderkey % 5 = 0 OR open_fields > 0""")
+def records_blocked(spark, sf_dir):
+    """Records that may not be validated yet: pages without a reading, fields that ask for a look."""
+    pages = _pages(spark, sf_dir).select("record_id", F.col("error").isNull().alias("fields_read"))
+    return lc.validation_blockers(pages, _fields(spark, sf_dir))

@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+from rosterlake.operators import forms as fm
+from rosterlake.operators import lifecycle as lc
 from rosterlake.operators import messages as ms
 
 FIELDS = "record_id string, page_idx int, ordinal int, key string, label string, kind string, section string, value string, status string, origin string, reason string, alert string"
@@ -74,3 +76,18 @@ def test_alerts_in_words(spark):
     got = df.select("k", ms.alert_text(F.col("code"), F.col("params")).alias("fr"), ms.alert_text(F.col("code"), F.col("params"), "en").alias("en")).orderBy("k").collect()
     for r, (_, _, fr, en) in zip(got, CASES, strict=True):
         assert (r["fr"], r["en"]) == (fr and fr + " : à vérifier sur le papier.", en and en + " — check on the paper.")
+
+
+def test_what_counts_as_open(spark):
+    """What is unknown on paper is settled; an empty box stays empty even if a person wrote so."""
+    rows = [("KNOWN", "AI"), ("KNOWN", "CORRECTED"), ("UNKNOWN", "AI"), ("UNKNOWN", "MANUAL"), ("NOT_PROVIDED", "CORRECTED"), ("NOT_APPLICABLE", "AI"), ("NEEDS_REVIEW", "MANUAL"), ("ILLEGIBLE", "AI")]
+    fields = spark.createDataFrame([("r", 0, "s", *x) for x in rows], "record_id string, page_idx int, section string, status string, origin string")
+    got = fm.section_counts(fields).first()
+    assert (got["known"], got["review"], got["edited"], got["empty"], got["total"]) == (2, 2, 2, 2, 8)
+    quality = fm.reading_quality(fields).first()
+    assert (quality["pages_read"], quality["auto_read_percent"], quality["human_checked"]) == (1, 17, 4)
+    assert tuple(fm.reading_quality(fields.limit(0)).first()) == (0, None, 0)
+    pages = spark.createDataFrame([("r", True), ("u", False), ("v", True)], "record_id string, fields_read boolean")
+    blocked = {tuple(r) for r in lc.validation_blockers(pages, fields).collect()}
+    assert blocked == {("r", 0, 2), ("u", 1, 0)}
+    assert lc.validation_blockers(pages.where("fields_read"), fields.where("status = 'UNKNOWN'")).count() == 0
