@@ -285,3 +285,52 @@ def verified(docs: DataFrame, key: str = "doc_id", group: str = "source", fields
         lowered = F.translate(F.col(f"`{text}`"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
         other = F.when(tampered, leaf(*[lowered if k == text else F.col(f"`{k}`") for k in fields]))
     return proofs(build(docs, key, group, fields, offered=other), key)
+
+
+def _oracle(arity: int = ARITY, levels: int = 6, tops: int = 4) -> str:
+    """The query's rows in SQL, for groups of arity**levels rows and arity**tops groups: each level's nodes, their runs, and every row's way up."""
+    part = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    plain, lowered = (f"sha256({' || '.join([*(part(c) for c in FIELDS[:-1]), part(text)])})" for text in ("text", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))
+    out = [
+        f"d AS (SELECT row_number() OVER () AS rid, doc_id, source, {plain} AS leaf, {lowered} AS lowered FROM documents)",
+        "g AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM d))",
+        "l AS (SELECT d.*, g.tree, row_number() OVER (PARTITION BY g.tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)",
+        "a0 AS (SELECT tree, idx, leaf AS h FROM l)",
+    ]
+
+    def tree(name: str, n: int) -> None:
+        for k in range(n):
+            out.append(f"{name}r{k} AS (SELECT tree, idx // {arity} AS idx, list(h ORDER BY idx) AS hs FROM {name}{k} WHERE tree IN (SELECT tree FROM {name}{k} GROUP BY tree HAVING count(*) > 1) GROUP BY 1, 2)")
+            out.append(f"{name}{k + 1} AS (SELECT tree, idx, sha256(array_to_string(hs, '')) AS h FROM {name}r{k})")
+
+    tree("a", levels)
+    # a tree's root is the one node of its highest level
+    out.append("roots AS (SELECT tree, arg_max(h, k) AS h FROM (" + " UNION ALL ".join(f"SELECT tree, h, {k} AS k FROM a{k}" for k in range(levels + 1)) + ") GROUP BY tree)")
+    out.append("b0 AS (SELECT 0 AS tree, tree AS idx, h FROM roots)")
+    tree("b", tops)
+    out.append("root AS (SELECT arg_max(h, k) AS root FROM (" + " UNION ALL ".join(f"SELECT h, {k} AS k FROM b{k}" for k in range(tops + 1)) + "))")
+    # the way up: siblings so far, and what the row offers folded so far
+    crc = f"list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT))), lambda c, x: {_crc_step()})"
+    out.append(f"w0 AS (SELECT rid, doc_id, tree, idx, leaf, '' AS siblings, CASE WHEN doc_id IS NOT NULL AND xor({crc}, 4294967295) % 5 = 0 THEN lowered ELSE leaf END AS folded FROM l)")
+    step, last = 0, "w0"
+    for name, n in (("a", levels), ("b", tops)):
+        for k in range(n):
+            at, run = ("w.tree", "w.idx") if name == "a" else ("0", "w.tree")
+            place = f"({run} // {arity**k}) % {arity}"
+            folded = f"sha256(array_to_string(list_concat(list_append(r.hs[1 : CAST({place} AS BIGINT)], w.folded), r.hs[CAST({place} AS BIGINT) + 2 :]), ''))"
+            siblings = f"w.siblings || array_to_string(list_concat(r.hs[1 : CAST({place} AS BIGINT)], r.hs[CAST({place} AS BIGINT) + 2 :]), '')"
+            step += 1
+            out.append(f"w{step} AS (SELECT w.rid, w.doc_id, w.tree, w.idx, w.leaf, CASE WHEN r.hs IS NULL THEN w.siblings ELSE {siblings} END AS siblings, CASE WHEN r.hs IS NULL THEN w.folded ELSE {folded} END AS folded FROM {last} w LEFT JOIN {name}r{k} r ON r.tree = {at} AND r.idx = {run} // {arity ** (k + 1)})")
+            last = f"w{step}"
+    return "WITH " + ",\n".join(out) + f"\nSELECT doc_id, leaf, roots.h AS subroot, root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM {last} JOIN roots USING (tree), root"
+
+
+def _crc_step() -> str:
+    """One byte of a CRC-32 (reflected polynomial 0xEDB88320), bit by bit."""
+    out = "xor(c, x)"
+    for _ in range(8):
+        out = f"list_transform([{out}], lambda v: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)[1]"
+    return out
+
+
+ORACLE = _oracle()

@@ -64,4 +64,4 @@ def op13_best_fit_packing(spark, sf_dir):
 
 _ALL = (op1_ngram_join, op2_quality_rank, op3_lang_ppm, op4_host_rules, op5_pii_surrogate, op6_decontaminate, op7_block_dedup, op8_mixing, op9_suffix_dedup, op10_license_digest, op11_hard_negatives, op12_merkle_manifest, op13_best_fit_packing)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL = {"op4_host_rules": host_rules.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op10_license_digest": license_digest.ORACLE}
+ORACLE_SQL = {"op4_host_rules": host_rules.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op10_license_digest": license_digest.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op12_merkle_manifest": merkle_manifest.ORACLE}
