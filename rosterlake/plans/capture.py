@@ -39,12 +39,12 @@ m AS (
   CASE WHEN t IN ('?', '-') THEN ['integer', 'date', 'text'] ELSE list_filter(['integer', 'date', 'text'], lambda k: CASE k WHEN 'integer' THEN regexp_full_match(t, '\\d{{1,5}}( ans)?') WHEN 'date' THEN t = '3/4/2024' ELSE true END) END AS fits FROM e),
 r AS (
  SELECT DISTINCT u, 0 AS i, CAST(NULL AS BIGINT) AS tm, 'idle' AS st, 0 AS rec, CAST([] AS STRUCT(idx INT, err BOOLEAN, k VARCHAR[], d BIGINT[], code VARCHAR)[]) AS pg, 0 AS cur, 0 AS edit, CAST(NULL AS VARCHAR) AS lab, 0 AS cand,
-  CAST(NULL AS BIGINT) AS message_id, CAST(NULL AS VARCHAR) AS from_state, CAST(NULL AS VARCHAR) AS action, 0 AS page, 0 AS n_pages, CAST(NULL AS VARCHAR) AS command FROM e
+  CAST(NULL AS BIGINT) AS message_id, CAST(NULL AS VARCHAR) AS from_state, CAST(NULL AS VARCHAR) AS action, 0 AS page, 0 AS n_pages, 0 AS open_fields, CAST(NULL AS VARCHAR) AS command FROM e
  UNION ALL
  SELECT u, CAST(mi AS INT), mat, to_st, CASE WHEN act = 'page_saved' AND new_idx = 0 THEN rec + 1 ELSE rec END,
   CASE WHEN to_st = 'idle' THEN [] ELSE pg3 END, CASE WHEN to_st = 'idle' THEN 0 ELSE cur2 + CASE WHEN act = 'page_confirmed' THEN 1 ELSE 0 END END, CASE WHEN to_st = 'idle' THEN 0 WHEN act = 'value_wanted' THEN c ELSE edit0 END,
   CASE WHEN act = 'added_value_wanted' THEN t ELSE lab END, CASE WHEN act IN ('validated', 'dropped_and_validated') THEN least(cand_now, 8) ELSE cand END,
-  n, st0, act, CASE WHEN len(pg3) > 0 AND st0 NOT IN ('idle', 'collecting') THEN cur2 + CASE WHEN act = 'page_confirmed' THEN 2 ELSE 1 END ELSE 0 END, CAST(len(pg3) AS INT),
+  n, st0, act, CASE WHEN len(pg3) > 0 AND st0 NOT IN ('idle', 'collecting') THEN cur2 + CASE WHEN act = 'page_confirmed' THEN 2 ELSE 1 END ELSE 0 END, CAST(len(pg3) AS INT), CASE WHEN len(pg3) > 0 AND st0 NOT IN ('idle', 'collecting') THEN CAST(len(pg3[cur2 + CASE WHEN act = 'page_confirmed' THEN 2 ELSE 1 END].d) AS INT) ELSE 0 END,
   CASE WHEN act = 'page_saved' THEN CASE WHEN new_idx = 0 THEN 'create_record' ELSE 'add_page ' || new_idx END WHEN act = 'page_replaced' THEN 'replace_page ' || p.idx
    WHEN act = 'code_set' THEN 'set_code ' || CASE WHEN sug IS NOT NULL AND c = 1 THEN sug ELSE t END WHEN act = 'page_dropped' THEN 'drop_page ' || p.idx WHEN act = 'dropped_and_validated' THEN 'drop_page ' || p.idx || '; validate'
    WHEN act = 'value_set' THEN 'set_field ' || p.idx || ' ' || edit0 WHEN act = 'field_added' THEN 'add_field ' || p.idx
@@ -65,7 +65,7 @@ r AS (
     WHEN t = '/aide' THEN 'helped' WHEN t = '/status' THEN 'status' WHEN t IN ('annuler', 'stop') THEN CASE WHEN st0 = 'idle' THEN 'nothing_to_cancel' ELSE 'cancelled' END WHEN t[1] = '/' THEN 'unknown_command'
     WHEN st0 = 'idle' THEN 'greeted' WHEN st0 = 'collecting' THEN CASE WHEN t = 'terminé' THEN 'collected' ELSE 'more_wanted' END
     WHEN st0 = 'ask_code' THEN CASE WHEN (sug IS NOT NULL AND c = 1) OR regexp_full_match(t, '[A-Za-z0-9][A-Za-z0-9 \\-_/]{{0,19}}') THEN 'code_set' ELSE 'bad_code' END
-    WHEN st0 = 'review' AND failed THEN CASE WHEN c = 4 THEN 'photo_wanted' WHEN c = 5 AND len(pg0) > 1 THEN CASE WHEN cur0 = len(pg0) - 1 THEN 'dropped_and_validated' ELSE 'page_dropped' END ELSE 'bad_choice' END
+    WHEN st0 = 'review' AND failed THEN CASE WHEN c = 4 THEN 'photo_wanted' WHEN c = 5 AND len(pg0) > 1 THEN CASE WHEN NOT p.err THEN 'drop_refused' WHEN cur0 = len(pg0) - 1 THEN 'dropped_and_validated' ELSE 'page_dropped' END ELSE 'bad_choice' END
     WHEN st0 = 'review' THEN CASE c WHEN 1 THEN CASE WHEN len(p.d) > 0 THEN 'doubts_shown' WHEN cur0 + 1 < len(pg0) THEN 'page_confirmed' ELSE 'validated' END WHEN 2 THEN 'fields_shown' WHEN 3 THEN 'values_shown' WHEN 4 THEN 'photo_wanted' WHEN 5 THEN 'label_wanted' ELSE 'bad_choice' END
     WHEN st0 = 'confirm_uncertain' THEN CASE WHEN c = 1 THEN CASE WHEN cur0 + 1 < len(pg0) THEN 'page_confirmed' ELSE 'validated' END WHEN c = 2 THEN 'fields_shown' ELSE 'bad_choice' END
     WHEN st0 = 'choose_field' THEN CASE WHEN t = 'retour' THEN 'back' WHEN t = 'tout' THEN 'fields_shown' WHEN c BETWEEN 1 AND len(p.k) THEN 'value_wanted' ELSE 'bad_field' END
@@ -80,7 +80,7 @@ r AS (
      SELECT *, CASE WHEN stale THEN 'idle' ELSE st END AS st0, CASE WHEN stale THEN [] ELSE pg END AS pg0, CASE WHEN stale THEN 0 ELSE cur END AS cur0, CASE WHEN stale THEN 0 ELSE edit END AS edit0
      FROM (SELECT r.*, m.*, coalesce(mat - tm > 7200000000, false) AS stale FROM r JOIN m ON mu = u AND mi = i + 1)))))
 ),
-steps AS (SELECT CAST(u AS VARCHAR) AS "user", message_id, from_state, action, st AS to_state, rec AS record_no, CAST(page AS INT) AS page, n_pages, command FROM r WHERE i > 0)
+steps AS (SELECT CAST(u AS VARCHAR) AS "user", message_id, from_state, action, st AS to_state, rec AS record_no, CAST(page AS INT) AS page, n_pages, open_fields, command FROM r WHERE i > 0)
 """
 
 
@@ -104,6 +104,17 @@ def chat_records(spark, sf_dir):
     return chat.records_of(chat.log(messages(spark, sf_dir)))
 
 
+@query(_STEPS + """
+, c AS (SELECT unnest(string_split(command, '; ')) AS c, action FROM steps WHERE command IS NOT NULL),
+v AS (SELECT CASE WHEN c = 'create_record' THEN 'create' WHEN c LIKE 'set_field%' OR c LIKE 'confirm%' THEN 'review' ELSE split_part(c, ' ', 1) END AS verb FROM c WHERE c NOT LIKE 'add_field%'
+ UNION ALL SELECT CASE WHEN message_id % 7 = 0 THEN 'failed' ELSE 'read' END FROM steps WHERE action IN ('page_saved', 'page_replaced'))
+SELECT verb, 'done' AS verdict, count(*) AS n FROM v GROUP BY verb""")
+def capture_flow(spark, sf_dir):
+    """Conversations to commands to the record store: it carries out all that conversations ask for."""
+    said = messages(spark, sf_dir)
+    return commands.replayed(chat.commands_of(chat.log(said), said)).groupBy("verb", "verdict").agg(F.count("*").alias("n"))
+
+
 _VERBS = ["create", "read", "read", "set_code", "validate", "link", "add_page", "failed", "retry", "replace_page", "drop_page", "review", "create", "read", "read", "validate", "link"]
 
 

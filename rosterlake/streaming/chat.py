@@ -35,7 +35,7 @@ LEADS_TO = {
     "field_added": "review", "field_refused": "review", "back": "review", "validated": "link", "dropped_and_validated": "link", "linked": "idle",
 }
 
-LOG = "user string, message_id bigint, from_state string, action string, to_state string, record_no int, page int, n_pages int, command string"
+LOG = "user string, message_id bigint, from_state string, action string, to_state string, record_no int, page int, n_pages int, open_fields int, command string"
 
 
 def features(messages: DataFrame, arabic: bool = True) -> DataFrame:
@@ -98,7 +98,8 @@ def confirmed(s: Session) -> str:
 def in_review(s: Session, m: dict) -> str:
     if s.failed:
         last = s.current == len(s.pages) - 1
-        may = {4: "photo_wanted"} | ({5: "dropped_and_validated" if last else "page_dropped"} if len(s.pages) > 1 else {})
+        drop = "drop_refused" if not s.page["error"] else "dropped_and_validated" if last else "page_dropped"  # the store keeps pages that were read, empty ones too
+        may = {4: "photo_wanted"} | ({5: drop} if len(s.pages) > 1 else {})
     else:
         may = {1: "doubts_shown" if s.page["doubtful"] else confirmed(s), 2: "fields_shown", 3: "values_shown", 4: "photo_wanted", 5: "label_wanted"}
     return may.get(m["choice"], "bad_choice")
@@ -192,7 +193,8 @@ def step(s: Session, m: dict) -> tuple:
     if act in ("validated", "dropped_and_validated"):
         command = "; ".join(filter(None, [command, "validate"]))
         s.candidates = min(m["n_candidates"], MOST_CANDIDATES)
-    shown = s.current + 1 if s.pages and before not in ("idle", "collecting") else 0, len(s.pages)
+    seen = bool(s.pages) and before not in ("idle", "collecting")
+    shown = s.current + 1 if seen else 0, len(s.pages), len(s.page["doubtful"]) if seen else 0
     s.state = LEADS_TO.get(act, s.state)
     row = m["user"], m["message_id"], before, act, s.state, s.record_no, *shown, command
     if s.state == "idle":
@@ -216,3 +218,22 @@ def records_of(steps: DataFrame) -> DataFrame:
     rows = steps.where("record_no > 0").where(~((F.col("from_state") == "idle") & (F.col("to_state") == "idle")))
     made = F.count_if(F.col("command").startswith("create_record") | F.col("command").startswith("add_page"))
     return rows.groupBy("user", "record_no").agg(F.count("*").alias("n_messages"), made.alias("n_pages"), F.count("command").alias("n_commands"), F.coalesce(ended, F.lit("open")).alias("outcome"))
+
+
+def commands_of(steps: DataFrame, messages: DataFrame) -> DataFrame:
+    """What conversations ask of the record store, as commands.replayed() takes it: record_id, command_id, verb, page_idx, arg.
+
+    steps: log(messages). A photo is followed by its reading. A message gives
+    four commands at most, numbered behind its own number times ten.
+    """
+    rows = steps.where("command is not null").select("user", "message_id", "record_no", "action", "open_fields", F.posexplode(F.split("command", "; ")).alias("k", "c"))
+    word = lambda i: F.get(F.split("c", " "), i)
+    verb = F.when(word(0) == "create_record", "create").when(word(0).isin("set_field", "confirm_fields"), "review").otherwise(word(0))
+    index = F.when(word(0).isin("replace_page", "drop_page", "set_field", "confirm_fields"), word(1).try_cast("int"))
+    arg = F.when(word(0) == "create_record", "1").when(word(0) == "set_code", F.expr("substring(c, 10)")).when(word(0) == "link", word(1)).when(word(0) == "set_field", F.col("open_fields").cast("string")).when(word(0) == "confirm_fields", "0")
+    asked = rows.select("user", "record_no", "message_id", "k", verb.alias("verb"), index.alias("page_idx"), arg.alias("arg")).where("verb <> 'add_field'")
+    photos = messages.where("kind = 'image'").select(F.col("user").cast("string").alias("user"), "message_id", F.coalesce("error", F.lit(False)).alias("error"), F.size(F.coalesce("doubtful", F.array().cast("array<int>"))).alias("open"))
+    place = F.when(word(0) == "create_record", 0).when(word(0).isin("add_page", "replace_page"), word(1).try_cast("int"))
+    taken = rows.where(F.col("action").isin("page_saved", "page_replaced")).select("user", "record_no", "message_id", place.alias("page_idx")).join(photos, ["user", "message_id"])
+    read = taken.select("user", "record_no", "message_id", F.lit(9).alias("k"), F.when(F.col("error"), "failed").otherwise("read").alias("verb"), "page_idx", F.when(F.col("error"), "unreadable").otherwise(F.col("open").cast("string")).alias("arg"))
+    return asked.union(read).select(F.concat_ws("/", "user", "record_no").alias("record_id"), (F.col("message_id") * 10 + F.col("k")).alias("command_id"), "verb", "page_idx", "arg")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.functions import display as dp
 from rosterlake.streaming import chat
+from rosterlake.streaming import commands as cm
 
 SCHEMA = "user string, message_id long, at string, kind string, text string, error boolean, kinds array<string>, doubtful array<int>, code string, n_candidates int"
 
@@ -37,6 +38,7 @@ TALKS = {
     "doubt": ([DOUBT, "fin", "PAT_1", "2", "2", "?", "1"], 0),
     "pages": ([GOOD, BROKEN, EMPTY, "ok", "P1", "1", "1", "4", "0", "texte", GOOD, "4", "retour", "1", "4", "retour", "5"], 0),
     "only": ([BROKEN, "ok", "P1", "5"], 0),
+    "last": ([GOOD, BROKEN, "ok", "P1", "1", "5"], 0),
     "dropped": ([BROKEN, GOOD, "ok", "P1", "5", "1"], 0),
     "words": ([GOOD, "/aide", "/STATUS", "/x", "Annuler", "stop", GOOD], 0),
     "many": ([GOOD] * 11 + ["ok", GOOD, "P1", GOOD], 0),
@@ -76,8 +78,9 @@ def test_no_personal_data_is_added(got):
 
 
 def test_pages_that_could_not_be_read(got):
-    assert [x[0] for x in got["pages"][5:]] == ["page_confirmed", "bad_choice", "photo_wanted", "photo_awaited", "photo_awaited", "page_replaced", "photo_wanted", "back", "page_confirmed", "photo_wanted", "back", "dropped_and_validated"]
-    assert [x[2] for x in got["pages"] if x[2]][-2:] == ["replace_page 1", "drop_page 2; validate"]
+    assert [x[0] for x in got["pages"][5:]] == ["page_confirmed", "bad_choice", "photo_wanted", "photo_awaited", "photo_awaited", "page_replaced", "photo_wanted", "back", "page_confirmed", "photo_wanted", "back", "drop_refused"]  # a page that was read stays, even without fields
+    assert [x[2] for x in got["pages"] if x[2]][-1] == "replace_page 1"
+    assert got["last"][-1] == ("dropped_and_validated", "link", "drop_page 1; validate")
     assert got["only"][-1][0] == "bad_choice"  # the only page stays
     assert [x[0] for x in got["dropped"][-2:]] == ["page_dropped", "validated"]
 
@@ -88,6 +91,17 @@ def test_sessions_end(got):
     assert [x[0] for x in got["many"]][-5:] == ["too_many_pages", "collected", "code_first", "code_set", "busy"]
 
 
+def test_the_store_does_what_conversations_ask(spark):
+    """Every command of every conversation is carried out, and linked conversations end in linked records."""
+    rows = table(spark, [r for user, (texts, n) in TALKS.items() for r in said(texts, user, candidates=n)])
+    steps = chat.log(rows, arabic=False)
+    done = cm.replayed(chat.commands_of(steps, rows)).collect()
+    assert {r["verdict"] for r in done} == {"done"}
+    ends = {r["record_id"]: r["state"] for r in sorted(done, key=lambda r: r["command_id"])}
+    assert ends["whole/1"] == "SYNCED" and ends["doubt/1"] == "VALIDATED" and ends["list 1/1"] == "SUSPECTED_DUPLICATE" and ends["only/1"] == "PROCESSING_FAILED"
+    assert chat.commands_of(steps.limit(0), rows).count() == 0
+
+
 def test_odd_messages(spark):
     rows = said([None, "", "  ", GOOD, "", None]) + [(None, 1, "2026-01-01 10:00:00", "text", "ok", None, None, None, None, None), ("v", 1, None, "text", "ok", None, None, None, None, None)]
     got = chat.log(table(spark, [r for r in rows if r[2] is not None]), arabic=False)
