@@ -353,6 +353,30 @@ def test_quality(spark):
     assert quality_rank.classify(df.limit(0), lab).count() == 0
 
 
+def test_quality_over_all_pairs(spark):
+    """The weights are a minimum of the loss over every pair, the threshold a quantile of every labelled row."""
+    import numpy as np
+
+    r = random.Random(4)
+    text = lambda k: " ".join(r.choice(["the", "old", "River", "a!", "B%%", "zz"][k : k + 5]) for _ in range(r.randint(3, 30)))
+    rows = [(i, text(r.random() < 0.35 + 0.3 * (i % 3 > 0))) for i in range(600)]
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(600)] + [(7, 1), (7, 1)], "doc_id long, quality int")
+    train = quality_rank.labelled(df, lab)
+    assert train.count() == lab.where(~quality_rank.held_out()).count()
+    weights, shift = quality_rank.fit(train)
+    got = train.toPandas()
+    x, y = np.array([np.frombuffer(v, np.float32) for v in got["x"]]).astype(float), got["quality"].to_numpy()
+    raw, scale = x @ weights, x.std(0) + 1e-3
+    z = (x - x.mean(0)) / scale
+    p = 1 / (1 + np.exp(raw[y == 1][:, None] - raw[y == 0][None, :]))
+    grad = (p.sum(0) @ z[y == 0] - p.sum(1) @ z[y == 1]) / p.size + quality_rank.RIDGE * weights * scale
+    assert 0.05 < p.mean() < 0.6 and np.abs(grad).max() < 5e-4
+    k, ordered_raw = (y == 0).sum(), np.sort(raw)
+    assert abs(np.log(0.7 / 0.3) - shift - ordered_raw[k - 1 : k + 1].mean()) < 1e-9
+    values = spark.createDataFrame([(v,) for v in [1.0, 1.0, 5.0, -3.0, 1e9, 1.0, 2.0]], "raw double")
+    assert [quality_rank.ranked(values, k) for k in range(1, 8)] == [-3.0, 1.0, 1.0, 1.0, 2.0, 5.0, 1e9]
+
+
 def test_language(spark):
     r = random.Random(3)
     say = {"en": ["the", "house", "which", "was", "there"], "de": ["das", "schöne", "haus", "über", "nicht"], "fr": ["la", "maison", "était", "qui", "où"]}
