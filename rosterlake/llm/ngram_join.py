@@ -64,8 +64,10 @@ PERCENT = 85
 #: Sets, and shingles, of a block.
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
-#: Shingles multiplied at once.
+#: Shingles multiplied at once, bytes of text looked at once (a document is never split), and counts of sketches compared at once.
 SLAB = 4096
+PIECE = 1 << 18
+COMPARED = 1 << 20
 #: Sizes of a class differ by this factor at most.
 CLASS_RATIO = 1.5
 KEY_BITS = 56
@@ -91,7 +93,7 @@ class Shingles:
 
     def sets(self, text: pa.Array):
         """(row, sorted distinct shingle hashes) of each text."""
-        for row, rows, data, off in tx.pieces(text):
+        for row, rows, data, off in tx.pieces(text, PIECE):
             data = tx.LOWER[data]
             s, e, woff = tx.words(data, off, tx.BLANK_WORDS)
             h = self.of_bytes.span(self.of_bytes.prefix(self.values[data]), s, e)
@@ -203,7 +205,7 @@ def alike(names: np.ndarray, sizes: np.ndarray, sketches: list[bytes], percent:
     for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
         held = np.frombuffer(b"".join(sketches[i] for i in rows), np.uint8).reshape(len(rows), w)
-        levels[w] = rows, np.stack([held & 15, held >> 4], 2).reshape(len(rows), -1).astype(np.int16)
+        levels[w] = rows, np.stack([held & 15, held >> 4], 2).reshape(len(rows), -1).view(np.int8)
     fold = lambda m: m[..., 0::2] + m[..., 1::2]
     place = np.zeros(len(names), np.int64)
     for rows, _ in levels.values():
@@ -217,9 +219,13 @@ def alike(names: np.ndarray, sizes: np.ndarray, sketches: list[bytes], percent:
             on = ok[rows]
             if not on.any() or max(w, width[i]) > 2 * min(w, width[i]):  # too far apart to compare: nothing is ruled out
                 continue
-            a, b = (fold(held[on]), own) if w > width[i] else (held[on], fold(own) if w < width[i] else own)
-            apart = np.abs(a - b).sum(1)
-            ok[rows[on]] = apart <= (sizes[i] + sizes[rows[on]]) * (100 - percent) // (100 + percent)
+            some = np.flatnonzero(on)
+            step = max(1, COMPARED // held.shape[1])
+            for k in range(0, len(some), step):
+                few = some[k : k + step]
+                a, b = (fold(held[few]), own) if w > width[i] else (held[few], fold(own) if w < width[i] else own)
+                apart = np.abs(a - b).sum(1)
+                ok[rows[few]] = apart <= (sizes[i] + sizes[rows[few]]) * (100 - percent) // (100 + percent)
         return np.flatnonzero(ok)
 
     for root in range(len(names)):
@@ -403,23 +409,32 @@ def parted(percent: int):
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Overlap counts of two blocks, added up slab by slab over the shingles that both have."""
-    lv, rv = np.concatenate(left), np.concatenate(right)
-    lw, rw = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
-    both = np.intersect1d(lv, rv)
+    lv, rv = np.concatenate(left), None if left is right else np.concatenate(right)
+    both = np.unique(lv) if rv is None else np.intersect1d(lv, rv)
     out = np.zeros((len(left), len(right)), np.float32)
     if not len(both):
         return out
-    at, bt = np.minimum(np.searchsorted(both, lv), len(both) - 1), np.minimum(np.searchsorted(both, rv), len(both) - 1)
-    lw, at = lw[m := both[at] == lv], at[m]
-    rw, bt = rw[m := both[bt] == rv], bt[m]
-    lo, ro = np.argsort(at, kind="stable"), np.argsort(bt, kind="stable")
-    lw, at, rw, bt = lw[lo], at[lo], rw[ro], bt[ro]
+
+    def placed(values, sets):
+        """(sets, places in both) of the shingles that are there, by place."""
+        of = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(both, values), len(both) - 1).astype(np.int32)
+        on = both[at] == values
+        of, at = of[on], at[on]
+        order = np.argsort(at, kind="stable")
+        return of[order], at[order]
+
+    lw, at = placed(lv, left)
+    rw, bt = (lw, at) if rv is None else placed(rv, right)
     for k in range(0, len(both), SLAB):
         width = min(SLAB, len(both) - k)
-        a, b = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
         s, t = slice(*np.searchsorted(at, [k, k + width])), slice(*np.searchsorted(bt, [k, k + width]))
+        a = np.zeros((len(left), width), np.float32)
         a[lw[s], at[s] - k] = 1
-        b[rw[t], bt[t] - k] = 1
+        b = a
+        if rv is not None:
+            b = np.zeros((len(right), width), np.float32)
+            b[rw[t], bt[t] - k] = 1
         out += a @ b.T
     return out
 
@@ -686,7 +701,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     on = lambda other: [F.col(f"__{k}") == other[k] for k in ("id", "t1", "t2")]
     stay = settled(every.select("id", "t1", "t2").join(gone, ["id", "t1", "t2"], "left_anti").select("t1"))
     goes, stays = sieve.table_of(gone.select("t1")), sieve.table_of(stay)
-    unsure = sieve.sifted(sieve.sifted(keyed, "__t1", goes), "__t1", stays)
+    unsure = sieve.sifted(keyed, "__t1", goes, stays)
     kept = sieve.sifted(keyed, "__t1", goes, inside=False).union(unsure.join(gone, on(gone), "left_anti"))
     if repeated.isEmpty():
         return kept.select(docs.columns)

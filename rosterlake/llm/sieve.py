@@ -35,13 +35,14 @@ def maybe(key: pa.Array, bits: int, table: np.ndarray) -> np.ndarray:
     return out
 
 
-def sifted(df: DataFrame, key: str, table: Broadcast, inside: bool = True) -> DataFrame:
-    """The rows whose key (not null) may be in the table; or, not inside, those whose key isn't."""
+def sifted(df: DataFrame, key: str, *tables: Broadcast, inside: bool = True) -> DataFrame:
+    """The rows whose key (not null) may be in each of the tables, in one Python step; or, not inside, the others."""
 
     def run(batches):
-        bits, held = table.value
         for batch in batches:
-            on = maybe(batch.column(key), bits, held)
+            on = np.ones(len(batch), bool)
+            for table in tables:
+                on &= maybe(batch.column(key), *table.value)
             yield batch.filter(pa.array(on if inside else ~on))
 
     return df.mapInArrow(run, df.schema)

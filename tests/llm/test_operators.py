@@ -377,6 +377,48 @@ def test_quality_over_all_pairs(spark):
     assert [quality_rank.ranked(values, k) for k in range(1, 8)] == [-3.0, 1.0, 1.0, 1.0, 2.0, 5.0, 1e9]
 
 
+def peak_mb(run):
+    """What numpy and Python hold at most while run goes on; and what it gives."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        out = run()
+        return tracemalloc.get_traced_memory()[1] / 1e6, out
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_the_join():
+    """A batch of texts, a list of sketches and a full block stay small in a task, with the same results."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(0)
+    text = pa.array([" ".join(map(str, r.integers(0, 99999, 300))) for _ in range(1500)])
+    shingles = ngram_join.Shingles(5)
+    most, names = peak_mb(lambda: [ngram_join.set_keys(x) for _, x in shingles.sets(text)])
+    assert most < 30 and names == [ngram_join.set_keys(x) for k in range(0, 1500, 100) for _, x in ngram_join.Shingles(5).sets(text[k : k + 100])]
+    sets = [np.sort(r.integers(0, 1 << 63, 12000).astype(np.uint64) * np.uint64(2)) for _ in range(80)]
+    sketches = [ngram_join.sketch(x) for x in sets]
+    many = 20
+    size, held = np.full(80 * many, 12000), sketches * many
+    most, edges = peak_mb(lambda: ngram_join.alike(np.arange(80 * many), size, held, 80))
+    assert most < 22 and {(a % 80, b % 80) for a, b in edges} == {(k, k) for k in range(80)} and len(edges) == 80 * (many - 1)
+    half = [np.unique(np.r_[x[:6000], sets[0][6000:]]) for x in sets]
+    most, own = peak_mb(lambda: ngram_join.overlaps(half, half))
+    assert most < 60
+    assert (own == ngram_join.overlaps(half, list(half))).all() and own[1, 2] == len(np.intersect1d(half[1], half[2]))
+
+
+def test_sieves_in_one_step(spark):
+    keys = lambda lo, hi: sieve.table_of(spark.range(lo, hi).select(F.xxhash64("id").alias("k")))
+    rows = spark.range(3000).select("id", F.xxhash64("id").alias("k"))
+    got = sieve.sifted(rows, "k", keys(0, 2000), keys(1500, 3000))
+    assert {x["id"] for x in got.collect()} >= set(range(1500, 2000)) and got.count() < 700
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_language(spark):
     r = random.Random(3)
     say = {"en": ["the", "house", "which", "was", "there"], "de": ["das", "schöne", "haus", "über", "nicht"], "fr": ["la", "maison", "était", "qui", "où"]}
