@@ -53,6 +53,17 @@ def test_suffix_dedup(docs):
         suffix_dedup.repeats(docs, window=100)
 
 
+def test_suffix_dedup_goes_by_bytes_not_words(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    own = [" ".join(word() for _ in range(100)) for _ in range(4)]
+    shared = " ".join(word() for _ in range(80))
+    short, long = shared[:399], shared[:400]  # over 60 words; the edges differ, so that no byte beyond them repeats
+    texts = [own[0] + "|" + short + "<", own[1] + "~" + short + ">", own[2] + "|" + long[::-1] + "<", own[3] + "~" + long[::-1] + ">"]
+    got = {x["doc_id"]: (x["n_removed"], x["n_spans"]) for x in suffix_dedup.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: (0, 0), 1: (0, 0), 2: (400, 1), 3: (400, 1)}
+
+
 def test_ngram_join(docs):
     got = ngram_join.join(docs)
     assert ordered(got.collect()) == ordered(brute.joined(corpus(), 4, 85))
