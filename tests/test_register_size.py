@@ -49,3 +49,19 @@ def test_folding_and_days_are_as_before(spark):
     days = spark.createDataFrame([(2024, 2, 29), (2023, 2, 29), (999, 1, 1), (2020, 0, 1), (2020, 13, 1), (2020, None, 1), (None, 1, 1)], "y int, m int, d int")
     got = [r[0] for r in days.select(day_of(F.col("y"), F.col("m"), F.col("d")).cast("string")).collect()]
     assert got == ["2024-02-29", None, "0999-01-01", None, None, None, None]
+
+
+def lines_read(spark, df):
+    return len(re.findall(r"FileScan parquet [^\n]*l_orderkey", df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]))
+
+
+def test_appointments_read_the_lines_once(spark):
+    assert lines_read(spark, register.register_appointments(spark, "/root/testdata/sf0.001")) == 1
+
+
+def test_a_visit_keeps_the_appointment_of_the_one_before(spark):
+    rows = [("p", "2020-01-01", "2020-01-20"), ("p", "2020-01-18", None), ("p", "2020-02-01", "2020-01-25"), ("p", "2020-02-10", "2020-03-01"), ("q", "2020-01-01", "2020-02-01"), (None, "2020-01-01", "2020-02-01")]
+    visits = spark.createDataFrame(rows, "patient_id string, given_on string, appointment string")
+    want = [tuple(r) for r in sr.appointments(visits, visits.select("patient_id", F.col("given_on").alias("seen_on"))).orderBy("patient_id", "given_on").collect()]
+    got = [tuple(r) for r in sr.appointments_of_visits(visits).orderBy("patient_id", "given_on").collect()]
+    assert got == want and [(r[1], str(r[3]), r[5], r[6]) for r in got if r[0] == "p"] == [("2020-01-01", "2020-01-18", "in time", False), ("2020-02-10", "None", None, True)]
