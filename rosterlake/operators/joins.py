@@ -66,10 +66,19 @@ def deletions(code: Column) -> Column:
 
 def within_one_edit(left: DataFrame, right: DataFrame, left_code: str, right_code: str, keys: tuple[str, str]) -> DataFrame:
     """keys..., distance of all pairs whose look-alike codes are at most one edit apart: equal-key join on deletions, then the distance."""
-    one = left.select(F.col(keys[0]), lookalike_code(F.col(left_code)).alias("lc")).where("lc <> ''").withColumn("k", F.explode(deletions(F.col("lc"))))
-    two = right.select(F.col(keys[1]), lookalike_code(F.col(right_code)).alias("rc")).where("rc <> ''").withColumn("k", F.explode(deletions(F.col("rc"))))
-    pairs = one.join(two, "k").where(F.levenshtein("lc", "rc", 1) >= 0).select(*keys, F.levenshtein("lc", "rc").cast("int").alias("distance"))
-    return pairs.distinct()
+    sides = []
+    for rows, code, key in ((left, left_code, keys[0]), (right, right_code, keys[1])):
+        codes = F.array_distinct(F.collect_list(lookalike_code(F.col(code))))
+        sides.append(rows.groupBy(key).agg(codes.alias("c")).select(key, (F.size("c") > 1).alias("m"), F.explode("c").alias("c")).where("c <> ''"))
+    one, two = sides
+    of = lambda rows, name: rows.select(F.col("c").alias(name)).distinct().withColumn("k", F.explode(deletions(F.col(name))))
+    # codes are compared once each, however many rows have them
+    near = of(one, "lc").join(of(two, "rc"), "k").where(F.levenshtein("lc", "rc", 1) >= 0).select("lc", "rc", F.levenshtein("lc", "rc").cast("int").alias("distance")).distinct()
+    a, b = one.select(keys[0], F.col("m").alias("lm"), F.col("c").alias("lc")), two.select(keys[1], F.col("m").alias("rm"), F.col("c").alias("rc"))
+    pairs = lambda x, y: x.join(near, "lc").join(y, "rc").select(*keys, "distance")
+    # only a key with several codes can meet another at one distance twice
+    twice = pairs(a.where("lm"), b).union(pairs(a.where("not lm"), b.where("rm"))).distinct()
+    return pairs(a.where("not lm"), b.where("not rm")).union(twice)
 
 
 def patient_candidates(records: DataFrame, patients: DataFrame) -> DataFrame:
