@@ -28,6 +28,20 @@ def _found(df: DataFrame, key: Column, code, params: dict[str, Column]) -> DataF
     return df.select(*PAGE, key.alias("key"), (code if isinstance(code, Column) else F.lit(code)).alias("code"), F.create_map(*pairs).alias("params")).where("key is not null and code is not null")
 
 
+def _hits(df: DataFrame, rules: list[tuple]) -> DataFrame:
+    """The violations of all rules (condition, key, code, params) of a row in one pass."""
+    hit = lambda cond, key, code, params: F.when(cond & key.isNotNull(), F.struct(key.alias("key"), F.lit(code).alias("code"), F.create_map(*[x for k, c in params.items() for x in (F.lit(k), c.cast("string"))]).alias("params")))
+    rows = df.where(_any([r[0] for r in rules])).withColumn("__f", F.explode(F.array(*[hit(*r) for r in rules]))).where("__f is not null")
+    return rows.select(*PAGE, "__f.key", "__f.code", "__f.params")
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = F.coalesce(conditions[0], F.lit(False))
+    for c in conditions[1:]:
+        out = out | F.coalesce(c, F.lit(False))
+    return out
+
+
 def formats(values: DataFrame) -> DataFrame:
     """Values that cannot be, and pressures written the wrong way round."""
     m, n, s, d = F.col("measure"), F.col("num"), F.col("sys"), F.col("dia")
@@ -43,18 +57,20 @@ def visit_dates(visits: DataFrame, facts: DataFrame, as_of: str) -> DataFrame:
     """future, appointment_before_visit, ga_lmp, date_order, ga_dates."""
     lmp = facts.where("name = 'lmp'").select(*PAGE, F.to_date("day").alias("lmp"))
     rows = visits.join(lmp, PAGE, "left").withColumn("d", F.to_date("date")).withColumn("a", F.to_date("appointment"))
-    future = _found(rows.where(F.col("d") > F.date_add(F.to_date(F.lit(as_of)), 1)), F.col("date_key"), "future", {"value": F.col("date")})
-    ante = rows.where("page_kind = 'antenatal'")
-    early = _found(ante.where("a <= d"), F.col("appointment_key"), "appointment_before_visit", {"value": F.col("appointment"), "visit": F.col("date")})
-    expected = F.rint(F.datediff("d", "lmp") / 7)
-    ga_lmp = _found(ante.where(F.abs(F.col("gaWeeks") - expected) > GA_TOLERANCE), F.col("ga_key"), "ga_lmp", {"value": F.col("gaWeeks"), "expected": expected.cast("int"), "lmp": F.col("lmp"), "visit": F.col("date")})
-    w = Window.partitionBy(*PAGE).orderBy("col")
-    dated = ante.where("d is not null").withColumn("p", F.lag("d").over(w)).withColumn("pga", F.lag("gaWeeks").over(w)).withColumn("bad", F.coalesce(F.col("d") <= F.col("p"), F.lit(False)))
-    dated = dated.withColumn("doubtful", F.col("bad") | F.coalesce(F.lead("bad").over(w), F.lit(False))).withColumn("pdoubtful", F.lag("doubtful").over(w))
-    order = _found(dated.where("bad"), F.col("date_key"), "date_order", {"value": F.col("date"), "previous": F.col("p")})
-    weeks = F.datediff("d", "p") / 7
-    ga_dates = _found(dated.where("lmp is null and not doubtful and not pdoubtful").where(F.abs(F.col("gaWeeks") - F.col("pga") - weeks) > GA_TOLERANCE), F.col("ga_key"), "ga_dates", {"value": F.col("gaWeeks"), "previous": F.col("pga"), "weeks": F.rint(weeks).cast("int")})
-    return future.union(early).union(ga_lmp).union(order).union(ga_dates)
+    ante, d = F.col("page_kind") == "antenatal", F.col("d")
+    rows = rows.withColumn("dated", ante & d.isNotNull())  # trends go over an antenatal page's dated visits; the others stand apart
+    w = Window.partitionBy(*PAGE, "dated").orderBy("col")
+    rows = rows.withColumns({"p": F.lag("d").over(w), "pga": F.lag("gaWeeks").over(w)}).withColumn("bad", F.coalesce(F.col("dated") & (d <= F.col("p")), F.lit(False)))
+    rows = rows.withColumn("doubtful", F.col("bad") | F.coalesce(F.lead("bad").over(w), F.lit(False))).withColumn("pdoubtful", F.lag("doubtful").over(w))
+    expected, weeks = F.rint(F.datediff("d", "lmp") / 7), F.datediff("d", "p") / 7
+    ga, sure = F.col("gaWeeks"), F.col("dated") & F.col("lmp").isNull() & ~F.col("doubtful") & ~F.col("pdoubtful")
+    return _hits(rows, [
+        (d > F.date_add(F.to_date(F.lit(as_of)), 1), F.col("date_key"), "future", {"value": F.col("date")}),
+        (ante & (F.col("a") <= d), F.col("appointment_key"), "appointment_before_visit", {"value": F.col("appointment"), "visit": F.col("date")}),
+        (ante & (F.abs(ga - expected) > GA_TOLERANCE), F.col("ga_key"), "ga_lmp", {"value": ga, "expected": expected.cast("int"), "lmp": F.col("lmp"), "visit": F.col("date")}),
+        (F.col("bad"), F.col("date_key"), "date_order", {"value": F.col("date"), "previous": F.col("p")}),
+        (sure & (F.abs(ga - F.col("pga") - weeks) > GA_TOLERANCE), F.col("ga_key"), "ga_dates", {"value": ga, "previous": F.col("pga"), "weeks": F.rint(weeks).cast("int")}),
+    ])
 
 
 def spikes(values: DataFrame) -> DataFrame:
@@ -73,13 +89,12 @@ def due_dates(facts: DataFrame) -> DataFrame:
     """edd_lmp and termDate_lmp: the written date against the last period; both fields are flagged."""
     of = lambda n, c: F.max(F.when(F.col("name") == n, F.col(c)))
     page = facts.where("page_kind = 'antenatal'").groupBy(*PAGE).agg(*[of(n, c).alias(f"{n}_{c}") for n in ("lmp", "edd", "termDate") for c in ("day", "key")])
-    out = None
+    rules = []
     for name, days in (("edd", EDD_DAYS), ("termDate", TERM_DAYS)):
         expected = F.date_add(F.to_date("lmp_day"), days)
-        bad = page.where(F.abs(F.datediff(F.to_date(f"{name}_day"), expected)) > DATE_TOLERANCE).withColumn("k", F.explode(F.array(f"{name}_key", "lmp_key")))
-        rows = _found(bad, F.col("k"), f"{name}_lmp", {"value": F.col(f"{name}_day"), "expected": expected, "lmp": F.col("lmp_day")})
-        out = rows if out is None else out.union(rows)
-    return out
+        bad, params = F.abs(F.datediff(F.to_date(f"{name}_day"), expected)) > DATE_TOLERANCE, {"value": F.col(f"{name}_day"), "expected": expected, "lmp": F.col("lmp_day")}
+        rules += [(bad, F.col(key), f"{name}_lmp", params) for key in (f"{name}_key", "lmp_key")]
+    return _hits(page, rules)
 
 
 def birth_age(facts: DataFrame) -> DataFrame:
@@ -111,13 +126,12 @@ def history(fields: DataFrame) -> DataFrame:
 def exclusive(fields: DataFrame) -> DataFrame:
     """Boxes that exclude each other, both ticked; every ticked one is flagged."""
     ticked = fields.where((F.col("page_type") == "accouchement") & (F.col("value") == "true")).groupBy(*PAGE).agg(F.collect_set("key").alias("k"))
-    out = None
+    found = []
     for code, left, right in EXCLUSIVE:
         one, two = (F.array_intersect("k", F.array(*map(F.lit, x))) for x in (left, right))
-        bad = ticked.where((F.size(one) > 0) & (F.size(two) > 0)).withColumn("key", F.explode(F.array_union(one, two)))
-        rows = _found(bad, F.col("key"), code, {"with": F.lit(code)})
-        out = rows if out is None else out.union(rows)
-    return out
+        found.append(F.when((F.size(one) > 0) & (F.size(two) > 0), F.arrays_zip(F.array_union(one, two).alias("key"), F.array_repeat(F.lit(code), F.size(F.array_union(one, two))).alias("code"))))
+    rows = ticked.withColumn("f", F.explode(F.flatten(F.array_compact(F.array(*found)))))
+    return _found(rows, F.col("f.key"), F.col("f.code"), {"with": F.col("f.code")})
 
 
 def check(fields: DataFrame, as_of: str) -> DataFrame:
@@ -128,7 +142,8 @@ def check(fields: DataFrame, as_of: str) -> DataFrame:
     """
     from . import series as sr
 
-    values, facts = sr.series_values(fields).persist(), sr.series_facts(fields).persist()
+    values = sr.series_values(fields).select(*PAGE, "page_kind", "col", "measure", "key", "num", "sys", "dia", "day").persist()
+    facts = sr.series_facts(fields).persist()
     seen = sr.visits(values)
     found = formats(values).union(visit_dates(seen, facts, as_of)).union(spikes(values)).union(due_dates(facts)).union(birth_age(facts)).union(history(fields)).union(exclusive(fields))
     return found.groupBy(*PAGE, "key", "code").agg(F.first("params").alias("params"))

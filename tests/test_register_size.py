@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.functions.text import fold, fold_text
 from rosterlake.functions.values import day_of
+from rosterlake.operators import quality as ql
 from rosterlake.operators import series as sr
 from rosterlake.plans import register
 from tests.test_panels import FIELDS, cell
@@ -65,3 +66,28 @@ def test_a_visit_keeps_the_appointment_of_the_one_before(spark):
     want = [tuple(r) for r in sr.appointments(visits, visits.select("patient_id", F.col("given_on").alias("seen_on"))).orderBy("patient_id", "given_on").collect()]
     got = [tuple(r) for r in sr.appointments_of_visits(visits).orderBy("patient_id", "given_on").collect()]
     assert got == want and [(r[1], str(r[3]), r[5], r[6]) for r in got if r[0] == "p"] == [("2020-01-01", "2020-01-18", "in time", False), ("2020-02-10", "None", None, True)]
+
+
+def leaves(df):
+    return len(re.findall(r"LogicalRDD|LocalRelation", plan(df)))
+
+
+def test_rules_over_visits_and_due_dates_are_one_pass(spark):
+    """All codes of a row come from one reading of it."""
+    visits = spark.createDataFrame([("r", 0, "antenatal", k, d, a, g, f"d{k}", f"a{k}", f"g{k}") for k, d, a, g in [
+        (1, "2020-01-01", "2020-02-01", 8), (2, None, "2020-03-01", 10), (3, "2020-01-20", "2020-01-20", 20), (4, "2020-01-10", None, 22), (5, "2031-01-01", None, 30)]] + [("r", 0, "postpartum_mother", 0, "2019-01-01", "2018-01-01", None, "m", "ma", None)],
+        "record_id string, page_idx int, page_kind string, col int, date string, appointment string, gaWeeks int, date_key string, appointment_key string, ga_key string")
+    facts = spark.createDataFrame([("r", 0, "antenatal", "edd", "e", "2020-10-01", None, None), ("s", 0, "antenatal", "lmp", "l", "2020-01-01", None, None), ("s", 0, "antenatal", "edd", "e", "2020-11-01", None, None)], "record_id string, page_idx int, page_kind string, name string, key string, day string, num double, word string")
+    found = ql.visit_dates(visits, facts, "2021-01-01")
+    assert leaves(found) == 2
+    assert {(r["key"], r["code"]) for r in found.collect()} == {("a3", "appointment_before_visit"), ("d4", "date_order"), ("d5", "future")}
+    due = ql.due_dates(facts)
+    assert leaves(due) == 1 and {(r["record_id"], r["key"], r["code"]) for r in due.collect()} == {("s", "e", "edd_lmp"), ("s", "l", "edd_lmp")}
+
+
+def test_boxes_that_exclude_each_other_are_read_once(spark):
+    keys = ["mode_cesarienne_urgence", "mode_voie_basse_instrumentale", "nn_vivant", "nn_mort_ne", "lieu_domicile"]
+    fields = spark.createDataFrame([("a", 1, "accouchement", i, k, k, "checkbox", "true", "KNOWN", "AI", None) for i, k in enumerate(keys)] + [("b", 1, "accouchement", 0, keys[0], "", "checkbox", "true", "KNOWN", "AI", None)], FIELDS)
+    found = ql.exclusive(fields)
+    assert leaves(found) == 1
+    assert {(r["record_id"], r["key"], r["code"], r["params"]["with"]) for r in found.collect()} == {("a", k, c, c) for c, ks in (("two_modes", keys[:2]), ("alive_stillborn", keys[2:4])) for k in ks}
