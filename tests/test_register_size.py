@@ -91,3 +91,15 @@ def test_boxes_that_exclude_each_other_are_read_once(spark):
     found = ql.exclusive(fields)
     assert leaves(found) == 1
     assert {(r["record_id"], r["key"], r["code"], r["params"]["with"]) for r in found.collect()} == {("a", k, c, c) for c, ks in (("two_modes", keys[:2]), ("alive_stillborn", keys[2:4])) for k in ks}
+
+
+def test_profiles_deal_pages_not_fields(spark):
+    """Which tests a page shows is summed up by page before pages meet their patients."""
+    rows = spark.createDataFrame([cell("a", 0, "VIH | x", "neg"), cell("a", 1, "TA | x", "120/80"), cell("b", 0, "Ag HBs | x", None, status="NOT_PROVIDED"), cell("c", 0, "TA | x", None)], FIELDS)
+    pages = spark.createDataFrame([("a", 0, "p", 1), ("b", 0, "p", 2), ("c", 0, "q", 1), ("d", 0, "s", 1)], "record_id string, page_idx int, patient_id string, created_at int")
+    df = sr.profiles(rows, pages)
+    got = {r["patient_id"]: (r["antenatal"], r["hiv"], r["syphilis"], r["hbs"]) for r in df.collect()}
+    assert got == {"p": (True, "neg", None, "notRecorded"), "q": (True, None, None, None), "s": (False, None, None, None)}
+    top = df._jdf.queryExecution().optimizedPlan().toString()
+    joined = [x for x in re.findall(r"Join Inner[^\n]*\n((?:[^\n]*\n){2})", top) if "hiv_row" in x]
+    assert joined and all("Aggregate [record_id" in x for x in joined)
